@@ -105,11 +105,15 @@ def snake_case(name: str) -> str:
     return (f"_{text}" if text[0].isdigit() else text)[:NAME_LIMIT]
 
 
+# Fixed value: the characters a slug keeps.
+SLUG_CHARACTERS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789_")
+
+
 def slugify(value: str) -> str:
-    """Value as a column name part: lower case, blanks and dashes to underscores, the rest dropped."""
-    text = re.sub(r"[ -]+", "_", value.lower())
-    text = re.sub(r"[^a-z0-9_]+", "", text)
-    return f"_{text}" if text[:1].isdigit() else text
+    """Value as a column name part: words joined by underscores, other characters dropped."""
+    words = re.split(r"[ -]+", value.lower())
+    slug = "_".join("".join(ch for ch in w if ch in SLUG_CHARACTERS) for w in words)
+    return f"_{slug}" if slug[:1].isdigit() else slug
 
 
 def snake_case_columns(df: DataFrame) -> DataFrame:
