@@ -1,10 +1,11 @@
 """Ordered computations that never gather a large group in one task.
 
-A plain window sorts a whole partition key inside one task. Here a group with
-more than `hot_rows` rows is cut into consecutive chunks of its order; chunks
-are windowed in parallel and a small per-chunk summary carries state from one
-chunk to the next. Groups below the limit stay in one chunk, so the usual case
-costs one sort by key.
+A plain window sorts a whole partition key inside one task. Each operator here
+first counts the rows per group. When no group exceeds `hot_rows`, it is a plain
+window: one shuffle, one sort. Otherwise the input is written once to the shared
+folder, hot groups are cut into consecutive chunks of their order, chunks are
+windowed in parallel, and a small per-chunk summary carries state from one chunk
+to the next. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 HOT_ROWS = 2_000_000
 CHUNKS = 64
 Order = Sequence[str]  # column names, "-name" sorts descending
@@ -49,16 +52,24 @@ def order_position(df: DataFrame, order: Order) -> Column:
     return F.coalesce(pos, F.lit(float("inf") if descending else float("-inf")))
 
 
+def has_hot_group(df: DataFrame, partition: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
+    """Does any group hold more than `hot_rows` rows? Counts are combined before the shuffle."""
+    if not partition:
+        return df.limit(hot_rows + 1).count() > hot_rows
+    sizes = df.groupBy(*partition).agg(F.count(F.lit(1)).alias("_n"))
+    return not sizes.filter(F.col("_n") > hot_rows).isEmpty()
+
+
 def with_chunks(df: DataFrame, partition: Sequence[str], order: Order,
                 hot_rows: int = HOT_ROWS, chunks: int = CHUNKS) -> DataFrame:
     """Add `_chunk`: 0 for ordinary groups, ascending along the order for hot ones.
 
     Chunk edges are approximate quantiles of the hot rows, read from a
-    mergeable sketch: `chunks - 1` numbers whatever the size of the data.
+    mergeable sketch: `chunks - 1` numbers whatever the size of the data. `df`
+    is read several times and should be a stored frame.
     """
     pos = order_position(df, order)
-    marked = df
-    is_hot = F.lit(True)
+    marked, is_hot = df, F.lit(True)
     if partition:
         hot = (df.groupBy(*partition).agg(F.count(F.lit(1)).alias("_n"))
                .filter(F.col("_n") > hot_rows).drop("_n").withColumn("_hot", F.lit(True)))
@@ -91,9 +102,12 @@ def _with_carry(local: DataFrame, carried: DataFrame, partition: Sequence[str])
 
 
 def number_rows(df: DataFrame, partition: Sequence[str], order: Order, name: str = "row_number",
-                hot_rows: int = HOT_ROWS, chunks: int = CHUNKS) -> DataFrame:
+                hot_rows: int = HOT_ROWS, chunks: int = CHUNKS, hot: bool | None = None) -> DataFrame:
     """Exact row_number. The order must be total for a repeatable result."""
-    chunked = with_chunks(df, partition, order, hot_rows, chunks)
+    if not (has_hot_group(df, partition, hot_rows) if hot is None else hot):
+        whole = Window.partitionBy(*partition).orderBy(*sort_columns(order))
+        return df.withColumn(name, F.row_number().over(whole).cast("bigint"))
+    chunked = with_chunks(materialize(df, "ordered"), partition, order, hot_rows, chunks)
     here = Window.partitionBy(*partition, "_chunk").orderBy(*sort_columns(order))
     local = chunked.withColumn("_ln", F.row_number().over(here))
     carried = _carry(chunked, partition, {"_n": F.count(F.lit(1))},
@@ -106,11 +120,14 @@ def number_rows(df: DataFrame, partition: Sequence[str], order: Order, name: str
 def rank_rows(df: DataFrame, partition: Sequence[str], order: Order, rank: str = "rank",
               dense: str = "dense_rank", hot_rows: int = HOT_ROWS, chunks: int = CHUNKS) -> DataFrame:
     """Exact rank and dense_rank; equal order values always share a chunk."""
-    chunked = with_chunks(df, partition, order, hot_rows, chunks)
+    if not has_hot_group(df, partition, hot_rows):
+        whole = Window.partitionBy(*partition).orderBy(*sort_columns(order))
+        return df.withColumns({rank: F.rank().over(whole).cast("bigint"),
+                               dense: F.dense_rank().over(whole).cast("bigint")})
+    chunked = with_chunks(materialize(df, "ordered"), partition, order, hot_rows, chunks)
     here = Window.partitionBy(*partition, "_chunk").orderBy(*sort_columns(order))
     local = chunked.withColumn("_r", F.rank().over(here)).withColumn("_d", F.dense_rank().over(here))
-    names = [o.lstrip("-") for o in order]
-    key = F.struct(*[F.col(n) for n in names])
+    key = F.struct(*[F.col(o.lstrip("-")) for o in order])
     carried = _carry(chunked, partition,
                      {"_n": F.count(F.lit(1)), "_k": F.count_distinct(key)},
                      {"_no": lambda w: F.sum("_n").over(w), "_ko": lambda w: F.sum("_k").over(w)})
@@ -132,9 +149,18 @@ _REAGG = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 
 
 def running(df: DataFrame, partition: Sequence[str], order: Order, measures: dict[str, tuple[str, str]],
-            hot_rows: int = HOT_ROWS, chunks: int = CHUNKS) -> DataFrame:
-    """Unbounded-preceding sum / count / min / max: {out: (function, column)}."""
-    chunked = with_chunks(df, partition, order, hot_rows, chunks)
+            hot_rows: int = HOT_ROWS, chunks: int = CHUNKS, hot: bool | None = None,
+            stored: bool = False) -> DataFrame:
+    """Unbounded-preceding sum / count / min / max: {out: (function, column)}.
+
+    `hot` and `stored` pass on what the caller already knows: whether a group is
+    hot, and whether `df` is read from storage.
+    """
+    if not (has_hot_group(df, partition, hot_rows) if hot is None else hot):
+        whole = (Window.partitionBy(*partition).orderBy(*sort_columns(order))
+                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return df.withColumns({n: _AGG[fn](c).over(whole) for n, (fn, c) in measures.items()})
+    chunked = with_chunks(df if stored else materialize(df, "ordered"), partition, order, hot_rows, chunks)
     here = (Window.partitionBy(*partition, "_chunk").orderBy(*sort_columns(order))
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local, totals, carry = chunked, {}, {}
@@ -153,11 +179,15 @@ def framed(df: DataFrame, partition: Sequence[str], order: Order,
            block_rows: int = HOT_ROWS, chunks: int = CHUNKS) -> DataFrame:
     """Window functions that look at most `before` / `after` rows away.
 
-    Rows are numbered exactly, cut into blocks of `block_rows`, and each block
-    receives copies of the few neighbouring rows its frames can reach.
+    With a hot group, rows are numbered exactly, cut into blocks of
+    `block_rows`, and each block receives copies of the few neighbouring rows
+    its frames can reach.
     """
     block_rows = max(block_rows, before, after, 1)
-    rn = number_rows(df, partition, order, "_rn", block_rows, chunks)
+    if not has_hot_group(df, partition, block_rows):
+        whole = Window.partitionBy(*partition).orderBy(*sort_columns(order))
+        return df.withColumns({name: fn(whole) for name, fn in columns.items()})
+    rn = number_rows(df, partition, order, "_rn", block_rows, chunks, hot=True)
     block = F.floor((F.col("_rn") - 1) / block_rows)
     inside = F.pmod(F.col("_rn") - 1, F.lit(block_rows))
     homes = [F.struct(block.alias("b"), F.lit(False).alias("halo"))]
@@ -171,21 +201,23 @@ def framed(df: DataFrame, partition: Sequence[str], order: Order,
     spread = rn.withColumn("_home", F.explode(F.array_compact(F.array(*homes, *guests))))
     spread = spread.select("*", F.col("_home.b").alias("_b"), F.col("_home.halo").alias("_halo")).drop("_home")
     spec = Window.partitionBy(*partition, "_b").orderBy("_rn")
-    for name, fn in columns.items():
-        spread = spread.withColumn(name, fn(spec))
-    return spread.filter(~F.col("_halo")).drop("_rn", "_b", "_halo")
+    return (spread.withColumns({name: fn(spec) for name, fn in columns.items()})
+            .filter(~F.col("_halo")).drop("_rn", "_b", "_halo"))
 
 
 def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, wanted: dict[str, float],
                       discrete: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Exact quantiles per group: {out: probability}.
 
-    Values are counted before the sort, and the running count is chunked, so
-    neither a frequent value nor a large group sits in one task.
+    Values are counted before the sort, and the running count of a hot group is
+    chunked, so neither a frequent value nor a large group sits in one task.
     """
     counted = (df.filter(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("_v"))
                .agg(F.count(F.lit(1)).alias("_n")))
-    cum = running(counted, groups, ["_v"], {"_cum": ("sum", "_n")}, hot_rows)
+    hot = has_hot_group(df, groups, hot_rows)  # rows bound distinct values from above
+    if hot:
+        counted = materialize(counted, "counted")
+    cum = running(counted, groups, ["_v"], {"_cum": ("sum", "_n")}, hot_rows, hot=hot, stored=hot)
     totals = counted.groupBy(*groups).agg(F.sum("_n").alias("_total"))
     if groups:
         placed = (cum.alias("l").join(totals.alias("t"), same("l", "t", groups), "inner")

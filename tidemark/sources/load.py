@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordered import first_per_group, same
+from ..operators.ordered import HOT_ROWS, first_per_group, framed, same
 
 
 def merge_upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], cursor: str | None = None) -> DataFrame:
@@ -89,6 +89,32 @@ def scd2_merge(target: DataFrame, batch: DataFrame, keys: Sequence[str], tracked
     return out.withColumn(current_flag, F.col(valid_to).isNull()) if current_flag else out
 
 
+def scd2_apply_changes(target: DataFrame | None, changes: DataFrame, keys: Sequence[str], tracked: Sequence[str],
+                       changed_at: str, valid_from: str = "valid_from", valid_to: str = "valid_to",
+                       block_rows: int = HOT_ROWS) -> DataFrame:
+    """History from a feed of changes that each carry their own time, many per key if need be.
+
+    A change that alters nothing opens no version. A change not later than the
+    key's open version is dropped, so a replayed feed adds nothing.
+    """
+    columns = [*keys, *tracked]
+    fresh = first_per_group(changes.select(*columns, F.col(changed_at).alias(valid_from)), [*keys, valid_from], list(tracked))
+    history = None
+    if target is not None:
+        history = target.filter(F.col(valid_to).isNotNull())
+        current = target.filter(F.col(valid_to).isNull()).select(*columns, valid_from)
+        since = current.select(*keys, F.col(valid_from).alias("_since"))
+        later = F.col("_since").isNull() | (F.col(f"n.{valid_from}") > F.col("_since"))
+        fresh = fresh.alias("n").join(since.alias("o"), same("n", "o", keys), "left").filter(later).select("n.*")
+        fresh = current.unionByName(fresh)
+    state = F.struct(*tracked)
+    steps = framed(fresh, keys, [valid_from], {"_before": lambda w: F.lag(state).over(w)}, before=1, block_rows=block_rows)
+    opened = steps.filter(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(state)).drop("_before")
+    versions = framed(opened, keys, [valid_from], {valid_to: lambda w: F.lead(valid_from).over(w)}, after=1,
+                      block_rows=block_rows)
+    return versions if history is None else history.select(*versions.columns).unionByName(versions)
+
+
 def snapshot_table(snapshot: DataFrame | None, source: DataFrame, keys: Sequence[str], strategy: str = "check",
                    updated_at: str | None = None, check_columns: Sequence[str] | None = None,
                    as_of: str = "1970-01-01") -> DataFrame:
