@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -196,23 +196,27 @@ def fiscal_year_end(year: Column, year_end_month: int, week_start_day: int) -> C
     return F.when(6 - since < since + 1, last_week_end).otherwise(F.date_sub(last_week_end, 7))
 
 
-def fiscal_fields(d: str | Column, year_end_month: int = 12, week_start_day: int = 1,
-                  shift_year: int = 1) -> dict[str, Column]:
-    """Fiscal columns of a date, computed row by row without a calendar table."""
-    day = _day(d)
-    ends = [fiscal_year_end(F.year(day) + k, year_end_month, week_start_day) for k in (-2, -1, 0, 1)]
-    start, end, closing = None, None, None
-    for k in (1, 2, 3):
-        here = (day > ends[k - 1]) & (day <= ends[k])
-        opened, closes, year = F.date_add(ends[k - 1], 1), ends[k], F.year(day) + (k - 2)
-        start = F.when(here, opened) if start is None else start.when(here, opened)
-        end = F.when(here, closes) if end is None else end.when(here, closes)
-        closing = F.when(here, year) if closing is None else closing.when(here, year)
-    week = (F.floor(F.datediff(day, start) / 7) + 1).cast("int")
-    return {
-        "fiscal_year_number": (closing - shift_year).cast("int"), "fiscal_year_start_date": start,
-        "fiscal_year_end_date": end, "week_start_date": F.date_add(start, (week - 1) * 7),
-        "week_end_date": F.date_add(start, week * 7 - 1), "fiscal_week_of_year": week}
+def with_fiscal_fields(df: DataFrame, d: str, year_end_month: int = 12, week_start_day: int = 1,
+                       shift_year: int = 1) -> DataFrame:
+    """Add the fiscal columns of a date, computed row by row without a calendar table.
+
+    Each step is its own projection, so that an expression used several times
+    is evaluated once.
+    """
+    closes = lambda year: fiscal_year_end(year, year_end_month, week_start_day)
+    day, year = F.col("_day"), F.year("_day")
+    out = df.withColumn("_day", _day(d))
+    # a year may close a few days into the next January or before December ends
+    out = out.withColumn("_closing", F.when(day <= closes(year - 1), year - 1).when(day <= closes(year), year)
+                         .otherwise(year + 1))
+    out = out.withColumns({"fiscal_year_start_date": F.date_add(closes(F.col("_closing") - 1), 1),
+                           "fiscal_year_end_date": closes(F.col("_closing"))})
+    week = (F.floor(F.datediff("_day", "fiscal_year_start_date") / 7) + 1).cast("int")
+    out = out.withColumn("fiscal_week_of_year", week)
+    first, n = F.col("fiscal_year_start_date"), F.col("fiscal_week_of_year")
+    return out.withColumns({"fiscal_year_number": (F.col("_closing") - shift_year).cast("int"),
+                            "week_start_date": F.date_add(first, (n - 1) * 7),
+                            "week_end_date": F.date_add(first, n * 7 - 1)}).drop("_day", "_closing")
 
 
 # First week (from 0) of the three periods of a 13-week quarter.

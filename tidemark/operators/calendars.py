@@ -40,7 +40,7 @@ def fiscal_year_dates(days: DataFrame, year_end_month: int = 12, week_start_day:
     `only_full_years` keeps the fiscal years whose closing weeks (this year's
     and last year's) both begin inside the calendar given.
     """
-    out = days.withColumns(c.fiscal_fields(day, year_end_month, week_start_day, shift_year))
+    out = c.with_fiscal_fields(days, day, year_end_month, week_start_day, shift_year)
     if only_full_years:
         edges = days.agg(F.struct(F.min(F.col(day).cast("date")).alias("lo"), F.max(F.col(day).cast("date")).alias("hi"))).scalar()
         out = (out.withColumn("_e", edges)

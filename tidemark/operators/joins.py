@@ -130,8 +130,7 @@ def interval_join(points: DataFrame, ranges: DataFrame, at: str, start: str, end
     side = ranges.withColumn("_last", last)
     until = F.coalesce(F.col(end).cast("timestamp"), F.col("_last"))
     begin = F.col(start).cast("timestamp")
-    side = (side.filter(begin <= until)
-            .withColumn("_bucket", F.explode(_buckets(begin, until, unit)))
+    side = (side.withColumn("_bucket", F.explode(F.when(begin <= until, _buckets(begin, until, unit))))
             .select("_bucket", *[F.col(c).alias(f"_r_{c}") for c in ranges.columns]))
     pts = points.withColumn("_bucket", F.date_trunc(unit, F.col(at).cast("timestamp")))
     inside = (F.col(at) >= F.col(f"_r_{start}")) & (F.col(f"_r_{end}").isNull() | (F.col(at) <= F.col(f"_r_{end}")))

@@ -72,8 +72,8 @@ def spine(bounds: DataFrame, part: str = "day", start: str = "start", end: str =
     hourly = part == "hour"
     first = F.col(start).cast("timestamp" if hourly else "date")
     last = F.col(end).cast("timestamp" if hourly else "date")
-    steps = F.explode(F.sequence(first, last, F.expr(f"interval 1 {part}")))
-    out = bounds.filter(F.col(start) <= F.col(end)).select(F.col(end).alias("_end"), steps.alias(name))
+    steps = F.explode(F.when(first <= last, F.sequence(first, last, F.expr(f"interval 1 {part}"))))
+    out = bounds.select(F.col(end).alias("_end"), steps.alias(name))
     if hourly:
         out = out.withColumn(name, F.col(name).cast("timestamp_ntz"))
     return (out if inclusive else out.filter(F.col(name) < F.col("_end"))).drop("_end")

@@ -44,18 +44,24 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, taken from `spark.checkpoint.dir`.
 
-    Only a local master may fall back to a folder on this machine.
+    Where the setting is missing, only a local master may fall back to a folder
+    on this machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        named = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named is not None:
+        return named
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    if context.applicationId not in _local_dirs:
+        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
+    return _local_dirs[context.applicationId]
 
 
 def work_path(spark: SparkSession, label: str) -> str:

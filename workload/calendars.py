@@ -72,9 +72,8 @@ def fiscal_periods(t):
     from orders join fy on o_orderdate::date = date_day group by 1, 2""")
 def fiscal_sales(t):
     # the fiscal week is a row-wise expression: facts need no calendar join
-    f = c.fiscal_fields("o_orderdate", 1, 1, 1)
     edges = r.span(t.orders, "o_orderdate").select(F.struct("start", "end")).scalar()
-    df = t.orders.withColumns(f).withColumn("_e", edges).filter(
+    df = c.with_fiscal_fields(t.orders, "o_orderdate", 1, 1, 1).withColumn("_e", edges).filter(
         (F.date_sub("fiscal_year_start_date", 7) >= F.col("_e.start")) & (F.date_sub("fiscal_year_end_date", 6) <= F.col("_e.end")))
     return (df.groupBy("fiscal_year_number", "fiscal_week_of_year")
             .agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total")))
