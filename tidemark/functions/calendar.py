@@ -186,14 +186,12 @@ def to_unixtimestamp(t: str | Column) -> Column:
 def fiscal_year_end(year: Column, year_end_month: int, week_start_day: int) -> Column:
     """Last day of the retail year that closes in a calendar year.
 
-    Weeks begin on `week_start_day` (Sunday = 1). Of the weeks that begin in
-    the closing month, the year ends with the one whose last day is nearest the
-    month's end. Only the last such week and the one before can be nearest.
+    Weeks begin on `week_start_day` (Sunday = 1). The year ends with the week
+    end nearest the closing month's end: exactly one of the seven days from
+    three before it to three after it ends a week.
     """
     month_end = F.last_day(F.make_date(year, F.lit(year_end_month), F.lit(1)))
-    since = F.pmod(F.dayofweek(month_end) - week_start_day, F.lit(7))  # days from the last week start
-    last_week_end = F.date_add(F.date_sub(month_end, since), 6)
-    return F.when(6 - since < since + 1, last_week_end).otherwise(F.date_sub(last_week_end, 7))
+    return F.date_add(month_end, F.pmod(9 + week_start_day - F.dayofweek(month_end), F.lit(7)) - 3)
 
 
 def with_fiscal_fields(df: DataFrame, d: str, year_end_month: int = 12, week_start_day: int = 1,

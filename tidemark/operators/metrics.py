@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..plans.shapes import period
 from .filters import Filter
 from .measures import Measure, aggregate
-from .ordered import framed, running, same
+from .ordered import running, same
 
 
 def metric_query(df: DataFrame, dimensions: Sequence[str], measures: Sequence[Measure],
@@ -40,8 +40,8 @@ def cumulative_metric(df: DataFrame, time_column: str, grain: str, value: str, g
     per = (df.groupBy(*group_by, period(time_column, grain).alias("time_period"))
            .agg(F.sum(F.expr(value)).alias("period_value")))
     if window is None:
-        return running(per, group_by, ["time_period"], {name: ("sum", "period_value")})
-    # `per` holds one row per group and period, so the window is short
+        # `per` holds one row per group and period, so no group is long
+        return running(per, group_by, ["time_period"], {name: ("sum", "period_value")}, hot=False)
     w = (Window.partitionBy(*group_by).orderBy(_period_index("time_period", grain))
          .rangeBetween(-(window - 1), 0))
     return per.withColumn(name, F.sum("period_value").over(w))
@@ -143,8 +143,8 @@ def kpi_alert(df: DataFrame, time_column: str, grain: str, measures: Sequence[Me
     """
     base = aggregate(df.withColumn("time_period", period(time_column, grain)), ["time_period", *group_by], measures)
     names = [m.name for m in measures]
-    out = framed(base, group_by, ["time_period"],
-                 {f"_p_{n}": (lambda w, n=n: F.lag(n).over(w)) for n in names}, before=1)
+    w = Window.partitionBy(*group_by).orderBy("time_period")  # one row per group and period
+    out = base.withColumns({f"_p_{n}": F.lag(n).over(w) for n in names})
     for n in names:
         out = out.withColumn(f"{n}_change", ratio((F.col(n) - F.col(f"_p_{n}")) * 100, F.col(f"_p_{n}"))).drop(f"_p_{n}")
     tests = [F.coalesce(alert_condition(*c), F.lit(False)) for c in conditions]

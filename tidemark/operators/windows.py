@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import HOT_ROWS, Order, first_per_group, framed, number_rows, rank_rows, running, same
@@ -84,13 +84,12 @@ def percent_of_total(df: DataFrame, column: str, within: Sequence[str] = (), nam
     return out.withColumn(name, F.try_divide(F.col(column), F.col("_t"))).drop("_t")
 
 
-def period_growth(df: DataFrame, partition: Sequence[str], period: str, column: str, periods: int = 1,
-                  block_rows: int = HOT_ROWS) -> DataFrame:
-    """Previous value and growth against it, over rows ordered by period."""
-    out = framed(df, partition, [period], {f"previous_{column}": lambda w: F.lag(column, periods).over(w)},
-                 before=periods, block_rows=block_rows)
-    prev = F.col(f"previous_{column}")
-    return out.withColumn("growth", F.try_divide(F.col(column) - prev, prev))
+def period_growth(df: DataFrame, partition: Sequence[str], period: str, column: str, periods: int = 1) -> DataFrame:
+    """Previous value and growth against it; `df` holds one row per group and period."""
+    prev = F.lag(column, periods).over(Window.partitionBy(*partition).orderBy(period))
+    out = df.withColumn(f"previous_{column}", prev)
+    before = F.col(f"previous_{column}")
+    return out.withColumn("growth", F.try_divide(F.col(column) - before, before))
 
 
 def year_over_year(daily: DataFrame, keys: Sequence[str], day: str, column: str, aligned: bool = True) -> DataFrame:

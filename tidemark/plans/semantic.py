@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.filters import Filter, conjunction, filters_from_map, time_range
 from ..operators.measures import Measure, aggregate
+from ..operators.ordered import same
 
 MAX_LIMIT = 100_000
 MAX_JOIN_DEPTH = 4
@@ -160,9 +161,30 @@ def semantic_frame(layer: SemanticLayer, q: SemanticQuery) -> tuple[DataFrame, l
 
 
 def semantic_query(layer: SemanticLayer, q: SemanticQuery) -> DataFrame:
-    """Slice and dice: join, filter, group, aggregate, order, page."""
-    df, measures = semantic_frame(layer, q)
-    out = aggregate(df, list(q.dimensions), measures)
+    """Slice and dice: join, filter, group, aggregate, order, page.
+
+    Measures of several fact models are aggregated apart at the shared
+    dimensions and then joined, so that no fact multiplies another.
+    """
+    dims = list(q.dimensions)
+    facts: dict[str, list[str]] = {}
+    for name in q.measures:
+        facts.setdefault(layer.find_measure(name)[0].name, []).append(name)
+    parts = []
+    for names in [n for n in facts.values()] or [[]]:
+        df, measures = semantic_frame(layer, replace(q, measures=names))
+        parts.append((aggregate(df, dims, measures), names))
+    out, _ = parts[0]
+    for part, names in parts[1:]:
+        if dims:
+            kept = [c for c in out.columns if c not in dims]
+            out = (out.alias("l").join(part.alias("r"), same("l", "r", dims), "full")
+                   .select(*[F.coalesce(f"l.{d}", f"r.{d}").alias(d) for d in dims],
+                           *[F.col(f"l.{c}") for c in kept], *[F.col(f"r.{n}") for n in names]))
+        else:
+            for n in names:
+                out = out.withColumn(n, part.select(n).scalar())
+    out = out.select(*dims, *q.measures)
     if q.having:
         out = out.filter(conjunction(q.having))
     return page(out, q.order_by, q.limit, q.offset)

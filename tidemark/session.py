@@ -69,6 +69,18 @@ def work_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex[:12]}")
 
 
+_written: dict[str, list[str]] = {}
+
+
+def release_work(spark: SparkSession) -> int:
+    """Delete the step tables this application wrote; call it when their results are no longer needed."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
+
+
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
@@ -77,4 +89,5 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -47,7 +47,7 @@ def pivot_with_subtotals(t):
 
 
 @query("ratio_derived_metrics", [95], """
-    select l_suppkey, round(sum(l_extendedprice * (1 - l_discount)) / nullif(count(distinct l_orderkey), 0), 6) as revenue_per_order,
+    select l_suppkey, round(sum(l_extendedprice * (1 - l_discount)) / nullif(count(distinct l_orderkey), 0), 3) as revenue_per_order,
       round(100.0 * sum(case when l_returnflag = 'R' then l_quantity end) / nullif(sum(l_quantity), 0), 8) as return_pct
     from lineitem group by 1""")
 def ratio_derived_metrics(t):
@@ -55,7 +55,7 @@ def ratio_derived_metrics(t):
         Measure("revenue", "sum", "l_extendedprice * (1 - l_discount)"), Measure("orders", "count_distinct", "l_orderkey"),
         Measure("qty", "sum", "l_quantity"), Measure("returned", "sum", "l_quantity", filters=(Filter("l_returnflag", "=", "R"),)),
     ], {"revenue_per_order": "try_divide(revenue, orders)", "return_pct": "try_divide(100.0D * returned, qty)"})
-    return out.withColumns({"revenue_per_order": F.round("revenue_per_order", 6), "return_pct": F.round("return_pct", 8)})
+    return out.withColumns({"revenue_per_order": F.round("revenue_per_order", 3), "return_pct": F.round("return_pct", 8)})
 
 
 @query("cumulative_metric_trailing", [96], """

@@ -71,12 +71,21 @@ def fiscal_periods(t):
     with {_fiscal_sql(1, 1, 1)} select fiscal_year_number, fiscal_week_of_year, count(*) as orders, round(sum(o_totalprice), 2) as total
     from orders join fy on o_orderdate::date = date_day group by 1, 2""")
 def fiscal_sales(t):
-    # the fiscal week is a row-wise expression: facts need no calendar join
-    edges = r.span(t.orders, "o_orderdate").select(F.struct("start", "end")).scalar()
-    df = c.with_fiscal_fields(t.orders, "o_orderdate", 1, 1, 1).withColumn("_e", edges).filter(
-        (F.date_sub("fiscal_year_start_date", 7) >= F.col("_e.start")) & (F.date_sub("fiscal_year_end_date", 6) <= F.col("_e.end")))
-    return (df.groupBy("fiscal_year_number", "fiscal_week_of_year")
-            .agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total")))
+    # orders shrink to one row per day before they meet the calendar
+    per_day = (t.orders.groupBy(F.col("o_orderdate").cast("date").alias("date_day"))
+               .agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("v")))
+    return (k.fiscal_year_dates(_order_days(t), 1, 1, 1).join(per_day, "date_day")
+            .groupBy("fiscal_year_number", "fiscal_week_of_year")
+            .agg(F.sum("n").alias("orders"), F.round(F.sum("v"), 2).alias("total")))
+
+
+@query("fiscal_year_of_orders", [148], f"""
+    with {_fiscal_sql(1, 1, 1)} select fiscal_year_number, count(*) as orders from orders join fy on o_orderdate::date = date_day
+    where fiscal_year_number between 1996 and 1999 group by 1""")
+def fiscal_year_of_orders(t):
+    # the fiscal year is also a row-wise expression that needs no calendar
+    df = c.with_fiscal_fields(t.orders.select("o_orderdate"), "o_orderdate", 1, 1, 1)
+    return df.groupBy("fiscal_year_number").agg(F.count("*").alias("orders")).filter("fiscal_year_number between 1996 and 1999")
 
 
 @query("day_names", [150, 151], """

@@ -99,3 +99,16 @@ def format_measure(t):
     return t.supplier.select("s_suppkey", c.format_measure(F.round("s_acctbal")).alias("unit_text"), c.format_measure(whole, "currency").alias("money"),
                              F.replace(c.format_measure("s_nationkey", "percent", 1), F.lit(","), F.lit("")).alias("pct"),
                              c.format_measure(F.col("s_suppkey") * 1000, "compact", 1).alias("short"))
+
+
+@query("sql_dialect_functions", [2, 143], """
+    select date_trunc('month', ts)::date as month, (ts::date - extract(dow from ts)::int)::date as week, isodow(ts)::int as dow, hour(ts)::int as hour, count(*) as n,
+      min(date_trunc('hour', ts)) as first_hour from events group by 1, 2, 3, 4""")
+def sql_dialect_functions(t):
+    from tidemark.functions.sql import register_dialect
+    from tidemark.sources.readers import read_query
+
+    register_dialect(t.spark)
+    return read_query(t.spark, """
+        select toStartOfMonth(ts) as month, toStartOfWeek(ts) as week, toDayOfWeek(ts) as dow, toHour(ts) as hour, count(*) as n, min(toStartOfHour(ts)) as first_hour
+        from {e} group by 1, 2, 3, 4""", e=t.events)

@@ -23,11 +23,12 @@ def layer(t: Tables) -> SemanticLayer:
                 Measure("returned_quantity", "sum", "l_quantity", filters=(Filter("l_returnflag", "=", "R"),)),
             ], dimensions=[Dimension("return_flag", "l_returnflag"),
                            Dimension("ship_date", "l_shipdate", "temporal")]),
-            SemanticModel("orders", lambda: t.orders, kind="dimension", dimensions=[
+            SemanticModel("orders", lambda: t.orders, measures=[
+                Measure("order_value", "sum", "o_totalprice"), Measure("placed_orders", "count", "o_orderkey")], dimensions=[
                 Dimension("order_date", "o_orderdate", "temporal"),
                 Dimension("order_month", "trunc(o_orderdate, 'month')", "hierarchical", "calendar", 3, "order_quarter"),
                 Dimension("order_year", "year(o_orderdate)", "hierarchical", "calendar", 1),
-                Dimension("priority", "o_orderpriority")]),
+                Dimension("priority", "o_orderpriority"), Dimension("status", "o_orderstatus")]),
             SemanticModel("customers", lambda: t.customer, kind="dimension", dimensions=[
                 Dimension("segment", "c_mktsegment")]),
             SemanticModel("nations", lambda: t.nation, kind="dimension", dimensions=[Dimension("nation", "n_name")]),
@@ -77,6 +78,16 @@ def semantic_filtered_and_median(t):
             .withColumn("median_price", F.round("median_price", 4)))
 
 
+@query("semantic_two_facts", [65, 84], """
+    with s as (select o_orderpriority as priority, sum(l_quantity) as quantity from lineitem join orders on l_orderkey = o_orderkey
+        where o_orderstatus = 'F' group by 1),
+    o as (select o_orderpriority as priority, round(sum(o_totalprice), 2) as order_value, count(*) as placed_orders from orders where o_orderstatus = 'F' group by 1)
+    select coalesce(s.priority, o.priority) as priority, quantity, order_value, placed_orders from s full join o on s.priority = o.priority""")
+def semantic_two_facts(t):
+    return (semantic_query(layer(t), SemanticQuery(["quantity", "order_value", "placed_orders"], ["priority"], {"status": "F"}))
+            .withColumn("order_value", F.round("order_value", 2)))
+
+
 @query("agg_basic", [75], """
     select l_returnflag, l_linestatus, sum(l_quantity) as sum_qty, count(l_orderkey) as n,
            round(avg(l_extendedprice), 6) as avg_price, min(l_shipdate)::date as first_ship, max(l_discount) as max_disc
