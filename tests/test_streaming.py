@@ -36,6 +36,10 @@ def test_replayed_batch_counts_once(spark):
     log.apply(batch, 0)
     log.apply(batch, 1)
     assert rows(log.read()) == [(1, 4), (2, 2)]
+    assert rows(log.compact()) == [(1, 4), (2, 2)]
+    log.apply(batch, 1)  # delivered again after the compaction
+    log.apply(batch, 2)
+    assert rows(log.read()) == [(1, 6), (2, 3)] and rows(log.compact()) == [(1, 6), (2, 3)]
 
 
 def test_trend_matches_batch(spark, sf):

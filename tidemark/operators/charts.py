@@ -13,25 +13,24 @@ from ..plans.shapes import distribution_query, period
 from .filters import bucket_column
 from .joins import same_period_join
 from .measures import Measure, aggregate
-from .ordered import exact_percentiles, running, same
+from ..session import materialize
+from .ordered import count_values, has_hot_group, percentiles_of_counts, running, same
 from .reshape import pivot, span, spine
 
 EMPTY_NODE = "∅"  # fixed value: label of a missing level
 
 
-def _value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    return (df.filter(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("value"))
-            .agg(F.count(F.lit(1)).alias("n")))
-
-
 def _fenced(df: DataFrame, groups: Sequence[str], value: str, reach: float) -> DataFrame:
     """Distinct values with counts beside their group's quartiles and fences."""
-    quartiles = exact_percentiles(df, groups, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    hot = has_hot_group(df, groups)
+    counts = count_values(df, groups, value)
+    counts = materialize(counts, "counted") if hot else counts
+    quartiles = percentiles_of_counts(counts, groups, {"q1": 0.25, "median": 0.5, "q3": 0.75}, hot=hot)
     step = (F.col("q3") - F.col("q1")) * reach
     fences = quartiles.withColumn("low", F.col("q1") - step).withColumn("high", F.col("q3") + step)
-    counts = _value_counts(df, groups, value)
     return (counts.alias("l").join(fences.alias("r"), same("l", "r", groups), "inner")
-            .select(*[F.col(f"l.{g}") for g in groups], "value", "n", "q1", "median", "q3", "low", "high"))
+            .select(*[F.col(f"l.{g}") for g in groups], F.col("l._v").alias("value"), F.col("l._n").alias("n"),
+                    "q1", "median", "q3", "low", "high"))
 
 
 def box_plot_stats(df: DataFrame, groups: Sequence[str], value: str, reach: float = 1.5) -> DataFrame:

@@ -54,7 +54,7 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
 
 def small_cross_join(left: DataFrame, right: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """Cartesian product with a side proven small; anything larger is refused."""
-    if right.limit(max_rows + 1).count() > max_rows:
+    if right.count() > max_rows:
         raise ValueError(f"the right side of a cross join may hold at most {max_rows} rows")
     return left.join(F.broadcast(right))
 

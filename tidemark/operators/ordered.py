@@ -55,7 +55,7 @@ def order_position(df: DataFrame, order: Order) -> Column:
 def has_hot_group(df: DataFrame, partition: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
     """Does any group hold more than `hot_rows` rows? Counts are combined before the shuffle."""
     if not partition:
-        return df.limit(hot_rows + 1).count() > hot_rows
+        return df.count() > hot_rows
     sizes = df.groupBy(*partition).agg(F.count(F.lit(1)).alias("_n"))
     return not sizes.filter(F.col("_n") > hot_rows).isEmpty()
 
@@ -205,6 +205,12 @@ def framed(df: DataFrame, partition: Sequence[str], order: Order,
             .filter(~F.col("_halo")).drop("_rn", "_b", "_halo"))
 
 
+def count_values(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """Distinct non-null values `_v` per group with their number of rows `_n`."""
+    return (df.filter(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("_v"))
+            .agg(F.count(F.lit(1)).alias("_n")))
+
+
 def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, wanted: dict[str, float],
                       discrete: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Exact quantiles per group: {out: probability}.
@@ -212,11 +218,14 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, wanted:
     Values are counted before the sort, and the running count of a hot group is
     chunked, so neither a frequent value nor a large group sits in one task.
     """
-    counted = (df.filter(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("_v"))
-               .agg(F.count(F.lit(1)).alias("_n")))
     hot = has_hot_group(df, groups, hot_rows)  # rows bound distinct values from above
-    if hot:
-        counted = materialize(counted, "counted")
+    counted = count_values(df, groups, value)
+    return percentiles_of_counts(materialize(counted, "counted") if hot else counted, groups, wanted, discrete, hot, hot_rows)
+
+
+def percentiles_of_counts(counted: DataFrame, groups: Sequence[str], wanted: dict[str, float], discrete: bool = False,
+                          hot: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Exact quantiles from `count_values`; with a hot group `counted` should be stored."""
     cum = running(counted, groups, ["_v"], {"_cum": ("sum", "_n")}, hot_rows, hot=hot, stored=hot)
     totals = counted.groupBy(*groups).agg(F.sum("_n").alias("_total"))
     if groups:

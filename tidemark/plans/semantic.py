@@ -108,9 +108,10 @@ class SemanticLayer:
                         queue.append((edge.right, [*path, edge]))
         raise ValueError(f"no relationship path from {start!r} to {goal!r}")
 
-    def joined(self, primary: str, needed: Sequence[str], tenant: str | None = None) -> DataFrame:
-        """The primary model joined with every needed model along its path."""
-        df, present = self.model(primary).frame(tenant), {primary}
+    def joined(self, primary: str, needed: Sequence[str], tenant: str | None = None,
+               base: DataFrame | None = None) -> DataFrame:
+        """The primary model (or `base` in its place) joined with every needed model along its path."""
+        df, present = self.model(primary).frame(tenant) if base is None else base, {primary}
         for goal in needed:
             for edge in self.join_path(primary, goal):
                 if edge.right in present:
@@ -137,10 +138,20 @@ class SemanticQuery:
     limit: int | None = None
     offset: int = 0
     tenant: str | None = None
+    pre_aggregate: bool = False
+
+
+_REDUCE = ("sum", "count", "min", "max")
 
 
 def semantic_frame(layer: SemanticLayer, q: SemanticQuery) -> tuple[DataFrame, list[Measure]]:
-    """The filtered join of a query with its dimensions as columns, before grouping."""
+    """The filtered join of a query with its dimensions as columns, and the measures to compute over it.
+
+    With `pre_aggregate` the fact is first reduced to one row per join key and
+    own dimension. That pays when the dimensions are too big to broadcast: the
+    join then shuffles groups instead of rows, and when the join key is the only
+    group the fact is already partitioned for that join.
+    """
     measures = [layer.find_measure(n) for n in q.measures]
     filters = filters_from_map(q.filters) if isinstance(q.filters, Mapping) else list(q.filters)
     used = list(dict.fromkeys([*q.dimensions, *[f.column for f in filters],
@@ -151,13 +162,31 @@ def semantic_frame(layer: SemanticLayer, q: SemanticQuery) -> tuple[DataFrame, l
     else:
         primary = dims[q.dimensions[0]][0].name
     needed = list(dict.fromkeys([m.name for m, _ in measures] + [m.name for m, _ in dims.values()]))
-    df = layer.joined(primary, [n for n in needed if n != primary], q.tenant)
+    others = [n for n in needed if n != primary]
     resolve = {n: d.expression for n, (_, d) in dims.items()}
-    df = df.filter(conjunction(filters, resolve))
+    asked = [x for _, x in measures]
+    conditions = [(f.column, f.to_column(resolve)) for f in filters]
     if q.time_dimension and (q.date_from or q.date_to):
-        df = df.filter(time_range(resolve[q.time_dimension], q.date_from, q.date_to))
+        conditions.append((q.time_dimension, time_range(resolve[q.time_dimension], q.date_from, q.date_to)))
+    base = None
+    if q.pre_aggregate and others:
+        own = [n for n, (m, _) in dims.items() if m.name == primary]
+        keys = list(dict.fromkeys(e.left_key for g in others for e in layer.join_path(primary, g) if e.left == primary))
+        kept = list(dict.fromkeys([*keys, *[n for n in own if n in q.dimensions]]))
+        distinct = lambda x: x.aggregation == "count_distinct" and x.expression in keys and not x.filters
+        unconditional = not any(e.condition for g in others for e in layer.join_path(primary, g))
+        if unconditional and all(x.aggregation in _REDUCE or distinct(x) for x in asked):
+            rows = layer.model(primary).frame(q.tenant).filter(conjunction([c for n, c in conditions if n in own]))
+            rows = rows.withColumns({n: F.expr(resolve[n]) for n in own if n in q.dimensions})
+            base = rows.groupBy(*kept).agg(*[x.to_column() for x in asked if not distinct(x)] or [F.count(F.lit(1)).alias("_n")])
+            conditions = [(n, c) for n, c in conditions if n not in own]
+            resolve |= {n: f"`{n}`" for n in own}
+            # totals of totals: counts add up like sums
+            asked = [x if distinct(x) else Measure(x.name, "sum" if x.aggregation == "count" else x.aggregation, f"`{x.name}`")
+                     for x in asked]
+    df = layer.joined(primary, others, q.tenant, base).filter(conjunction([c for _, c in conditions]))
     df = df.withColumns({n: F.expr(resolve[n]) for n in q.dimensions})
-    return df, [x for _, x in measures]
+    return df, asked
 
 
 def semantic_query(layer: SemanticLayer, q: SemanticQuery) -> DataFrame:

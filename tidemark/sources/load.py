@@ -8,10 +8,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import HOT_ROWS, first_per_group, framed, same
+from ..session import materialize
+from .writers import replace_partition
 
 
 def merge_upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], cursor: str | None = None) -> DataFrame:
@@ -31,6 +33,26 @@ def merge_upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], cur
     return kept.unionByName(newest, allowMissingColumns=True)
 
 
+def merge_partitions(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str], partition: str,
+                     cursor: str | None = None, files_per_partition: int = 8, max_partitions: int = 10_000) -> DataFrame:
+    """Upsert into a partitioned parquet table, reading and rewriting only the partitions the updates name.
+
+    A key must always fall into the same partition (say, its creation month).
+    The merged partitions are stored aside before they replace the old ones;
+    running the same updates again gives the same table.
+    """
+    table = spark.read.parquet(path)
+    updates = updates.withColumn(partition, F.col(partition).cast(table.schema[partition].dataType))
+    named = updates.select(partition).distinct().limit(max_partitions + 1).collect()
+    if len(named) > max_partitions:
+        raise ValueError(f"the updates name more than {max_partitions} partitions; rebuild the table instead")
+    touched = table.filter(F.col(partition).isin([r[0] for r in named]))
+    merged = materialize(merge_upsert(touched, updates, keys, cursor), "merge")
+    spread = F.pmod(F.xxhash64(*keys), F.lit(files_per_partition))
+    replace_partition(merged.repartition(F.col(partition), spread), path, partition)
+    return spark.read.parquet(path)
+
+
 def scd1_merge(target: DataFrame, batch: DataFrame, keys: Sequence[str], cursor: str | None = None) -> DataFrame:
     """Attributes overwritten in place."""
     return merge_upsert(target, batch, keys, cursor)

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CURRENT = "CURRENT"  # names the live version folder of a versioned table
-
-
 def write_append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
@@ -21,44 +18,30 @@ def write_replace(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
 
 
 class VersionedTable:
-    """A table folder whose versions are complete parquet folders.
+    """A table folder whose numbered sub-folders are complete versions.
 
-    A new version is written beside the live one and published by writing one
-    small pointer file, so a job that dies half way leaves the live version
-    as it was, and a table may be rebuilt from its own content.
+    The live version is the highest one Spark has marked as finished, so a job
+    that dies half way leaves the live version as it was, a table may be rebuilt
+    from its own content, and of two writers that race for a number one fails.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _file(self, name: str):
-        jvm = self.spark._jvm
-        return jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-
-    def _fs(self):
-        return self._file(CURRENT).getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _numbers(self, suffix: str = "") -> list[int]:
+        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v-*{suffix}")
+        found = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+        return sorted(int(re.search(r"/v-(\d+)", f.getPath().toString()).group(1)) for f in found)
 
     def exists(self) -> bool:
-        return self._fs().exists(self._file(CURRENT))
-
-    def _version(self) -> str:
-        stream = self._fs().open(self._file(CURRENT))
-        try:
-            return stream.readUTF()
-        finally:
-            stream.close()
+        return bool(self._numbers("/_SUCCESS"))
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self._version()}")
+        return self.spark.read.parquet(f"{self.path}/v-{self._numbers('/_SUCCESS')[-1]:08d}")
 
     def publish(self, df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
-        version = f"v-{uuid.uuid4().hex[:12]}"
-        df.write.partitionBy(*partition_by).parquet(f"{self.path}/{version}")
-        stream = self._fs().create(self._file(CURRENT), True)
-        try:
-            stream.writeUTF(version)
-        finally:
-            stream.close()
+        number = max(self._numbers(), default=0) + 1
+        df.write.partitionBy(*partition_by).parquet(f"{self.path}/v-{number:08d}")
         return self.read()
 
 

@@ -23,21 +23,36 @@ class BatchLog:
         self.spark, self.path = spark, path.rstrip("/")
         self.base = VersionedTable(spark, f"{self.path}/base")
 
-    def _hadoop(self, name: str):
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
-
     def put(self, batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{self.path}/log/batch={batch_id}")
 
-    def batches(self) -> DataFrame | None:
-        """All logged rows with their batch number (column `batch`)."""
-        fs, where = self._hadoop("log")
-        if not fs.exists(where):
+    def _logged(self) -> DataFrame | None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/log")
+        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
             return None
         return self.spark.read.option("basePath", f"{self.path}/log").parquet(f"{self.path}/log/batch=*")
 
+    def rows(self) -> DataFrame:
+        """The base and the batches after it, with their batch number (column `batch`)."""
+        logged = self._logged()
+        if not self.base.exists():
+            return logged
+        base = self.base.read()
+        if logged is None:
+            return base
+        # batch folders that the base already holds are pruned, not read
+        done = base.agg(F.max("batch")).first()[0]
+        return base.unionByName(logged.filter(F.col("batch") > (-1 if done is None else done)), allowMissingColumns=True)
+
+    def read(self) -> DataFrame:
+        raise NotImplementedError
+
+    def compact(self) -> DataFrame:
+        """Publish the current content as the base; later reads start from it."""
+        last = self.rows().agg(F.max("batch")).first()[0]
+        self.base.publish(self.read().withColumn("batch", F.lit(-1 if last is None else last).cast("int")))
+        return self.read()
+
 
 class UpsertLog(BatchLog):
     """Latest row per key; `version` orders rows of one key, the batch number breaks ties."""
@@ -52,16 +67,8 @@ class UpsertLog(BatchLog):
         self.put(first_per_group(batch, self.keys, order), batch_id)
 
     def read(self) -> DataFrame:
-        logged = self.batches()
-        if self.base.exists():
-            base = self.base.read().withColumn("batch", F.lit(-1))
-            logged = base if logged is None else base.unionByName(logged, allowMissingColumns=True)
         order = ([f"-{self.version}"] if self.version else []) + ["-batch"]
-        return first_per_group(logged, self.keys, order).drop("batch")
-
-    def compact(self) -> DataFrame:
-        """Publish the current content as the base. The logged batches stay valid beside it."""
-        return self.base.publish(self.read())
+        return first_per_group(self.rows(), self.keys, order).drop("batch")
 
 
 class SumLog(BatchLog):
@@ -75,7 +82,7 @@ class SumLog(BatchLog):
         self.put(batch.groupBy(*self.keys).agg(*[c.alias(n) for n, c in self.totals.items()]), batch_id)
 
     def read(self) -> DataFrame:
-        return self.batches().groupBy(*self.keys).agg(*[F.sum(n).alias(n) for n in self.totals])
+        return self.rows().groupBy(*self.keys).agg(*[F.sum(n).alias(n) for n in self.totals])
 
 
 def each_batch(apply: Callable[[DataFrame, int], None]):

@@ -54,6 +54,19 @@ def semantic_revenue_by_region_month(t):
     return semantic_query(layer(t), q).withColumn("revenue", F.round("revenue", 4))
 
 
+@query("semantic_pre_aggregated", [63, 84], """
+    select r_name as region, date_trunc('month', o_orderdate)::date as order_month, l_returnflag as return_flag,
+           round(sum(l_extendedprice * (1 - l_discount)), 4) as revenue, count(distinct l_orderkey) as order_count,
+           sum(l_quantity) filter (l_returnflag = 'R') as returned_quantity
+    from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
+    join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
+    where o_orderstatus = 'F' and l_shipdate >= timestamp '1996-01-01' and l_shipdate <= timestamp '1999-06-30' group by 1, 2, 3""")
+def semantic_pre_aggregated(t):
+    q = SemanticQuery(["revenue", "order_count", "returned_quantity"], ["region", "order_month", "return_flag"], {"status": "F"},
+                      time_dimension="ship_date", date_from="1996-01-01", date_to="1999-06-30", pre_aggregate=True)
+    return semantic_query(layer(t), q).withColumn("revenue", F.round("revenue", 4))
+
+
 @query("semantic_query_paged", [84, 93, 114, 115, 51], """
     select n_name as nation, l_returnflag as return_flag, sum(l_quantity) as quantity
     from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
