@@ -16,12 +16,12 @@ from tidemark.session import build_session
 from workload import registry
 
 HEADLINE = """
-semantic_revenue_by_region_month semantic_query_paged agg_basic agg_count_distinct agg_percentile comparison_query
+semantic_revenue_by_region_month semantic_pre_aggregated semantic_query_paged agg_basic agg_count_distinct agg_percentile comparison_query
 trend_query_month trend_query_week top_n_query distribution_query correlation_query relative_period_filter
 inner_join_theta salted_join many_to_many_join drill_across range_lookup interval_join lineage_downstream
 window_rankings running_total moving_average_running_count percent_of_total period_growth deduplicate latest_version
 hierarchy_rollup pivot_with_subtotals cumulative_metric_trailing conversion_metric lod_fixed pivot unpivot surrogate_key
-url_parts json_property date_dimension fiscal_sales merge_upsert scd2_merge incremental_merge partitioned_write
+url_parts json_property date_dimension fiscal_sales merge_upsert scd2_merge merge_partitions incremental_merge partitioned_write
 test_unique test_relationships test_within_n_moving_stdevs test_mutually_exclusive_ranges run_quality_suite
 box_plot_stats flow_links word_counts incremental_rollup stream_dedupe
 lookup_orders lookup_recent_orders lookup_customers_by_status lookup_products_by_category lookup_customer_names

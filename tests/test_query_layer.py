@@ -102,6 +102,10 @@ def test_walks(spark):
     assert rows(j.lineage_traverse(edges, spark.createDataFrame([("d",)], "node string"), "upstream", 2)) == [("b", 2), ("c", 1), ("d", 0)]
     tree = spark.createDataFrame([(1, None), (2, 1), (3, 2)], "id int, up int")
     assert rows(j.ancestors(tree, "id", "up")) == [(2, 1, 1), (3, 1, 2), (3, 2, 1)]
+    chain = spark.range(1, 25).selectExpr("id", "nullif(id - 1, 0) as up")
+    assert j.ancestors(chain, "id", "up").count() == 24 * 23 // 2 and j.ancestors(chain, "id", "up", 2).count() == 23 + 22
+    with pytest.raises(ValueError):
+        j.ancestors(spark.createDataFrame([(1, 2), (2, 1)], "id int, up int"), "id", "up")
 
 
 def test_ip_lookup(spark):

@@ -182,31 +182,40 @@ def same_period_join(df: DataFrame, keys: Sequence[str], period: str, values: Se
             .select("l.*", *[F.col(f"r.{prefix}{v}") for v in values]))
 
 
-def ancestors(df: DataFrame, node: str, parent: str, max_depth: int = 16) -> DataFrame:
+def ancestors(df: DataFrame, node: str, parent: str, max_depth: int | None = None) -> DataFrame:
     """(node, ancestor, distance) pairs by walking parent links.
 
     One join per level against the link table; a level is written to the shared
-    folder so that the plan stays short. Stops at the first empty level.
+    folder so that the plan stays short. Walks until no link is left, or to
+    `max_depth`; a cycle is an error.
     """
     links = df.filter(F.col(parent).isNotNull()).select(F.col(node).alias("_n"), F.col(parent).alias("_p"))
     level = materialize(links.select(F.col("_n").alias("node"), F.col("_p").alias("ancestor")), "ancestors")
-    out = level.withColumn("distance", F.lit(1))
-    for depth in range(2, max_depth + 1):
+    out, depth = level.withColumn("distance", F.lit(1)), 1
+    while depth != max_depth:
+        if not level.filter(F.col("node") == F.col("ancestor")).isEmpty():
+            raise ValueError("the hierarchy contains a cycle")
         level = materialize(level.join(links, F.col("ancestor") == F.col("_n"))
                             .select("node", F.col("_p").alias("ancestor")), "ancestors")
+        depth += 1
         if level.isEmpty():
             break
         out = out.unionByName(level.withColumn("distance", F.lit(depth)))
     return out
 
 
-def lineage_traverse(edges: DataFrame, roots: DataFrame, direction: str = "downstream", max_depth: int = 8) -> DataFrame:
-    """(node, depth) reachable from the roots over `source`, `target` edges; each node once."""
+def lineage_traverse(edges: DataFrame, roots: DataFrame, direction: str = "downstream",
+                     max_depth: int | None = None) -> DataFrame:
+    """(node, depth) reachable from the roots over `source`, `target` edges; each node once.
+
+    Walks to `max_depth`, or until no new node is reached.
+    """
     src, dst = ("source", "target") if direction == "downstream" else ("target", "source")
     step = edges.select(F.col(src).alias("_from"), F.col(dst).alias("_to"))
     frontier = materialize(roots.select("node").distinct().withColumn("depth", F.lit(0)), "lineage")
-    seen = frontier
-    for depth in range(1, max_depth + 1):
+    seen, depth = frontier, 0
+    while depth != max_depth:
+        depth += 1
         reached = (frontier.join(step, F.col("node") == F.col("_from")).select(F.col("_to").alias("node")).distinct()
                    .join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         frontier = materialize(reached, "lineage")
@@ -216,7 +225,7 @@ def lineage_traverse(edges: DataFrame, roots: DataFrame, direction: str = "downs
     return seen
 
 
-def impact_counts(edges: DataFrame, roots: DataFrame, kinds: DataFrame, max_depth: int = 8) -> DataFrame:
+def impact_counts(edges: DataFrame, roots: DataFrame, kinds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Downstream nodes per kind; `kinds` maps node to kind."""
     hit = lineage_traverse(edges, roots, "downstream", max_depth).filter("depth > 0")
     return hit.join(kinds, "node").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))

@@ -141,6 +141,12 @@ def _result(c: Check, passed: Column, value: Column, threshold: Column, n: Colum
                     sample.alias("sample_failures"))
 
 
+def record_results(results: DataFrame, path: str) -> None:
+    """Append suite results to the quality table, one folder per month of the check."""
+    (results.withColumn("month", F.date_format("checked_at", "yyyyMM"))
+     .write.mode("append").partitionBy("month").parquet(path))
+
+
 def suite_status(results: DataFrame) -> DataFrame:
     """error when an ERROR test failed, warn when only WARN tests failed, else pass."""
     errors = F.count_if(~F.col("passed") & (F.col("severity") == "ERROR"))
