@@ -24,7 +24,7 @@ ORDERS = [["ts", "event_id"], ["-ts", "event_id"], ["event_type", "event_id"], [
 @pytest.mark.parametrize("hot_rows", [20, 10**6])
 def test_row_number(events, order, partition, hot_rows):
     w = Window.partitionBy(*partition).orderBy(*o.sort_columns(order))
-    got = o.number_rows(events, partition, order, hot_rows=hot_rows, chunks=8)
+    got = o.number_rows(events, partition, order, hot_rows=hot_rows)
     assert rows(got) == rows(events.withColumn("row_number", F.row_number().over(w).cast("bigint")))
 
 
@@ -32,7 +32,7 @@ def test_row_number(events, order, partition, hot_rows):
 def test_rank(events, partition):
     w = Window.partitionBy(*partition).orderBy("event_type")
     want = events.withColumns({"rank": F.rank().over(w).cast("bigint"), "dense_rank": F.dense_rank().over(w).cast("bigint")})
-    assert rows(o.rank_rows(events, partition, ["event_type"], hot_rows=20, chunks=8)) == rows(want)
+    assert rows(o.rank_rows(events, partition, ["event_type"], hot_rows=20)) == rows(want)
 
 
 @pytest.mark.parametrize("partition", [["u"], []])
@@ -40,13 +40,13 @@ def test_running(events, partition):
     spec = {"s": ("sum", "v"), "c": ("count", "v"), "lo": ("min", "v"), "hi": ("max", "v")}
     w = Window.partitionBy(*partition).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     want = events.withColumns({n: getattr(F, fn)(c).over(w) for n, (fn, c) in spec.items()})
-    assert rows(o.running(events, partition, ["ts", "event_id"], spec, hot_rows=20, chunks=8)) == rows(want)
+    assert rows(o.running(events, partition, ["ts", "event_id"], spec, hot_rows=20)) == rows(want)
 
 
 def test_running_starts_with_nulls(spark):
     df = spark.createDataFrame([(i, None if i < 30 else i) for i in range(100)], "k int, v int")
     w = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    got = o.running(df, [], ["k"], {"s": ("sum", "v")}, hot_rows=5, chunks=16)
+    got = o.running(df, [], ["k"], {"s": ("sum", "v")}, hot_rows=5)
     assert rows(got) == rows(df.withColumn("s", F.sum("v").over(w)))
 
 
@@ -56,7 +56,7 @@ def test_framed(events, partition, block):
     fns = {"back": lambda w: F.lag("v", 2).over(w), "ahead": lambda w: F.lead("v").over(w),
            "mean": lambda w: F.sum("v").over(w.rowsBetween(-3, 1))}
     w = Window.partitionBy(*partition).orderBy("ts", "event_id")
-    got = o.framed(events, partition, ["ts", "event_id"], fns, before=3, after=1, block_rows=block, chunks=8)
+    got = o.framed(events, partition, ["ts", "event_id"], fns, before=3, after=1, block_rows=block)
     assert rows(got) == rows(events.withColumns({n: f(w) for n, f in fns.items()}))
 
 
@@ -75,6 +75,16 @@ def test_discrete_percentile(spark):
     assert rows(got) == [(2.0, 3.0, 1.0)]
 
 
+def test_strings_and_chunks_stay_in_order(spark):
+    df = spark.range(300).selectExpr("concat('common-prefix-', lpad(id, 4, '0')) as s", "id as v", "if(id % 3 = 0, 'hot', concat('k', id % 40)) as k")
+    w = Window.partitionBy("k").orderBy(F.desc("s"))
+    assert rows(o.number_rows(df, ["k"], ["-s"], hot_rows=10)) == rows(df.withColumn("row_number", F.row_number().over(w).cast("bigint")))
+    chunked = o.in_chunks(df, [], ["s"], 300, 10)
+    ends = chunked.groupBy("_chunk").agg(F.min("s").alias("a"), F.max("s").alias("b"), F.count("*").alias("n")).orderBy("_chunk").collect()
+    assert len(ends) > 10 and all(x.b < y.a for x, y in zip(ends, ends[1:]))
+    assert max(e.n for e in ends) < 60
+
+
 def test_first_per_group_limits_before_the_shuffle(events):
     plan = o.first_per_group(events, ["u"], ["-ts", "event_id"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2  # one on each side of the exchange

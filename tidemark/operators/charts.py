@@ -22,10 +22,10 @@ EMPTY_NODE = "∅"  # fixed value: label of a missing level
 
 def _fenced(df: DataFrame, groups: Sequence[str], value: str, reach: float) -> DataFrame:
     """Distinct values with counts beside their group's quartiles and fences."""
-    hot = has_hot_group(df, groups)
+    short = not has_hot_group(df, groups)
     counts = count_values(df, groups, value)
-    counts = materialize(counts, "counted") if hot else counts
-    quartiles = percentiles_of_counts(counts, groups, {"q1": 0.25, "median": 0.5, "q3": 0.75}, hot=hot)
+    counts = counts if short else materialize(counts, "counted")
+    quartiles = percentiles_of_counts(counts, groups, {"q1": 0.25, "median": 0.5, "q3": 0.75}, short=short)
     step = (F.col("q3") - F.col("q1")) * reach
     fences = quartiles.withColumn("low", F.col("q1") - step).withColumn("high", F.col("q3") + step)
     return (counts.alias("l").join(fences.alias("r"), same("l", "r", groups), "inner")

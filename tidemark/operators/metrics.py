@@ -41,7 +41,7 @@ def cumulative_metric(df: DataFrame, time_column: str, grain: str, value: str, g
            .agg(F.sum(F.expr(value)).alias("period_value")))
     if window is None:
         # `per` holds one row per group and period, so no group is long
-        return running(per, group_by, ["time_period"], {name: ("sum", "period_value")}, hot=False)
+        return running(per, group_by, ["time_period"], {name: ("sum", "period_value")}, short=True)
     w = (Window.partitionBy(*group_by).orderBy(_period_index("time_period", grain))
          .rangeBetween(-(window - 1), 0))
     return per.withColumn(name, F.sum("period_value").over(w))

@@ -2,14 +2,15 @@
 
 A plain window sorts a whole partition key inside one task. Each operator here
 first counts the rows per group. When no group exceeds `hot_rows`, it is a plain
-window: one shuffle, one sort. Otherwise the input is written once to the shared
-folder, hot groups are cut into consecutive chunks of their order, chunks are
-windowed in parallel, and a small per-chunk summary carries state from one chunk
-to the next. Both ways give the same rows.
+window: one shuffle, one sort. Otherwise the rows are range-partitioned by
+(keys, order) into chunks of about `hot_rows` rows and stored with their chunk
+number. Chunks are windowed in parallel, and a small summary per chunk carries
+state from one chunk to the next. Both ways give the same rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 HOT_ROWS = 2_000_000
-CHUNKS = 64
+MAX_CHUNKS = 100_000
 Order = Sequence[str]  # column names, "-name" sorts descending
 
 
@@ -33,81 +34,70 @@ def same(left: str, right: str, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
-def order_position(df: DataFrame, order: Order) -> Column:
-    """A double that never decreases along the first order column."""
-    descending, name = order[0].startswith("-"), order[0].lstrip("-")
-    kind, col = dict(df.dtypes)[name], F.col(name)
-    if kind == "string":
-        digits = F.rpad(F.hex(F.substring(col, 1, 6)), 12, "0")
-        pos = F.conv(digits, 16, 10).cast("double")
-    elif kind == "date":
-        pos = F.unix_date(col).cast("double")
-    elif kind.startswith("timestamp"):
-        pos = F.unix_micros(col.cast("timestamp")).cast("double")
-    elif kind == "boolean":
-        pos = col.cast("int").cast("double")
-    else:
-        pos = col.cast("double")
-    pos = -pos if descending else pos
-    return F.coalesce(pos, F.lit(float("inf") if descending else float("-inf")))
+def group_sizes(df: DataFrame, partition: Sequence[str]) -> tuple[int, int]:
+    """Rows of the largest group and of all groups; counts are combined before the shuffle."""
+    if not partition:
+        n = df.count()
+        return n, n
+    sizes = df.groupBy(*partition).agg(F.count(F.lit(1)).alias("_n"))
+    row = sizes.agg(F.coalesce(F.max("_n"), F.lit(0)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    return row[0], row[1]
 
 
 def has_hot_group(df: DataFrame, partition: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
-    """Does any group hold more than `hot_rows` rows? Counts are combined before the shuffle."""
-    if not partition:
-        return df.count() > hot_rows
-    sizes = df.groupBy(*partition).agg(F.count(F.lit(1)).alias("_n"))
-    return not sizes.filter(F.col("_n") > hot_rows).isEmpty()
+    """Does any group hold more than `hot_rows` rows?"""
+    return group_sizes(df, partition)[0] > hot_rows
 
 
-def with_chunks(df: DataFrame, partition: Sequence[str], order: Order,
-                hot_rows: int = HOT_ROWS, chunks: int = CHUNKS) -> DataFrame:
-    """Add `_chunk`: 0 for ordinary groups, ascending along the order for hot ones.
+def in_chunks(df: DataFrame, partition: Sequence[str], order: Order, total: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The rows stored with `_chunk`, ascending along (partition, order).
 
-    Chunk edges are approximate quantiles of the hot rows, read from a
-    mergeable sketch: `chunks - 1` numbers whatever the size of the data. `df`
-    is read several times and should be a stored frame.
+    Range partitioning samples the keys, so chunks are about equal however the
+    rows are spread over groups, and rows that are equal on all columns named
+    share a chunk. Storing the number fixes it for every later pass.
     """
-    pos = order_position(df, order)
-    marked, is_hot = df, F.lit(True)
-    if partition:
-        hot = (df.groupBy(*partition).agg(F.count(F.lit(1)).alias("_n"))
-               .filter(F.col("_n") > hot_rows).drop("_n").withColumn("_hot", F.lit(True)))
-        marked = (df.alias("l").join(hot.alias("h"), same("l", "h", partition), "left")
-                  .select("l.*", F.coalesce("h._hot", F.lit(False)).alias("_hot")))
-        is_hot = F.col("_hot")
-    cuts = [i / chunks for i in range(1, chunks)]
-    edges = (marked.filter(is_hot).select(pos.alias("_p"))
-             .agg(F.percentile_approx("_p", cuts, chunks * 10).alias("_e")).scalar())
-    chunk = F.coalesce(F.size(F.filter("_edges", lambda e: e < pos)), F.lit(0))
-    return (marked.withColumn("_edges", edges)
-            .withColumn("_chunk", F.when(is_hot, chunk).otherwise(F.lit(0))).drop("_hot", "_edges"))
+    n = min(max(math.ceil(total / hot_rows), 2), MAX_CHUNKS)
+    ranged = df.repartitionByRange(n, *[F.col(p) for p in partition], *sort_columns(order))
+    return materialize(ranged.withColumn("_chunk", F.spark_partition_id()), "chunks")
+
+
+def _chunked_if_hot(df: DataFrame, partition: Sequence[str], order: Order, hot_rows: int) -> DataFrame | None:
+    largest, total = group_sizes(df, partition)
+    return in_chunks(df, partition, order, total, hot_rows) if largest > hot_rows else None
 
 
 def _carry(chunked: DataFrame, partition: Sequence[str], totals: dict[str, Column],
            carry: dict[str, Callable[[WindowSpec], Column]]) -> DataFrame:
-    """Summaries of all earlier chunks, one row per chunk after the first."""
+    """Summaries of all earlier chunks of a group, for groups that lie in several chunks.
+
+    Chunks are contiguous, so only the first group of a chunk can come from an
+    earlier one: there is at most one row per chunk.
+    """
     per_chunk = chunked.groupBy(*partition, "_chunk").agg(*[c.alias(n) for n, c in totals.items()])
-    before = Window.partitionBy(*partition).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    return (per_chunk.select(*partition, "_chunk", *[fn(before).alias(n) for n, fn in carry.items()])
-            .filter(F.col("_chunk") > 0))
+    w = Window.partitionBy(*partition).orderBy("_chunk")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    return (per_chunk.select(*partition, "_chunk", F.row_number().over(w).alias("_nth"),
+                             *[fn(before).alias(n) for n, fn in carry.items()])
+            .filter(F.col("_nth") > 1).drop("_nth"))
 
 
 def _with_carry(local: DataFrame, carried: DataFrame, partition: Sequence[str]) -> DataFrame:
     extra = [c for c in carried.columns if c not in (*partition, "_chunk")]
-    if not partition:  # at most one row per chunk
-        carried = F.broadcast(carried)
-    return (local.alias("l").join(carried.alias("c"), same("l", "c", [*partition, "_chunk"]), "left")
+    return (local.alias("l").join(F.broadcast(carried).alias("c"), same("l", "c", [*partition, "_chunk"]), "left")
             .select("l.*", *[F.col(f"c.`{c}`") for c in extra]))
 
 
 def number_rows(df: DataFrame, partition: Sequence[str], order: Order, name: str = "row_number",
-                hot_rows: int = HOT_ROWS, chunks: int = CHUNKS, hot: bool | None = None) -> DataFrame:
+                hot_rows: int = HOT_ROWS) -> DataFrame:
     """Exact row_number. The order must be total for a repeatable result."""
-    if not (has_hot_group(df, partition, hot_rows) if hot is None else hot):
+    chunked = _chunked_if_hot(df, partition, order, hot_rows)
+    if chunked is None:
         whole = Window.partitionBy(*partition).orderBy(*sort_columns(order))
         return df.withColumn(name, F.row_number().over(whole).cast("bigint"))
-    chunked = with_chunks(materialize(df, "ordered"), partition, order, hot_rows, chunks)
+    return _number_chunks(chunked, partition, order, name)
+
+
+def _number_chunks(chunked: DataFrame, partition: Sequence[str], order: Order, name: str) -> DataFrame:
     here = Window.partitionBy(*partition, "_chunk").orderBy(*sort_columns(order))
     local = chunked.withColumn("_ln", F.row_number().over(here))
     carried = _carry(chunked, partition, {"_n": F.count(F.lit(1))},
@@ -118,13 +108,13 @@ def number_rows(df: DataFrame, partition: Sequence[str], order: Order, name: str
 
 
 def rank_rows(df: DataFrame, partition: Sequence[str], order: Order, rank: str = "rank",
-              dense: str = "dense_rank", hot_rows: int = HOT_ROWS, chunks: int = CHUNKS) -> DataFrame:
-    """Exact rank and dense_rank; equal order values always share a chunk."""
-    if not has_hot_group(df, partition, hot_rows):
+              dense: str = "dense_rank", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Exact rank and dense_rank; rows equal on the order always share a chunk."""
+    chunked = _chunked_if_hot(df, partition, order, hot_rows)
+    if chunked is None:
         whole = Window.partitionBy(*partition).orderBy(*sort_columns(order))
         return df.withColumns({rank: F.rank().over(whole).cast("bigint"),
                                dense: F.dense_rank().over(whole).cast("bigint")})
-    chunked = with_chunks(materialize(df, "ordered"), partition, order, hot_rows, chunks)
     here = Window.partitionBy(*partition, "_chunk").orderBy(*sort_columns(order))
     local = chunked.withColumn("_r", F.rank().over(here)).withColumn("_d", F.dense_rank().over(here))
     key = F.struct(*[F.col(o.lstrip("-")) for o in order])
@@ -149,18 +139,16 @@ _REAGG = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 
 
 def running(df: DataFrame, partition: Sequence[str], order: Order, measures: dict[str, tuple[str, str]],
-            hot_rows: int = HOT_ROWS, chunks: int = CHUNKS, hot: bool | None = None,
-            stored: bool = False) -> DataFrame:
+            hot_rows: int = HOT_ROWS, short: bool = False) -> DataFrame:
     """Unbounded-preceding sum / count / min / max: {out: (function, column)}.
 
-    `hot` and `stored` pass on what the caller already knows: whether a group is
-    hot, and whether `df` is read from storage.
+    `short` says that the caller knows no group is long, which saves the count.
     """
-    if not (has_hot_group(df, partition, hot_rows) if hot is None else hot):
+    chunked = None if short else _chunked_if_hot(df, partition, order, hot_rows)
+    if chunked is None:
         whole = (Window.partitionBy(*partition).orderBy(*sort_columns(order))
                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         return df.withColumns({n: _AGG[fn](c).over(whole) for n, (fn, c) in measures.items()})
-    chunked = with_chunks(df if stored else materialize(df, "ordered"), partition, order, hot_rows, chunks)
     here = (Window.partitionBy(*partition, "_chunk").orderBy(*sort_columns(order))
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local, totals, carry = chunked, {}, {}
@@ -176,7 +164,7 @@ def running(df: DataFrame, partition: Sequence[str], order: Order, measures: dic
 
 def framed(df: DataFrame, partition: Sequence[str], order: Order,
            columns: dict[str, Callable[[WindowSpec], Column]], before: int = 0, after: int = 0,
-           block_rows: int = HOT_ROWS, chunks: int = CHUNKS) -> DataFrame:
+           block_rows: int = HOT_ROWS) -> DataFrame:
     """Window functions that look at most `before` / `after` rows away.
 
     With a hot group, rows are numbered exactly, cut into blocks of
@@ -184,10 +172,11 @@ def framed(df: DataFrame, partition: Sequence[str], order: Order,
     its frames can reach.
     """
     block_rows = max(block_rows, before, after, 1)
-    if not has_hot_group(df, partition, block_rows):
+    chunked = _chunked_if_hot(df, partition, order, block_rows)
+    if chunked is None:
         whole = Window.partitionBy(*partition).orderBy(*sort_columns(order))
         return df.withColumns({name: fn(whole) for name, fn in columns.items()})
-    rn = number_rows(df, partition, order, "_rn", block_rows, chunks, hot=True)
+    rn = _number_chunks(chunked, partition, order, "_rn")
     block = F.floor((F.col("_rn") - 1) / block_rows)
     inside = F.pmod(F.col("_rn") - 1, F.lit(block_rows))
     homes = [F.struct(block.alias("b"), F.lit(False).alias("halo"))]
@@ -218,15 +207,15 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, wanted:
     Values are counted before the sort, and the running count of a hot group is
     chunked, so neither a frequent value nor a large group sits in one task.
     """
-    hot = has_hot_group(df, groups, hot_rows)  # rows bound distinct values from above
+    short = not has_hot_group(df, groups, hot_rows)  # rows bound distinct values from above
     counted = count_values(df, groups, value)
-    return percentiles_of_counts(materialize(counted, "counted") if hot else counted, groups, wanted, discrete, hot, hot_rows)
+    return percentiles_of_counts(counted if short else materialize(counted, "counted"), groups, wanted, discrete, short, hot_rows)
 
 
 def percentiles_of_counts(counted: DataFrame, groups: Sequence[str], wanted: dict[str, float], discrete: bool = False,
-                          hot: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Exact quantiles from `count_values`; with a hot group `counted` should be stored."""
-    cum = running(counted, groups, ["_v"], {"_cum": ("sum", "_n")}, hot_rows, hot=hot, stored=hot)
+                          short: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Exact quantiles from `count_values`; `counted` should be stored unless every group is short."""
+    cum = running(counted, groups, ["_v"], {"_cum": ("sum", "_n")}, hot_rows, short)
     totals = counted.groupBy(*groups).agg(F.sum("_n").alias("_total"))
     if groups:
         placed = (cum.alias("l").join(totals.alias("t"), same("l", "t", groups), "inner")
