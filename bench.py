@@ -1,4 +1,4 @@
-"""Time the headline queries: one untimed run, then the median of three, in seconds.
+"""Time the headline queries: one untimed run, then the median of the timed ones, in seconds.
 
 BENCH_SF_DIR, BENCH_CPUS and BENCH_RUNS set the data, the cores and the runs;
 `--all` times every registered query. Prints one JSON line.
@@ -33,7 +33,7 @@ group_orders_by_week_hour group_products_by_category group_customers_by_region_s
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     registry.load_all()
     spark = build_session("bench", cores, shuffle_partitions=int(cores) if cores.isdigit() else 8)
     names = list(registry.QUERIES) if "--all" in sys.argv else HEADLINE

@@ -141,11 +141,11 @@ def merge_upsert(t):
     union all select o_orderkey + 5000000, o_totalprice, strftime(o_orderdate, '%Y%m')::int from orders where o_orderdate >= timestamp '2001-07-01' and o_orderstatus = 'F'""")
 def merge_partitions(t):
     base = t.orders.select("o_orderkey", "o_totalprice", "o_orderdate")
-    path = _staged(t, base, "merge", lambda d, p: w.partitioned_write(d, p, "o_orderdate", ["o_orderkey"]))
+    path = _staged(t, base, "merge", lambda d, p: w.partitioned_write(d, p, "o_orderdate", ["o_orderkey"], files_per_month=1))
     recent = t.orders.withColumn("month", F.date_format("o_orderdate", "yyyyMM")).select("o_orderkey", "o_totalprice", "o_orderdate", "month", "o_orderstatus")
     changed = recent.filter("o_orderdate >= timestamp_ntz '2001-06-01' and o_orderstatus = 'P'").withColumn("o_totalprice", F.lit(0.0))
     added = recent.filter("o_orderdate >= timestamp_ntz '2001-07-01' and o_orderstatus = 'F'").withColumn("o_orderkey", F.col("o_orderkey") + 5000000)
-    merged = load.merge_partitions(t.spark, path, changed.unionByName(added).drop("o_orderstatus"), ["o_orderkey"], "month")
+    merged = load.merge_partitions(t.spark, path, changed.unionByName(added).drop("o_orderstatus"), ["o_orderkey"], "month", files_per_partition=1)
     return merged.select("o_orderkey", "o_totalprice", "month")
 
 
