@@ -14,6 +14,7 @@ from tidemark.session import materialize
 from tidemark.session import prepare as prepare_session
 
 BATCH_BYTES = 4 << 20
+HOT_GROUPS = 1000
 
 # The white space of the text contracts: space and U+0009 to U+000D.
 WHITE_SPACE = "[\\x20\\x09-\\x0D]+"
@@ -88,5 +89,18 @@ def most_frequent(words: DataFrame, size: int) -> DataFrame:
     return words.orderBy(F.desc("n"), "word").limit(size)
 
 
-__all__ = ["BATCH_BYTES", "WHITE_SPACE", "crc_remainder", "materialize", "most_frequent", "per_process",
+def join_groups(rows: DataFrame, entries: DataFrame, keys: list[str], sizes: DataFrame, total: int) -> DataFrame:
+    """Inner join of rows with one entry per key, where a few keys may hold most rows.
+
+    `sizes` has the keys and their rows `n`, `total` is the sum. Keys with over
+    a thousandth of the rows are fewer than a thousand: their entries are
+    broadcast, so their rows stay where they are. All others meet by a shuffle.
+    """
+    hot = sizes.where(F.col("n") > total / HOT_GROUPS).select(*keys)
+    hot_entries = F.broadcast(entries.join(F.broadcast(hot), keys))
+    cold = entries.join(F.broadcast(hot), keys, "left_anti")
+    return rows.join(hot_entries, keys).unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(cold, keys))
+
+
+__all__ = ["BATCH_BYTES", "HOT_GROUPS", "WHITE_SPACE", "crc_remainder", "join_groups", "materialize", "most_frequent", "per_process",
            "pick", "prepare", "vocabulary"]

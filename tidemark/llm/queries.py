@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact_dedup, mix, secrets, token_count, winnow
+from tidemark.llm import bpe, exact_dedup, mix, secrets, simhash, token_count, winnow
 from tidemark.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,11 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+@query()
+def op8_simhash_dedup(spark, sf_dir):
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 @query()
 def op9_secret_scan(spark, sf_dir):
     return secrets.span_digests(secrets.scan_secrets(documents(spark, sf_dir)))
