@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, mix, secrets, simhash, token_count, winnow
-from tidemark.llm.common import prepare
+from tidemark.llm import bpe, exact_dedup, mix, quality, secrets, simhash, token_count, toxicity, winnow
+from tidemark.llm.common import crc_remainder, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,6 +68,33 @@ def op1_source_mixing(spark, sf_dir):
     return mixed.select("doc_id", "source", "text", "mix_rate", "mix_copy", "mix_key")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def held_out(modulus: int, remainder: int) -> Column:
+    return crc_remainder(F.col("doc_id"), modulus) == remainder
+
+
+def with_prediction(scored: DataFrame, held: Column, threshold: float) -> DataFrame:
+    return scored.select("doc_id", held.alias("held_out"), "score",
+                         F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+@query()
+def op2_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = toxicity.train_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out(5, 0))
+    return with_prediction(toxicity.score_toxicity(docs, model), held_out(5, 0), 0.5)
+
+
+@query()
+def op3_quality(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = quality.train_quality(docs, table(spark, sf_dir, "labels"), ~held_out(4, 2))
+    return with_prediction(quality.score_quality(docs, model), held_out(4, 2), 0.7)
+
+
 @query()
 def op5_token_counts(spark, sf_dir):
     return token_count.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
