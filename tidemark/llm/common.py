@@ -72,7 +72,7 @@ def vocabulary(texts: DataFrame, split: Callable[[str], list], kind: str = "stri
         seen = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if text:
+                if text is not None:
                     seen.update(split(text))
                     if len(seen) >= held_words:
                         yield out(seen)

@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, mix, quality, secrets, simhash, token_count, toxicity, winnow
+from tidemark.llm import (
+    bpe,
+    exact_dedup,
+    language_model,
+    mix,
+    quality,
+    secrets,
+    simhash,
+    token_count,
+    toxicity,
+    winnow,
+)
 from tidemark.llm.common import crc_remainder, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +106,13 @@ def op3_quality(spark, sf_dir):
     return with_prediction(quality.score_quality(docs, model), held_out(4, 2), 0.7)
 
 
+@query()
+def op4_language_model(spark, sf_dir):
+    held = held_out(10, 0)
+    scored = language_model.score_texts(documents(spark, sf_dir), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query()
 def op5_token_counts(spark, sf_dir):
     return token_count.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
