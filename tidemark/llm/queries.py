@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,11 +26,8 @@ from tidemark.llm.common import crc_remainder, prepare
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-# Target shares of the mixture by source, in characters; all others share MIX_OTHER.
-MIX_WEIGHTS = {"src0": 0.20, "src1": 0.10, "src2": 0.10, "src3": 0.05, "src4": 0.05}
-MIX_OTHER = 0.50
-MIX_EPOCHS = 1.0
-MIX_SEED = 42
+MIX_WEIGHTS, MIX_OTHER = corpus_pipeline.MIX_WEIGHTS, corpus_pipeline.MIX_OTHER
+MIX_EPOCHS, MIX_SEED = corpus_pipeline.MIX_EPOCHS, corpus_pipeline.MIX_SEED
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,3 +146,8 @@ def op9_secret_scan(spark, sf_dir):
 @query()
 def op10_winnowing(spark, sf_dir):
     return winnow.edit_fingerprints(documents(spark, sf_dir))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
