@@ -35,17 +35,17 @@ def test_delete_insert_keeps_all_batch_rows(spark):
 def test_scd2_life_cycle(spark):
     first = load.scd2_initial(customers(spark, [(1, "ann", "rome"), (2, "bob", None), (3, "cy", "oslo")]), "2024-01-01")
     batch = customers(spark, [(1, "ann", "paris"), (2, "bob", None), (4, "dee", "bern")])
-    once = load.scd2_merge(first, batch, ["id"], ["city"], "2024-02-01", retire_missing=True, current_flag="is_current")
+    once = load.scd2_merge(first, batch, ["id"], ["city"], as_of="2024-02-01", retire_missing=True, current_flag="is_current")
     a, b = dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)
     assert rows(once) == [(1, "ann", "paris", b, None, True), (1, "ann", "rome", a, b, False), (2, "bob", None, a, None, True),
                           (3, "cy", "oslo", a, b, False), (4, "dee", "bern", b, None, True)]
-    again = load.scd2_merge(once, batch, ["id"], ["city"], "2024-03-01", retire_missing=True, current_flag="is_current")
+    again = load.scd2_merge(once, batch, ["id"], ["city"], as_of="2024-03-01", retire_missing=True, current_flag="is_current")
     assert rows(again) == rows(once)
 
 
 def test_scd2_keeps_missing_keys_by_default(spark):
     first = load.scd2_initial(customers(spark, [(1, "ann", "rome")]), "2024-01-01")
-    out = load.scd2_merge(first, customers(spark, [(2, "bob", "oslo")]), ["id"], None, "2024-02-01")
+    out = load.scd2_merge(first, customers(spark, [(2, "bob", "oslo")]), ["id"], None, as_of="2024-02-01")
     assert out.filter("valid_to is null").count() == 2
 
 
@@ -74,11 +74,69 @@ def test_change_feed_history(spark, feed):
 
 
 def test_snapshot_strategies(spark):
-    src = spark.createDataFrame([(1, "a", 1)], "k int, v string, updated int")
-    first = load.snapshot_table(None, src, ["k"], as_of="2024-01-01")
-    moved = spark.createDataFrame([(1, "b", 1)], "k int, v string, updated int")
-    assert load.snapshot_table(first, moved, ["k"], "timestamp", "updated", as_of="2024-02-01").count() == 1
-    assert load.snapshot_table(first, moved, ["k"], "check", check_columns=["v"], as_of="2024-02-01").count() == 2
+    def src(v, day):
+        return spark.sql(f"select 1 as k, '{v}' as v, timestamp_ntz '2024-01-{day:02d}' as updated")
+
+    first = load.snapshot_table(None, src("a", 10), ["k"], "timestamp", "updated")
+    for day, versions in ((10, 1), (5, 1), (20, 2)):  # the same, an older and a newer time
+        found = load.snapshot_table(first, src("b", day), ["k"], "timestamp", "updated")
+        assert found.count() == versions
+    assert rows(found.selectExpr("v", "day(valid_from)", "day(valid_to)")) == [("a", 10, 20), ("b", 20, None)]
+    checked = load.snapshot_table(None, src("a", 10), ["k"], as_of="2024-01-01")
+    assert load.snapshot_table(checked, src("b", 10), ["k"], "check", check_columns=["v"], as_of="2024-02-01").count() == 2
+    with pytest.raises(ValueError):
+        load.snapshot_table(None, src("a", 1), ["k"])
+
+
+def test_scd2_takes_one_row_of_a_repeated_key(spark):
+    first = load.scd2_initial(spark.createDataFrame([(1, "rome", 1)], "id int, city string, seq int"), "2024-01-01")
+    batch = spark.createDataFrame([(1, "oslo", 2), (1, "bern", 3), (2, "linz", 1), (2, "linz", 1)], "id int, city string, seq int")
+    out = load.scd2_merge(first, batch, ["id"], ["city"], as_of="2024-02-01", newest_by=["-seq"])
+    assert rows(out.filter("valid_to is null"), "id", "city") == [(1, "bern"), (2, "linz")]
+    assert rows(out.filter("valid_to is not null"), "id", "city") == [(1, "rome")]
+
+
+def test_merge_with_repeated_target_rows(spark):
+    target = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 5, "c")], "k int, at int, v string")
+    updates = spark.createDataFrame([(1, 3, "new"), (2, 4, "old"), (None, 1, "n")], "k int, at int, v string")
+    assert rows(load.merge_upsert(target, updates, ["k"], "at"), "k", "at", "v") == [(1, 3, "new"), (2, 5, "c"), (None, 1, "n")]
+
+
+@pytest.mark.parametrize("listed", [0, 100])
+def test_merge_partitions_keeps_the_null_partition(spark, listed):
+    path = work_path(spark, "nulls")
+    spark.createDataFrame([(1, 7, "a"), (2, None, "b"), (3, None, "c"), (4, 8, "d")], "k int, p int, v string").write.partitionBy("p").parquet(path)
+    updates = spark.createDataFrame([(2, None, "B"), (4, 8, "D"), (5, 9, "e")], "k int, p int, v string")
+    for _ in range(2):
+        out = load.merge_partitions(spark, path, updates, ["k"], "p", listed=listed)
+        assert rows(out, "k", "p", "v") == sorted([(1, 7, "a"), (2, None, "B"), (3, None, "c"), (4, 8, "D"), (5, 9, "e")], key=lambda r: str(r[0]))
+
+
+def test_files_follow_rows_and_partitions_drop_by_folder(spark):
+    path = work_path(spark, "files")
+    df = spark.range(1000).selectExpr("1 as hot", "id", "CASE WHEN id < 900 THEN 'a' END AS p")
+    df.write.partitionBy("p").parquet(path)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        tasks = writers.spread_files(df, "p", 100).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(tasks) >= 7 and max(r["count"] for r in tasks) < 450  # the hot key, 900 rows, is dealt out
+    assert writers.drop_partition(spark, path, "p", "a") and spark.read.parquet(path).count() == 100
+    assert not writers.drop_partition(spark, path, "p", "a")
+
+
+def test_versions_are_claimed_and_cleaned(spark):
+    table = writers.VersionedTable(spark, work_path(spark, "versions"))
+    for n in range(4):
+        table.publish(spark.range(n + 1))
+    claim = spark._jvm.org.apache.hadoop.fs.Path(f"{table.path}/v-00000005.claim")
+    files = claim.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert files.createNewFile(claim)  # a writer that died before it wrote
+    table.publish(spark.range(9))
+    assert table.read().count() == 9 and table.clean(1) == 5 and table._numbers() == [6] and table.read().count() == 9
 
 
 def test_incremental_models(spark):
@@ -149,7 +207,7 @@ def test_freshness_levels(spark):
 
 def test_partitioned_write_sorts_and_spreads(spark, sf):
     path = work_path(spark, "months")
-    writers.partitioned_write(spark.read.parquet(f"{sf}/orders.parquet"), path, "o_orderdate", ["o_custkey"], files_per_month=2)
+    writers.partitioned_write(spark.read.parquet(f"{sf}/orders.parquet"), path, "o_orderdate", ["o_custkey"], rows_per_file=40)
     back = spark.read.parquet(path)
     assert back.count() == spark.read.parquet(f"{sf}/orders.parquet").count()
     plan = back.filter(F.col("month") == "199703")._jdf.queryExecution().executedPlan().toString()

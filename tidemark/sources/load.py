@@ -13,43 +13,50 @@ from pyspark.sql import functions as F
 
 from ..operators.ordered import HOT_ROWS, first_per_group, framed, same
 from ..session import materialize
-from .writers import replace_partition
+from .writers import ROWS_PER_FILE, replace_partition, spread_files
 
 
 def merge_upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], cursor: str | None = None) -> DataFrame:
-    """Newest update per key replaces the target row; new keys are added.
+    """Newest update per key replaces the key's target rows; new keys are added.
 
-    With a cursor, a target row that is newer than the update stays.
+    With a cursor, an update older than the key's newest target row is dropped.
+    The winning updates, one per key, are stored once and read by both sides of
+    the merge.
     """
     if not keys:
         raise ValueError("merge needs key columns")
     tie = [f"-{c}" for c, k in updates.dtypes if c not in keys and c != cursor and not k.startswith("map")]
     newest = first_per_group(updates, keys, ([f"-{cursor}"] if cursor else []) + tie or list(keys))
     if cursor:
-        old = target.select(*keys, F.col(cursor).alias("_seen"))
-        newest = (newest.alias("n").join(old.alias("o"), same("n", "o", keys), "left")
+        seen = target.groupBy(*keys).agg(F.max(cursor).alias("_seen"))
+        newest = (newest.alias("n").join(seen.alias("o"), same("n", "o", keys), "left")
                   .filter(F.col("_seen").isNull() | (F.col(f"n.{cursor}") >= F.col("_seen"))).select("n.*"))
-    kept = target.alias("l").join(newest.alias("r"), same("l", "r", keys), "left_anti")
-    return kept.unionByName(newest, allowMissingColumns=True)
+    winners = materialize(newest, "updates")
+    kept = target.alias("l").join(winners.select(*keys).alias("r"), same("l", "r", keys), "left_anti")
+    return kept.unionByName(winners, allowMissingColumns=True)
 
 
 def merge_partitions(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str], partition: str,
-                     cursor: str | None = None, files_per_partition: int = 8, max_partitions: int = 10_000) -> DataFrame:
+                     cursor: str | None = None, rows_per_file: int = ROWS_PER_FILE, listed: int = 10_000) -> DataFrame:
     """Upsert into a partitioned parquet table, reading and rewriting only the partitions the updates name.
 
     A key must always fall into the same partition (say, its creation month).
-    The merged partitions are stored aside before they replace the old ones;
-    running the same updates again gives the same table.
+    Up to `listed` partitions reach the scan as literals, more by a join; NULL
+    is a partition like any other. The merged partitions are stored aside
+    before they replace the old ones; running the same updates again gives the
+    same table.
     """
     table = spark.read.parquet(path)
     updates = updates.withColumn(partition, F.col(partition).cast(table.schema[partition].dataType))
-    named = updates.select(partition).distinct().limit(max_partitions + 1).collect()
-    if len(named) > max_partitions:
-        raise ValueError(f"the updates name more than {max_partitions} partitions; rebuild the table instead")
-    touched = table.filter(F.col(partition).isin([r[0] for r in named]))
+    named = updates.select(partition).distinct()
+    values = [r[0] for r in named.limit(listed + 1).collect()]
+    if len(values) <= listed:
+        wanted = F.col(partition).isin([v for v in values if v is not None])
+        touched = table.filter(wanted | F.col(partition).isNull() if None in values else wanted)
+    else:
+        touched = table.alias("t").join(named.alias("u"), same("t", "u", [partition]), "left_semi")
     merged = materialize(merge_upsert(touched, updates, keys, cursor), "merge")
-    spread = F.pmod(F.xxhash64(*keys), F.lit(files_per_partition))
-    replace_partition(merged.repartition(F.col(partition), spread), path, partition)
+    replace_partition(spread_files(merged, partition, rows_per_file), path, partition)
     return spark.read.parquet(path)
 
 
@@ -77,17 +84,29 @@ def scd2_initial(batch: DataFrame, as_of: str | Column, valid_from: str = "valid
 
 
 def scd2_merge(target: DataFrame, batch: DataFrame, keys: Sequence[str], tracked: Sequence[str] | None = None,
-               as_of: str = "1970-01-01", valid_from: str = "valid_from", valid_to: str = "valid_to",
-               retire_missing: bool = False, current_flag: str | None = None) -> DataFrame:
+               *, as_of: str | Column, valid_from: str = "valid_from", valid_to: str = "valid_to",
+               retire_missing: bool = False, current_flag: str | None = None,
+               newest_by: Sequence[str] = (), only_newer: str | None = None) -> DataFrame:
     """Slowly changing dimension with history.
 
-    A changed key closes its open version at `as_of` and opens a new one; a new
-    key opens one; an unchanged key is left alone, so a replay changes nothing.
-    `retire_missing` closes open keys absent from the batch.
+    A changed key closes its open version at `as_of` (a time, or a column of
+    the batch) and opens a new one; a new key opens one; an unchanged key is
+    left alone, so a replay changes nothing. `retire_missing` closes open keys
+    absent from the batch; it needs a fixed time. Of several batch rows with
+    one key the first by `newest_by` (`-column` for descending) counts, ties by
+    all other columns. With `only_newer` a key changes only where that column
+    is larger than in the open version.
     """
     attributes = [c for c in batch.columns if c not in keys]
+    ordered = [c.lstrip("-") for c in newest_by]
+    rest = [f"-{c}" for c, k in batch.dtypes if c not in keys and c not in ordered and not k.startswith("map")]
+    batch = first_per_group(batch, keys, [*newest_by, *rest] or list(keys))
     tracked = list(tracked) if tracked is not None else attributes
-    at = F.lit(as_of).cast(target.schema[valid_from].dataType)
+    if retire_missing and not isinstance(as_of, str):
+        raise ValueError("closing missing keys needs a fixed as_of")
+    at = (F.lit(as_of) if isinstance(as_of, str) else as_of).cast(target.schema[valid_from].dataType)
+    batch = batch.withColumn("_at", at)
+    at = F.lit(as_of).cast(target.schema[valid_from].dataType) if isinstance(as_of, str) else F.col("n._at")
     base = target.drop(current_flag) if current_flag and current_flag in target.columns else target
     columns = base.columns
     history = base.filter(F.col(valid_to).isNotNull())
@@ -96,6 +115,8 @@ def scd2_merge(target: DataFrame, batch: DataFrame, keys: Sequence[str], tracked
         batch.withColumn("_new", F.lit(True)).alias("n"), same("o", "n", keys), "full")
     old, new = F.col("o._old").isNotNull(), F.col("n._new").isNotNull()
     changed = old & new & _changed(tracked)
+    if only_newer:
+        changed = changed & F.coalesce(F.col(f"n.`{only_newer}`") > F.col(f"o.`{only_newer}`"), F.col(f"o.`{only_newer}`").isNull())
     closes = changed | (old & ~new & F.lit(retire_missing))
     opens = (new & ~old) | changed
     # one pass over the pairs: each pair yields its old version, its new one, or both
@@ -139,17 +160,24 @@ def scd2_apply_changes(target: DataFrame | None, changes: DataFrame, keys: Seque
 
 def snapshot_table(snapshot: DataFrame | None, source: DataFrame, keys: Sequence[str], strategy: str = "check",
                    updated_at: str | None = None, check_columns: Sequence[str] | None = None,
-                   as_of: str = "1970-01-01") -> DataFrame:
-    """SCD2 of a whole table: `timestamp` compares `updated_at`, `check` compares columns."""
+                   as_of: str | None = None) -> DataFrame:
+    """SCD2 of a whole table.
+
+    `timestamp` opens a version where `updated_at` is newer than in the open
+    one, valid from that time; `check` compares columns, valid from `as_of`.
+    """
     if strategy == "timestamp":
         if not updated_at:
             raise ValueError("the timestamp strategy needs updated_at")
-        tracked = [updated_at]
-    else:
-        tracked = check_columns
+        at = F.col(updated_at).cast("timestamp_ntz")
+        if snapshot is None:
+            return scd2_initial(source, at)
+        return scd2_merge(snapshot, source, keys, [updated_at], as_of=at, only_newer=updated_at, newest_by=[f"-{updated_at}"])
+    if as_of is None:
+        raise ValueError("the check strategy needs as_of")
     if snapshot is None:
         return scd2_initial(source, as_of)
-    return scd2_merge(snapshot, source, keys, tracked, as_of)
+    return scd2_merge(snapshot, source, keys, check_columns, as_of=as_of)
 
 
 def incremental_extract(source: DataFrame, cursor: str, last_value=None, initial_value=None) -> DataFrame:

@@ -141,6 +141,7 @@ def preview(df: DataFrame, n: int = 20) -> DataFrame:
 
 
 def dataset_preview(spark: SparkSession, source: DataFrame | str, limit: int = 100) -> DataFrame:
-    """Preview of a physical table (frame) or virtual dataset (SQL text); limit clamps to 1..1000."""
-    df = spark.sql(source) if isinstance(source, str) else source
-    return df.limit(max(1, min(limit, 1000)))
+    """First `limit` rows of a physical table (frame) or virtual dataset (SQL text)."""
+    if limit < 1:
+        raise ValueError("a preview has at least one row")
+    return (spark.sql(source) if isinstance(source, str) else source).limit(limit)
