@@ -1,6 +1,8 @@
 """A stream gives what the batch job gives on the same rows, also after a restart."""
 
+import pytest
 from conftest import rows
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tidemark.session import work_path
@@ -52,3 +54,41 @@ def test_trend_matches_batch(spark, sf):
     jobs.run_to_end(jobs.stream_trend_table(trend, table))
     want = events.groupBy(F.date_trunc("hour", "ts").alias("time_period")).agg(F.count("*").alias("n"))
     assert rows(table.read(), "time_period", "n") == rows(want)
+
+
+def test_second_loads_without_a_given_checkpoint(spark):
+    """Runs on two deliveries with a compaction between, then another source, which needs a checkpoint of its own."""
+    schema = "k int, n int"
+    loads = [spark.createDataFrame(r, schema) for r in ([(1, 10), (2, 5)], [(1, 9), (99, 1)], [(1, 1), (7, 7)])]
+    one, two = work_path(spark, "one"), work_path(spark, "two")
+    out, sums, latest = work_path(spark, "out"), SumLog(spark, work_path(spark, "s"), ["k"], {"n": F.sum("n")}), UpsertLog(spark, work_path(spark, "u"), ["k"])
+
+    def go(path, *checkpoints):
+        jobs.run_to_end(jobs.incremental_rollup(jobs.file_stream(spark, path, loads[0].schema), sums, *checkpoints[:1]))
+        jobs.run_to_end(jobs.stream_upsert(jobs.file_stream(spark, path, loads[0].schema), latest, *checkpoints[1:]))
+
+    ingest = lambda path: jobs.run_to_end(jobs.stream_ingest(jobs.file_stream(spark, path, loads[0].schema), out))
+    deliver(loads[0], one)
+    go(one)
+    ingest(one)
+    sums.compact()
+    latest.compact()
+    deliver(loads[1], one)
+    go(one)
+    ingest(one)
+    assert spark.read.parquet(out).count() == 4
+    assert rows(sums.read()) == [(1, 19), (2, 5), (99, 1)] and rows(latest.read()) == [(1, 9), (2, 5), (99, 1)]
+    deliver(loads[2], two)
+    go(two, work_path(spark, "c"), work_path(spark, "c"))
+    with pytest.raises(StreamingQueryException):  # the file sink would take another source's batches for known ones
+        ingest(two)
+    assert rows(sums.read()) == [(1, 20), (2, 5), (7, 7), (99, 1)] and rows(latest.compact()) == [(1, 1), (2, 5), (7, 7), (99, 1)]
+
+
+def test_streams_with_their_own_checkpoints_do_not_meet(spark):
+    sums = SumLog(spark, work_path(spark, "s"), ["k"], {"n": F.count(F.lit(1))})
+    for _ in range(2):
+        path = work_path(spark, "in")
+        deliver(spark.createDataFrame([(1,)], "k int"), path)
+        jobs.run_to_end(jobs.incremental_rollup(jobs.file_stream(spark, path, spark.createDataFrame([(1,)], "k int").schema), sums, work_path(spark, "c")))
+    assert rows(sums.read()) == [(1, 2)]

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..session import work_path
 from ..sources.load import scd2_apply_changes
 from ..sources.writers import VersionedTable
 from .logs import SumLog, UpsertLog, each_batch
@@ -38,31 +37,37 @@ def _start(writer, checkpoint: str, every: str | None) -> StreamingQuery:
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def _checkpoint(df: DataFrame, given: str | None, label: str) -> str:
-    return given or work_path(df.sparkSession, f"checkpoint-{label}")
+def _checkpoint(given: str | None, path: str) -> str:
+    """A table's own checkpoint unless one is given, so a later run goes on where the last one stopped."""
+    return given or f"{path.rstrip('/')}/_checkpoint"
 
 
 def stream_ingest(stream: DataFrame, path: str, checkpoint: str | None = None, every: str | None = None,
                   partition_by: Sequence[str] = ()) -> StreamingQuery:
-    """Append a stream to a table in batches, exactly once."""
+    """Append a stream to a table in batches, exactly once, over any number of runs.
+
+    A table has one source and one checkpoint: the file sink skips batch
+    numbers it knows, so a second checkpoint on the same table would lose rows.
+    Another source under the same checkpoint is an error.
+    """
     writer = stream.writeStream.outputMode("append").format("parquet").option("path", path)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    return _start(writer, _checkpoint(stream, checkpoint, "ingest"), every)
+    return _start(writer, _checkpoint(checkpoint, path), every)
 
 
 def stream_upsert(stream: DataFrame, target: UpsertLog, checkpoint: str | None = None,
                   every: str | None = None) -> StreamingQuery:
     """Merge each micro-batch by key."""
-    writer = stream.writeStream.foreachBatch(each_batch(target.apply))
-    return _start(writer, _checkpoint(stream, checkpoint, "upsert"), every)
+    checkpoint = _checkpoint(checkpoint, target.path)
+    return _start(stream.writeStream.foreachBatch(each_batch(target.apply, checkpoint)), checkpoint, every)
 
 
 def incremental_rollup(stream: DataFrame, target: SumLog, checkpoint: str | None = None,
                        every: str | None = None) -> StreamingQuery:
     """Add each micro-batch's partial totals."""
-    writer = stream.writeStream.foreachBatch(each_batch(target.apply))
-    return _start(writer, _checkpoint(stream, checkpoint, "rollup"), every)
+    checkpoint = _checkpoint(checkpoint, target.path)
+    return _start(stream.writeStream.foreachBatch(each_batch(target.apply, checkpoint)), checkpoint, every)
 
 
 def stream_dedupe(stream: DataFrame, keys: Sequence[str], time_column: str, delay: str) -> DataFrame:
@@ -82,8 +87,8 @@ def stream_trend(stream: DataFrame, time_column: str, grain: str, delay: str, me
 def stream_trend_table(stream: DataFrame, target: UpsertLog, checkpoint: str | None = None,
                        every: str | None = None) -> StreamingQuery:
     """Keep the newest state of each window in a table (update mode)."""
-    writer = stream.writeStream.outputMode("update").foreachBatch(each_batch(target.apply))
-    return _start(writer, _checkpoint(stream, checkpoint, "trend"), every)
+    checkpoint = _checkpoint(checkpoint, target.path)
+    return _start(stream.writeStream.outputMode("update").foreachBatch(each_batch(target.apply, checkpoint)), checkpoint, every)
 
 
 def stream_scd2(stream: DataFrame, table: VersionedTable, keys: Sequence[str], tracked: Sequence[str], changed_at: str,
@@ -93,12 +98,12 @@ def stream_scd2(stream: DataFrame, table: VersionedTable, keys: Sequence[str], t
     The whole table is rewritten per batch, which suits dimension-sized tables.
     """
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
+    def apply(batch: DataFrame, batch_id: int, stream_id: str) -> None:
         known = table.read() if table.exists() else None
         table.publish(scd2_apply_changes(known, batch, keys, tracked, changed_at))
 
-    writer = stream.writeStream.foreachBatch(each_batch(apply))
-    return _start(writer, _checkpoint(stream, checkpoint, "scd2"), every)
+    checkpoint = _checkpoint(checkpoint, table.path)
+    return _start(stream.writeStream.foreachBatch(each_batch(apply, checkpoint)), checkpoint, every)
 
 
 def run_to_end(query: StreamingQuery) -> None:

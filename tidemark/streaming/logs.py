@@ -1,12 +1,17 @@
 """Tables kept as batch logs: every micro-batch writes one folder, readers combine them.
 
-A micro-batch costs work in proportion to the batch, not to the table, and a
-batch delivered twice overwrites its own folder, so retries change nothing.
-`compact` folds the folders into one.
+A micro-batch costs work in proportion to the batch, not to the table. A folder
+is named by its place in the log, the stream that delivered it and the stream's
+batch number: a batch delivered twice overwrites its own folder, and another
+stream's batch of the same number gets a folder of its own. `compact` folds the
+folders into one.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,20 +22,28 @@ from ..sources.writers import VersionedTable
 
 
 class BatchLog:
-    """A versioned base plus one folder per batch number."""
+    """A versioned base plus one folder per batch. One stream at a time may write."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.base = VersionedTable(spark, f"{self.path}/base")
 
-    def put(self, batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{self.path}/log/batch={batch_id}")
+    def _entries(self) -> dict[tuple[str, int], int]:
+        """Place in the log by (stream, batch number)."""
+        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/log/batch=*/stream=*")
+        found = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+        names = [re.search(r"/batch=(\d+)/stream=(\w+)-(\d+)$", f.getPath().toString()) for f in found]
+        return {(n[2], int(n[3])): int(n[1]) for n in names}
+
+    def put(self, batch: DataFrame, batch_id: int, stream: str = "0") -> None:
+        entries = self._entries()
+        place = entries.get((stream, batch_id), max(entries.values(), default=-1) + 1)
+        batch.write.mode("overwrite").parquet(f"{self.path}/log/batch={place}/stream={stream}-{batch_id}")
 
     def _logged(self) -> DataFrame | None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/log")
-        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
+        if not self._entries():
             return None
-        return self.spark.read.option("basePath", f"{self.path}/log").parquet(f"{self.path}/log/batch=*")
+        return self.spark.read.option("basePath", f"{self.path}/log").parquet(f"{self.path}/log/batch=*").drop("stream")
 
     def rows(self) -> DataFrame:
         """The base and the batches after it, with their batch number (column `batch`)."""
@@ -55,16 +68,16 @@ class BatchLog:
 
 
 class UpsertLog(BatchLog):
-    """Latest row per key; `version` orders rows of one key, the batch number breaks ties."""
+    """Latest row per key; `version` orders rows of one key, the place in the log breaks ties."""
 
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], version: str | None = None):
         super().__init__(spark, path)
         self.keys, self.version = list(keys), version
 
-    def apply(self, batch: DataFrame, batch_id: int) -> None:
+    def apply(self, batch: DataFrame, batch_id: int, stream: str = "0") -> None:
         """Log one batch, reduced to its newest row per key."""
         order = [f"-{self.version}"] if self.version else list(self.keys)
-        self.put(first_per_group(batch, self.keys, order), batch_id)
+        self.put(first_per_group(batch, self.keys, order), batch_id, stream)
 
     def read(self) -> DataFrame:
         order = ([f"-{self.version}"] if self.version else []) + ["-batch"]
@@ -78,18 +91,19 @@ class SumLog(BatchLog):
         super().__init__(spark, path)
         self.keys, self.totals = list(keys), totals
 
-    def apply(self, batch: DataFrame, batch_id: int) -> None:
-        self.put(batch.groupBy(*self.keys).agg(*[c.alias(n) for n, c in self.totals.items()]), batch_id)
+    def apply(self, batch: DataFrame, batch_id: int, stream: str = "0") -> None:
+        self.put(batch.groupBy(*self.keys).agg(*[c.alias(n) for n, c in self.totals.items()]), batch_id, stream)
 
     def read(self) -> DataFrame:
         return self.rows().groupBy(*self.keys).agg(*[F.sum(n).alias(n) for n in self.totals])
 
 
-def each_batch(apply: Callable[[DataFrame, int], None]):
-    """Adapter for `foreachBatch` that skips empty batches."""
+def each_batch(apply: Callable[[DataFrame, int, str], None], checkpoint: str = ""):
+    """Adapter for `foreachBatch` that skips empty batches; a stream goes by its checkpoint."""
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def run(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            apply(batch, batch_id)
+            apply(batch, batch_id, stream)
 
     return run
