@@ -1,5 +1,7 @@
 """Joins, semantic layer, shapes, metrics and charts on small inputs."""
 
+import time
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -54,8 +56,10 @@ def test_semantic_tenant_median_and_paging(layer):
 
 def test_join_path_both_ways(layer):
     assert [r.right for r in layer.join_path("cities", "sales")] == ["people", "sales"]
+    chain = SemanticLayer([], [Relationship(f"m{i}", f"m{i + 1}", "k", "k") for i in range(6)])
+    assert len(chain.join_path("m0", "m6")) == 6
     with pytest.raises(ValueError):
-        layer.join_path("sales", "cities", max_depth=1)
+        chain.join_path("m0", "elsewhere")
 
 
 def test_filter_operators(sales):
@@ -135,9 +139,10 @@ def test_comparison_total_covers_compared_values_only(sales):
         shapes.comparison_query(df, "status", ["new"], [Measure("v", "sum", "total")])
 
 
-def test_limits_are_clamped(spark):
+def test_limits_below_one_are_refused(spark):
     df = spark.range(1500).selectExpr("id as k", "id as v")
-    assert shapes.top_n_query(df, "k", Measure("s", "sum", "v"), 5000).count() == 1000
+    with pytest.raises(ValueError):
+        shapes.top_n_query(df, "k", Measure("s", "sum", "v"), 0)
     assert page(df, limit=3, offset=2).count() == 3
 
 
@@ -196,3 +201,47 @@ def test_dimension_join_pushes_filters_and_columns(spark, sf):
     plan = shapes.aggregation_query(orders, ["o_orderstatus"], [Measure("t", "sum", "o_totalprice")],
                                     [Filter("o_custkey", "<", 10)])._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(o_custkey,10)" in plan and "o_orderpriority" not in plan
+
+
+def test_to_many_dimensions_count_a_row_once_per_group(spark):
+    orders = spark.createDataFrame([(1, 10.0, "a"), (2, 7.0, "b"), (3, 1.0, "a")], "oid int, total double, shop string")
+    lines = spark.createDataFrame([(1, "x", 1), (1, "x", 2), (1, "y", 3), (2, "x", 4)], "line_order int, flag string, part int")
+    parts = spark.createDataFrame([(1, "red"), (2, "red"), (3, "blue"), (4, "blue")], "pid int, colour string")
+    layer = SemanticLayer(
+        [SemanticModel("orders", orders, [Dimension("shop", "shop")], [Measure("value", "sum", "total"), Measure("n", "count", "oid")]),
+         SemanticModel("lines", lines, [Dimension("flag", "flag")], [Measure("rows", "count", "line_order")]),
+         SemanticModel("parts", parts, [Dimension("colour", "colour")], kind="dimension")],
+        [Relationship("lines", "orders", "line_order", "oid"), Relationship("lines", "parts", "part", "pid")])
+    ask = lambda *a, **k: rows(semantic_query(layer, SemanticQuery(*a, **k)))
+    assert ask(["value", "n"], ["flag"]) == [("x", 17.0, 2), ("y", 10.0, 1)]
+    assert ask(["value"], ["colour"]) == [("blue", 17.0), ("red", 10.0)]
+    assert ask(["value"], ["shop"], {"flag": "x"}) == [("a", 10.0), ("b", 7.0)]
+    assert ask(["value"], ["flag"], pre_aggregate=True) == ask(["value"], ["flag"])
+    assert ask(["rows"], ["shop"]) == [("a", 3), ("b", 1)]
+
+
+def test_limits_are_honoured_or_refused(spark):
+    df = spark.range(120_000).selectExpr("id as k", "id % 3 as v")
+    assert page(df, limit=110_000).count() == 110_000
+    with pytest.raises(ValueError):
+        page(df, limit=10, max_limit=5)
+    assert shapes.top_n_query(df, "k", Measure("x", "sum", "v"), 1500).count() == 1500
+    assert shapes.aggregation_query(df, ["k"], [Measure("x", "sum", "v")], limit=11_000).count() == 11_000
+
+
+def test_order_statistics_are_exact_and_keep_every_group(spark):
+    df = spark.createDataFrame([("a", "p", 1.0), ("a", "q", 2.0), ("b", "p", None), ("c", "p", 5.0)], "g string, h string, x double")
+    both = [Measure("m", "median", "x"), Measure("hi", "median", "x", filters=(Filter("h", "=", "q"),)), Measure("p90", "percentile", "x", 90)]
+    assert rows(aggregate(df, ["g"], both), "g", "m", "hi") == [("a", 1.5, 2.0), ("b", None, None), ("c", 5.0, None)]
+    assert rows(m.hierarchy_rollup(df, ["g"], [Measure("m", "median", "x")])) == [("a", 1.5, 1), ("b", None, 1), ("c", 5.0, 1), (None, 2.0, 0)]
+    crossed = rows(m.pivot_with_subtotals(df, "g", "h", ["p", "q"], Measure("m", "median", "x")))
+    assert crossed[0] == ("a", 0, 1.0, 2.0, 1.5) and crossed[-1] == (None, 1, 3.0, 2.0, 2.0)
+    with pytest.raises(ValueError):
+        Measure("m", "median", "x").to_column()
+
+
+def test_conversion_of_a_busy_user_is_linear(spark):
+    events = spark.range(60_000).selectExpr("1 as u", "case when id % 2 = 0 then 'view' else 'buy' end as kind", "timestamp_seconds(id) as ts")
+    start = time.time()
+    found = m.conversion_metric(events, "u", "ts", "kind", "view", "buy", 10_000_000).first()
+    assert (found.base_events, found.converted_events) == (30_000, 30_000) and time.time() - start < 60

@@ -53,6 +53,8 @@ class Measure:
 
     def to_column(self) -> Column:
         agg = self.aggregation
+        if self.ordered:
+            raise ValueError(f"{self.name!r} is an exact order statistic: use `aggregate`, or allow an approximate one")
         if agg in ORDER_STATISTICS:
             return F.percentile_approx(self.input(), self.probability, 10_000).alias(self.name)
         if agg == "count_distinct" and self.approximate:
@@ -70,10 +72,12 @@ def aggregate(df: DataFrame, groups: Sequence[str], measures: Sequence[Measure])
     """
     plain = [m for m in measures if not m.ordered]
     ordered = [m for m in measures if m.ordered]
+    # every group of the input has a row, also one without a value to order
     out = None
-    if plain or not ordered:
-        grouped = df.groupBy(*groups)
-        out = grouped.agg(*[m.to_column() for m in plain]) if plain else df.select(*groups).distinct()
+    if plain:
+        out = df.groupBy(*groups).agg(*[m.to_column() for m in plain])
+    elif groups or not ordered:
+        out = df.select(*groups).distinct()
     by_input: dict[tuple, list[Measure]] = {}
     for m in ordered:
         by_input.setdefault((m.expression, m.filters, m.aggregation == "percentile_disc"), []).append(m)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,8 +66,9 @@ def conversion_metric(events: DataFrame, user: str, time: str, kind: str, base:
     listed = rows.withColumn("_b", F.explode(
         F.when(is_base, F.array("_bucket")).otherwise(F.array(F.col("_bucket"), F.col("_bucket") - 1))))
     # at one instant the base event sorts first, so a simultaneous conversion counts
-    ahead = (Window.partitionBy(user, "_b").orderBy(F.col("_at"), ~is_base)
-             .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # read backwards, the nearest conversion ahead is a running minimum: one step per row
+    ahead = (Window.partitionBy(user, "_b").orderBy(F.col("_at").desc(), is_base)
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     seen = listed.withColumn("_next", F.min(F.when(~is_base, F.col("_at"))).over(ahead)).filter(is_base)
     converted = F.coalesce(F.col("_next") - F.col("_at") <= span, F.lit(False))
     return (seen.groupBy(*group_by)
@@ -77,18 +79,28 @@ def conversion_metric(events: DataFrame, user: str, time: str, kind: str, base:
 
 
 def hierarchy_rollup(df: DataFrame, levels: Sequence[str], measures: Sequence[Measure]) -> DataFrame:
-    """Subtotals of every prefix of the level path; `level` counts the levels in use."""
+    """Subtotals of every prefix of the level path; `level` counts the levels in use.
+
+    Exact order statistics have no partial form: for them each row is listed
+    once per prefix.
+    """
     n = len(levels)
+    if any(m.ordered for m in measures):
+        listed = df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(n))))
+        listed = listed.withColumns({c: F.when(F.col("level") > i, F.col(c)) for i, c in enumerate(levels)})
+        return aggregate(listed, [*levels, "level"], measures).select(*levels, *[m.name for m in measures], "level")
     used = F.lit(n) - sum((F.grouping(c).cast("int") for c in levels[1:]), F.grouping(levels[0]).cast("int"))
     return df.rollup(*levels).agg(*[m.to_column() for m in measures], used.alias("level"))
 
 
 def pivot_with_subtotals(df: DataFrame, row: str, column: str, values: Sequence, measure: Measure) -> DataFrame:
     """Cross-tab of named column values with a row total and a grand total row."""
-    cells = [Measure(f"{column}_{v}", measure.aggregation, measure.expression, measure.percentile,
-                     (*measure.filters, Filter(column, "=", v))).to_column() for v in values]
-    return df.rollup(row).agg(F.grouping(row).cast("int").alias("is_total"), *cells,
-                              measure.to_column().alias("total"))
+    cells = [replace(measure, name=f"{column}_{v}", filters=(*measure.filters, Filter(column, "=", v))) for v in values]
+    total = replace(measure, name="total")
+    if measure.ordered:
+        listed = df.withColumn("is_total", F.explode(F.array(F.lit(0), F.lit(1))))
+        return aggregate(listed.withColumn(row, F.when(F.col("is_total") == 0, F.col(row))), [row, "is_total"], [*cells, total])
+    return df.rollup(row).agg(F.grouping(row).cast("int").alias("is_total"), *[c.to_column() for c in cells], total.to_column())
 
 
 def lod_fixed(df: DataFrame, unfiltered: DataFrame, grain: Sequence[str], measure: Measure) -> DataFrame:

@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 HOT_ROWS = 2_000_000
-MAX_CHUNKS = 100_000
 Order = Sequence[str]  # column names, "-name" sorts descending
 
 
@@ -56,7 +55,7 @@ def in_chunks(df: DataFrame, partition: Sequence[str], order: Order, total: int,
     rows are spread over groups, and rows that are equal on all columns named
     share a chunk. Storing the number fixes it for every later pass.
     """
-    n = min(max(math.ceil(total / hot_rows), 2), MAX_CHUNKS)
+    n = max(math.ceil(total / hot_rows), 2)
     ranged = df.repartitionByRange(n, *[F.col(p) for p in partition], *sort_columns(order))
     return materialize(ranged.withColumn("_chunk", F.spark_partition_id()), "chunks")
 

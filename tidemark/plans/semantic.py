@@ -14,8 +14,6 @@ from ..operators.filters import Filter, conjunction, filters_from_map, time_rang
 from ..operators.measures import Measure, aggregate
 from ..operators.ordered import same
 
-MAX_LIMIT = 100_000
-MAX_JOIN_DEPTH = 4
 
 
 @dataclass(frozen=True)
@@ -50,7 +48,11 @@ class SemanticModel:
 
 @dataclass(frozen=True)
 class Relationship:
-    """An edge of the join graph; extra `condition` is a SQL predicate."""
+    """An edge of the join graph; extra `condition` is a SQL predicate.
+
+    `cardinality` reads from left to right: many_to_one, one_to_one,
+    one_to_many or many_to_many.
+    """
 
     left: str
     right: str
@@ -58,11 +60,17 @@ class Relationship:
     right_key: str
     join_type: str = "left"
     condition: str | None = None
+    cardinality: str = "many_to_one"
+
+    @property
+    def to_many(self) -> bool:
+        return self.cardinality.endswith("to_many")
 
     def flipped(self) -> "Relationship":
         swap = {"left": "right", "right": "left"}
         return Relationship(self.right, self.left, self.right_key, self.left_key,
-                            swap.get(self.join_type, self.join_type), self.condition)
+                            swap.get(self.join_type, self.join_type), self.condition,
+                            "_to_".join(reversed(self.cardinality.split("_to_"))))
 
 
 @dataclass
@@ -91,7 +99,7 @@ class SemanticLayer:
                     return m, x
         raise KeyError(f"unknown measure {name!r}")
 
-    def join_path(self, start: str, goal: str, max_depth: int = MAX_JOIN_DEPTH) -> list[Relationship]:
+    def join_path(self, start: str, goal: str) -> list[Relationship]:
         """Shortest chain of relationships, walked in either direction."""
         queue = deque([(start, [])])
         seen = {start}
@@ -99,8 +107,6 @@ class SemanticLayer:
             here, path = queue.popleft()
             if here == goal:
                 return path
-            if len(path) == max_depth:
-                continue
             for rel in self.relationships:
                 for edge in (rel, rel.flipped()):
                     if edge.left == here and edge.right not in seen:
@@ -184,11 +190,41 @@ def semantic_frame(layer: SemanticLayer, q: SemanticQuery) -> tuple[DataFrame, l
             # totals of totals: counts add up like sums
             asked = [x if distinct(x) else Measure(x.name, "sum" if x.aggregation == "count" else x.aggregation, f"`{x.name}`")
                      for x in asked]
-    df = layer.joined(primary, others, q.tenant, base).filter(conjunction([c for _, c in conditions]))
-    df = df.withColumns({n: F.expr(resolve[n]) for n in q.dimensions})
+    near, far = _split_at_to_many(layer, primary, others) if any(x.aggregation not in _REPEATABLE for x in asked) else (others, {})
+    beyond = {n for n, (m, _) in dims.items() if any(m.name in goals for goals in far.values())}
+    df = layer.joined(primary, near, q.tenant, base).filter(conjunction([c for n, c in conditions if n not in beyond]))
+    df = df.withColumns({n: F.expr(resolve[n]) for n in q.dimensions if n not in beyond})
+    for edge, goals in far.items():
+        own = [n for n in beyond if dims[n][0].name in goals]
+        side = layer.joined(edge.right, [g for g in goals if g != edge.right], q.tenant)
+        wanted = [c for n, c in conditions if n in own]
+        shown = [n for n in q.dimensions if n in own]
+        # one row per join key and group: a measured row counts once in each of its groups
+        side = side.filter(conjunction(wanted)).select(F.col(edge.right_key).alias("_key"), *[F.expr(resolve[n]).alias(n) for n in shown]).distinct()
+        df = df.join(side, df[edge.left_key] == side["_key"], "inner" if wanted else edge.join_type).drop("_key")
     return df, asked
 
 
+# aggregations that repeated rows don't change
+_REPEATABLE = ("min", "max", "count_distinct", "approx_count_distinct")
+
+
+def _split_at_to_many(layer: SemanticLayer, primary: str, goals: Sequence[str]) -> tuple[list[str], dict[Relationship, list[str]]]:
+    """Models to join as they are, and by first to-many edge those beyond it, whose rows would repeat measured rows."""
+    near, far = [], {}
+    for goal in goals:
+        path = layer.join_path(primary, goal)
+        edge = next((e for e in path if e.to_many), None)
+        if edge is None:
+            near.append(goal)
+            continue
+        if edge.condition:
+            raise ValueError(f"measures would repeat over {edge.left!r} to {edge.right!r}, whose join has a condition")
+        near += [e.right for e in path[:path.index(edge)]]
+        far.setdefault(edge, []).append(goal)
+    return list(dict.fromkeys(near)), far
+
+
 def semantic_query(layer: SemanticLayer, q: SemanticQuery) -> DataFrame:
     """Slice and dice: join, filter, group, aggregate, order, page.
 
@@ -220,8 +256,10 @@ def semantic_query(layer: SemanticLayer, q: SemanticQuery) -> DataFrame:
 
 
 def page(df: DataFrame, order_by: Sequence[str] = (), limit: int | None = None, offset: int = 0,
-         max_limit: int = MAX_LIMIT) -> DataFrame:
-    """Validated ordering ("-name" descends) with limit and offset."""
+         max_limit: int | None = None) -> DataFrame:
+    """Validated ordering ("-name" descends) with limit and offset; a limit over `max_limit` is refused."""
+    if limit is not None and (limit < 0 or max_limit is not None and limit > max_limit):
+        raise ValueError(f"limit {limit} is not between 0 and {max_limit}")
     unknown = [o for o in order_by if o.lstrip("-") not in df.columns]
     if unknown:
         raise ValueError(f"cannot order by {unknown}")
@@ -229,4 +267,4 @@ def page(df: DataFrame, order_by: Sequence[str] = (), limit: int | None = None,
         df = df.orderBy(*[F.col(o[1:]).desc() if o.startswith("-") else F.col(o).asc() for o in order_by])
     if offset:
         df = df.offset(offset)
-    return df.limit(min(limit, max_limit)) if limit is not None else df
+    return df.limit(limit) if limit is not None else df

@@ -12,9 +12,6 @@ from ..operators.filters import Filter, conjunction, time_range
 from ..operators.measures import Measure, aggregate
 from .semantic import page
 
-TOP_N_MAX = 1000
-AGGREGATION_MAX = 10_000
-
 
 def period(column: str | Column, grain: str) -> Column:
     """Start of the period holding a date or timestamp; weeks start on Sunday."""
@@ -37,7 +34,7 @@ def aggregation_query(df: DataFrame, dimensions: Sequence[str], measures: Sequen
     out = aggregate(df.filter(conjunction(filters)), dimensions, measures)
     if having:
         out = out.filter(conjunction(having))
-    return page(out, order_by, None if limit is None else max(1, limit), max_limit=AGGREGATION_MAX)
+    return page(out, order_by, limit)
 
 
 def drill_down(df: DataFrame, path: Sequence[str], chosen: dict[str, Any], measures: Sequence[Measure]) -> DataFrame:
@@ -72,7 +69,8 @@ def trend_query(df: DataFrame, time_column: str, grain: str, measures: Sequence[
 def top_n_query(df: DataFrame, dimension: str, measure: Measure, n: int = 10, ascending: bool = False,
                 filters: Sequence[Filter] = (), extra: Sequence[Measure] = ()) -> DataFrame:
     """Groups ranked by a measure; the key breaks ties."""
-    n = max(1, min(n, TOP_N_MAX))
+    if n < 1:
+        raise ValueError("n is at least 1")
     grouped = aggregate(df.filter(conjunction(filters)), [dimension], [measure, *extra])
     by = F.col(measure.name)
     return grouped.orderBy(by.asc() if ascending else by.desc(), F.col(dimension).asc()).limit(n)
