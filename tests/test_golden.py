@@ -1,6 +1,8 @@
 """Small inputs with known results."""
 
 import datetime as dt
+import hashlib
+import math
 
 from conftest import rows
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from tidemark.functions import calendar as cal
 from tidemark.functions import columns as c
 from tidemark.operators import reshape, sets, windows
 from tidemark.operators.calendars import date_dimension, fiscal_periods, fiscal_year_dates
-from tidemark.plans.models import filtered_columns, nullcheck, slugify, snake_case, star
+from tidemark.plans.models import filtered_columns, nullcheck, slugify, snake_case, snake_case_columns, star
 
 
 def frame(spark, data, ddl):
@@ -17,58 +19,55 @@ def frame(spark, data, ddl):
 
 
 def test_deduplicate(spark):
-    df = frame(spark, [(1, "play", 1), (1, "play", 2), (2, "pause", 1)], "user_id int, event string, version int")
-    out = windows.deduplicate(df.filter("user_id = 1"), ["user_id"], ["-version"])
-    assert rows(out) == [(1, "play", 2)]
+    df = frame(spark, [("oak", "cut", 4), ("oak", "cut", 9), ("elm", "plant", 2)], "tree string, work string, day int")
+    assert rows(windows.deduplicate(df, ["tree"], ["-day"])) == [("elm", "plant", 2), ("oak", "cut", 9)]
 
 
 def test_latest_version_keeps_rows_with_nulls(spark):
-    df = frame(spark, [(1, None, 1), (1, None, 2), (None, "x", 1)], "k int, a string, v int")
-    assert rows(windows.latest_version(df, ["k"], "v")) == [(1, None, 2), (None, "x", 1)]
+    df = frame(spark, [(7, None, 3), (7, None, 8), (None, "w", 5)], "k int, a string, v int")
+    assert rows(windows.latest_version(df, ["k"], "v")) == [(7, None, 8), (None, "w", 5)]
 
 
 def test_pivot(spark):
-    df = frame(spark, [("S", "red"), ("S", "blue"), ("S", "blue's"), ("M", "red")], "size string, color string")
-    assert rows(reshape.pivot(df, ["size"], "color", ["red", "blue"])) == [("M", 1, 0), ("S", 1, 1)]
-    assert reshape.pivot(df, ["size"], "color", ["red", "blue's"], slug=True).columns == ["size", "red", "blues"]
-    assert reshape.pivot_values(df, "color") == ["blue", "blue's", "red"]
+    df = frame(spark, [("north", "dry"), ("north", "wet"), ("north", "so-so!"), ("south", "dry"), ("south", "dry")], "side string, air string")
+    assert rows(reshape.pivot(df, ["side"], "air", ["dry", "wet"])) == [("north", 1, 1), ("south", 2, 0)]
+    assert reshape.pivot(df, ["side"], "air", ["dry", "so-so!"], slug=True).columns == ["side", "dry", "so_so"]
+    assert reshape.pivot_values(df, "air") == ["dry", "so-so!", "wet"]
 
 
 def test_unpivot(spark):
-    df = frame(spark, [(123, "2017-01-01", "active", "tier 1", "name 1")],
-               "customer_id int, created_at string, status string, segment string, name string")
-    out = reshape.unpivot(df, ["customer_id", "created_at"], ["name"], "string", "prop", "val")
-    assert rows(out) == [(123, "2017-01-01", "segment", "tier 1"), (123, "2017-01-01", "status", "active")]
+    df = frame(spark, [(5, "harbour", 12, "calm", "x")], "buoy int, place string, depth int, sea string, note string")
+    out = reshape.unpivot(df, ["buoy", "place"], ["note"], "string", "what", "how")
+    assert rows(out) == [(5, "harbour", "depth", "12"), (5, "harbour", "sea", "calm")]
 
 
 def test_unpivot_bool(spark):
-    out = reshape.unpivot(frame(spark, [(1, True, None)], "id int, flag boolean, x string"), ["id"])
-    assert rows(out) == [(1, "flag", "true"), (1, "x", None)]
+    out = reshape.unpivot(frame(spark, [(8, False, None)], "id int, open boolean, y string"), ["id"])
+    assert rows(out) == [(8, "open", "false"), (8, "y", None)]
 
 
 def test_union(spark):
-    a = frame(spark, [(1, "drew", "pi"), (2, "bob", "e"), (3, "alice", "4")], "id int, name string, favorite_number string")
-    b = frame(spark, [(1, "green", 7), (2, "pink", 13)], "id int, favorite_color string, favorite_number int")
+    a = frame(spark, [(4, "barley", "2.5"), (6, "rye", "t")], "lot int, grain string, weight string")
+    b = frame(spark, [(4, "silo", 31)], "lot int, store string, weight int")
     out = sets.union_relations({"a": a, "b": b}, source_column=None)
-    assert rows(out, "id", "name", "favorite_color", "favorite_number") == [
-        (1, "drew", None, "pi"), (1, None, "green", "7"), (2, "bob", None, "e"), (2, None, "pink", "13"), (3, "alice", None, "4")]
-    assert sets.union_relations({"a": a, "b": b}, exclude=["NAME"]).columns == ["source_relation", "id", "favorite_number", "favorite_color"]
-    assert rows(sets.union_relations({"a": a, "b": b}, include=["id"], where="id = 3")) == [("a", 3)]
+    assert rows(out, "lot", "grain", "store", "weight") == [(4, "barley", None, "2.5"), (4, None, "silo", "31"), (6, "rye", None, "t")]
+    assert sets.union_relations({"a": a, "b": b}, exclude=["GRAIN"]).columns == ["source_relation", "lot", "weight", "store"]
+    assert rows(sets.union_relations({"a": a, "b": b}, include=["lot"], where="lot = 6")) == [("a", 6)]
 
 
 def test_surrogate_key(spark):
-    df = frame(spark, [("a", "b", "c"), ("a", None, "c"), (None, None, "c"), (None, None, None)], "x string, y string, z string")
-    got = [tuple(r) for r in df.select(c.surrogate_key("x"), c.surrogate_key("x", "y", "z")).collect()]
-    assert got == [("0cc175b9c0f1b6a831c399e269772661", "7b193b3d33184464106f41ddf733783b"),
-                   ("0cc175b9c0f1b6a831c399e269772661", "4f32a73dc87b7bbb7a654d8898d58c7e"),
-                   ("f14cc5cdce0420f4a5a6b6d9d7b85f39", "d9c538b129f1a3ad6ecfe55345c32a05"),
-                   ("f14cc5cdce0420f4a5a6b6d9d7b85f39", "2fa5491950d66d153d23cfbcfea4e164")]
+    """The md5 of the values as text, joined by a hyphen; NULL has a text of its own."""
+    null = "_dbt_utils_surrogate_key_null_"
+    df = frame(spark, [("k", "2"), ("k", None), (None, None)], "x string, y string")
+    digest = lambda *parts: hashlib.md5("-".join(parts).encode()).hexdigest()
+    got = [tuple(r) for r in df.select(c.surrogate_key("x"), c.surrogate_key("x", "y")).collect()]
+    assert got == [(digest("k"), digest("k", "2")), (digest("k"), digest("k", null)), (digest(null), digest(null, null))]
 
 
 def test_width_bucket(spark):
-    amounts = [190000.0, 290000.0, 320000.0, 399999.99, 400000.0, 470000.0, 510000.0, 610000.0]
-    df = frame(spark, [(a,) for a in amounts], "a double")
-    assert [r[0] for r in df.select(c.width_bucket("a", 200000, 600000, 4)).collect()] == [0, 1, 2, 2, 3, 3, 4, 5]
+    values = [-3.0, 0.0, 9.99, 10.0, 25.0, 49.5, 50.0, 80.0]  # five buckets of ten between 0 and 50
+    df = frame(spark, [(v,) for v in values], "a double")
+    assert [r[0] for r in df.select(c.width_bucket("a", 0, 50, 5)).collect()] == [0, 1, 1, 2, 3, 5, 6, 6]
 
 
 def test_series_and_spine(spark):
@@ -80,31 +79,32 @@ def test_series_and_spine(spark):
 
 
 def test_safe_arithmetic(spark):
-    df = frame(spark, [(1, 2, 3), (1, None, 3), (None, None, 2), (None, None, None)], "a int, b int, c int")
-    assert [r[0] for r in df.select(c.safe_add("a", "b", "c")).collect()] == [6, 4, 2, 0]
-    assert [r[0] for r in df.select(c.safe_subtract("a", "b", "c")).collect()] == [-4, -2, -2, 0]
-    pairs = frame(spark, [(6, 0), (10, 5), (None, None), (0, None), (17, None), (0, 0), (None, 9), (0, 5)], "n int, d int")
-    assert [r[0] for r in pairs.select(c.safe_divide("n", "d")).collect()] == [None, 2, None, None, None, None, None, 0]
+    df = frame(spark, [(20, 4, 1), (20, None, 1), (None, None, 6)], "a int, b int, c int")
+    assert [r[0] for r in df.select(c.safe_add("a", "b", "c")).collect()] == [25, 21, 6]
+    assert [r[0] for r in df.select(c.safe_subtract("a", "b", "c")).collect()] == [15, 19, -6]
+    pairs = frame(spark, [(8, 0), (21, 7), (None, 3), (4, None), (0, 11)], "n int, d int")
+    assert [r[0] for r in pairs.select(c.safe_divide("n", "d")).collect()] == [None, 3, None, None, 0]
 
 
 def test_haversine(spark):
-    df = frame(spark, [(48.864716, 2.349014, 52.379189, 4.899431)], "a double, b double, c double, d double")
-    got = df.select(F.round(c.haversine_distance("a", "b", "c", "d")), F.round(c.haversine_distance("a", "b", "c", "d", "km"))).first()
-    assert tuple(got) == (267, 430)
+    # a quarter of a meridian, and two points a degree of latitude apart
+    df = frame(spark, [(0.0, 10.0, 90.0, 10.0), (40.0, -3.0, 41.0, -3.0)], "a double, b double, c double, d double")
+    got = df.select(F.round(c.haversine_distance("a", "b", "c", "d", "km"))).collect()
+    assert all(abs(r[0] / want - 1) < 0.005 for r, want in zip(got, (6371 * math.pi / 2, 6371 * math.pi / 180)))
+    miles = df.select(F.round(c.haversine_distance("a", "b", "c", "d") / c.haversine_distance("a", "b", "c", "d", "km"), 3)).first()[0]
+    assert miles == 0.621
 
 
 def test_urls(spark):
-    hosts = {"www.google.co.uk?utm_source=google&utm_medium=cpc": "www.google.co.uk", "http://witanddelight.com/2018/01/x/": "witanddelight.com",
-             "https://www.nytimes.com/2018/01/01/blog": "www.nytimes.com", "android-app://m.facebook.com/": "m.facebook.com",
-             "docs.nytimes.com/2021/01/01/index.js?utm_source=google": "docs.nytimes.com", "https://m.facebook.com/": "m.facebook.com"}
+    hosts = {"https://shop.example.org/a/b?x=1": "shop.example.org", "http://example.net": "example.net",
+             "data.example.com/list?page=2": "data.example.com", "android-app://reader.example/": "reader.example", "example.edu?q=1": "example.edu"}
     df = frame(spark, list(hosts.items()), "u string, h string")
     assert df.filter(~c.url_host("u").eqNullSafe(F.col("h"))).count() == 0
-    paths = {"www.google.co.uk?utm_source=google": None, "http://witanddelight.com/2018/01/tips/": "2018/01/tips/",
-             "https://www.nytimes.com/2018/01/01/blog": "2018/01/01/blog", "http://witanddelight.com/2018/01/tips/?utm_source=google": "2018/01/tips/"}
+    paths = {"example.edu?q=1": None, "https://shop.example.org/a/b/": "a/b/", "http://example.net/one?x=/two": "one"}
     df = frame(spark, list(paths.items()), "u string, p string")
     assert df.filter(~c.url_path("u").eqNullSafe(F.col("p"))).count() == 0
-    df = frame(spark, [("http://drewbanin.com/milky?utm_medium=organic",), ("http://drewbanin.com/milky?utm_medium=organic&utm_source=github",)], "u string")
-    assert rows(df.select(c.url_parameter("u", "utm_medium"), c.url_parameter("u", "utm_source"))) == [("organic", "github"), ("organic", None)]
+    df = frame(spark, [("http://example.net/p?size=4&hue=red",), ("http://example.net/p?hue=blue",)], "u string")
+    assert rows(df.select(c.url_parameter("u", "hue"), c.url_parameter("u", "size"))) == [("blue", None), ("red", "4")]
 
 
 def test_column_helpers(spark):
@@ -117,21 +117,24 @@ def test_column_helpers(spark):
 
 
 def test_calendar_parts(spark):
-    day = frame(spark, [("2020-11-29",), ("2020-12-01",)], "date_day string").selectExpr("cast(date_day as date) as date_day")
+    """Parts of a leap day and of a year's first day, a Thursday and a Friday."""
+    day = spark.sql("select explode(array(date '2024-02-29', date '2027-01-01')) as date_day")
     want = ["prior_date_day", "next_date_day", "day_of_week_name", "day_of_week_name_short", "day_of_month", "day_of_week", "day_of_week_iso",
             "day_of_year", "week_start_date", "week_end_date", "week_of_year", "iso_week_start_date", "iso_week_end_date", "iso_week_of_year",
             "month_of_year", "month_name", "month_name_short"]
     d = dt.date
     assert rows(date_dimension(day).select(*want)) == [
-        (d(2020, 11, 28), d(2020, 11, 30), "Sunday", "Sun", 29, 1, 7, 334, d(2020, 11, 29), d(2020, 12, 5), 48, d(2020, 11, 23), d(2020, 11, 29), 48, 11, "November", "Nov"),
-        (d(2020, 11, 30), d(2020, 12, 2), "Tuesday", "Tue", 1, 3, 2, 336, d(2020, 11, 29), d(2020, 12, 5), 48, d(2020, 11, 30), d(2020, 12, 6), 49, 12, "December", "Dec")]
+        (d(2024, 2, 28), d(2024, 3, 1), "Thursday", "Thu", 29, 5, 4, 60, d(2024, 2, 25), d(2024, 3, 2), 9, d(2024, 2, 26), d(2024, 3, 3), 9, 2, "February", "Feb"),
+        (d(2026, 12, 31), d(2027, 1, 2), "Friday", "Fri", 1, 6, 5, 1, d(2026, 12, 27), d(2027, 1, 2), 1, d(2026, 12, 28), d(2027, 1, 3), 53, 1, "January", "Jan")]
 
 
 def test_epochs_and_zones(spark):
-    df = frame(spark, [(1623076520,)], "e bigint")
-    got = df.select(cal.from_unixtimestamp("e"), cal.convert_timezone(cal.from_unixtimestamp("e"), "America/Los_Angeles"),
-                    cal.round_timestamp(cal.from_unixtimestamp("e")), cal.to_unixtimestamp(cal.from_unixtimestamp("e"))).first()
-    assert tuple(got) == (dt.datetime(2021, 6, 7, 14, 35, 20), dt.datetime(2021, 6, 7, 7, 35, 20), dt.datetime(2021, 6, 8), 1623076520)
+    at = dt.datetime(2023, 1, 15, 18, 30, 5)
+    seconds = int(at.replace(tzinfo=dt.timezone.utc).timestamp())
+    got = frame(spark, [(seconds,)], "e bigint").select(
+        cal.from_unixtimestamp("e"), cal.convert_timezone(cal.from_unixtimestamp("e"), "Asia/Tokyo"),
+        cal.round_timestamp(cal.from_unixtimestamp("e")), cal.to_unixtimestamp(cal.from_unixtimestamp("e"))).first()
+    assert tuple(got) == (at, at + dt.timedelta(hours=9), dt.datetime(2023, 1, 16), seconds)
 
 
 def test_fiscal_years_tile_the_calendar(spark):
@@ -170,3 +173,9 @@ def test_format_measure(spark):
                     c.format_measure("v", "percent", 0), c.format_measure("v", "decimal", 1, unit=" kg")).collect()
     assert tuple(got[0]) == ("1,234,568", "$1,234,567.89", "1.2M", "123,456,789%", "1,234,567.9 kg")
     assert tuple(got[1])[:2] == ("-5", "-$5.00") and tuple(got[2])[2] == "999.0"
+
+
+def test_column_names_stay_apart(spark):
+    df = frame(spark, [(1, 2, 3, 4)], "`a b` int, `a-b` int, `a b 2` int, `a_b_2` int")
+    names = snake_case_columns(df).columns
+    assert len(set(names)) == 4 and names[:2] == ["a_b", "a_b_2"]

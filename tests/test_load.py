@@ -212,3 +212,35 @@ def test_partitioned_write_sorts_and_spreads(spark, sf):
     assert back.count() == spark.read.parquet(f"{sf}/orders.parquet").count()
     plan = back.filter(F.col("month") == "199703")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month" in plan
+
+
+def test_json_lines_end_at_line_feeds_only(spark, tmp_path):
+    import gzip
+    text = '{"a": 1, "b": "x\u2028y\x85z"}\n\n{"a": 2, "b": "q"}\n'
+    (tmp_path / "plain.jsonl").write_text(text, encoding="utf-8")
+    (tmp_path / "packed.jsonl.gz").write_bytes(gzip.compress(text.encode()))
+    (tmp_path / "odd.jsonl").write_bytes(gzip.compress(text.encode()))
+    df = readers.read_jsonl_glob(spark, f"{tmp_path}/*", "a int, b string")
+    assert rows(df) == [(1, "x\u2028y\x85z")] * 3 + [(2, "q")] * 3
+    (tmp_path / "bad.jsonl").write_text("{nope\n")
+    with pytest.raises(Exception):
+        readers.read_jsonl_glob(spark, f"{tmp_path}/*", "a int, b string").collect()
+
+
+def test_csv_encodings_remarks_and_line_breaks(spark, tmp_path):
+    (tmp_path / "remarks.csv").write_bytes("a remark; with signs\nanother\nk;v\n1;café\n2;NA\n".encode("iso-8859-1"))
+    read = lambda **k: readers.read_csv(spark, f"{tmp_path}/remarks.csv", "k int, v string", ";", "ISO-8859-1", 2, ["", "NA"], **k)
+    assert rows(read()) == [(1, "café"), (2, None)]
+    (tmp_path / "remarks.csv").write_bytes(b"x\ny\nk;v\n1;a;surplus\n")
+    with pytest.raises(Exception):
+        read().collect()
+    (tmp_path / "breaks.csv").write_text('k,v\n1,"two\nlines"\n2,one\n')
+    assert rows(readers.read_csv(spark, f"{tmp_path}/breaks.csv", "k int, v string", multi_line=True)) == [(1, "two\nlines"), (2, "one")]
+
+
+def test_audit_counts_and_records_failures(spark, tmp_path):
+    path = work_path(spark, "audit")
+    good = catalog.audited_write(spark.range(10), path, "j", "2024-01-01", valid="id % 2 = 0").first()
+    assert (good.rows_read, good.rows_written, good.status) == (10, 5, "success")
+    bad = catalog.audited_write(spark.range(10).selectExpr("id / 0 as x"), path, "j", "2024-01-01", "2024-01-02").first()
+    assert (bad.rows_written, bad.status, bad.finished_at) == (None, "failed", "2024-01-02") and "DIVIDE_BY_ZERO" in bad.error

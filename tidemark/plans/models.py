@@ -118,12 +118,14 @@ def slugify(value: str) -> str:
 
 def snake_case_columns(df: DataFrame) -> DataFrame:
     """Normalised unique column names; repeats get a number."""
-    taken: dict[str, int] = {}
-    names = []
+    names: list[str] = []
     for c in df.columns:
-        base = snake_case(c)
-        taken[base] = taken.get(base, 0) + 1
-        names.append(base if taken[base] == 1 else f"{base[:NAME_LIMIT - 4]}_{taken[base]}")
+        base = name = snake_case(c)
+        n = 1
+        while name in names:
+            n += 1
+            name = f"{base[:NAME_LIMIT - 1 - len(str(n))]}_{n}"
+        names.append(name)
     return df.toDF(*names)
 
 

@@ -467,7 +467,8 @@ def within_n_moving_stdevs(df: DataFrame, column: str, date_column: str, as_of:
     metric = (df.groupBy(period(date_column, grain).alias("metric_period"), *group_by)
               .agg(F.sum(col(column)).alias("metric_value")))
     w = Window.partitionBy(*group_by).orderBy("metric_period")
-    scale = lambda c: F.ln(F.nullif(c, F.lit(0.0))) if take_logs else c
+    # with logs, a period without a value or of value 0, and the time before the first one, count as 0
+    scale = lambda c: F.coalesce(F.ln(F.nullif(c, F.lit(0.0))), F.lit(0.0)) if take_logs else c
     test = scale(F.col("metric_value"))
     if take_diffs:
         test = test - scale(F.lag("metric_value", lookback_periods).over(w))

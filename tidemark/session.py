@@ -37,7 +37,8 @@ def build_session(app: str = "tidemark", cores: int | str = "*", shuffle_partiti
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to an existing session."""
+    """Apply the runtime settings to an existing session; a cluster without a shared folder fails here, not in a job."""
+    shared_dir(spark)
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)

@@ -6,7 +6,7 @@ import fnmatch
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,20 +105,30 @@ def source_freshness(df: DataFrame, loaded_at: str, as_of: str, warn_after: tupl
 
 
 def audited_write(df: DataFrame, path: str, job: str, started_at: str, finished_at: str | None = None,
-                  mode: str = "append") -> DataFrame:
-    """Write a frame and return the run's audit row; rows are counted while writing."""
+                  mode: str = "append", valid: str | Column | None = None) -> DataFrame:
+    """Write the valid rows of a frame and return the run's audit row; a failure is recorded, not raised.
+
+    Rows read and rows written are counted apart while writing; `valid` says
+    which rows are written (all, where it is left out).
+    """
     import time
 
+    from pyspark.errors import PySparkException
     from pyspark.sql import Observation
 
-    seen, begun = Observation("audit"), time.time()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).parquet(path)
-    written = seen.get["rows"]
-    spark = df.sparkSession
-    return spark.createDataFrame(
-        [(job, started_at, written, written, float(round(time.time() - begun, 3)), "success", None)],
-        "job_name string, started_at string, rows_read bigint, rows_written bigint, duration_seconds double, "
-        "status string, error string")
+    read, kept, begun = Observation("read"), Observation("written"), time.time()
+    rows = df.observe(read, F.count(F.lit(1)).alias("rows"))
+    rows = rows if valid is None else rows.filter(valid)
+    counts, status, error = (None, None), "success", None
+    try:
+        rows.observe(kept, F.count(F.lit(1)).alias("rows")).write.mode(mode).parquet(path)
+        counts = (read.get["rows"], kept.get["rows"])
+    except PySparkException as failure:
+        status, error = "failed", str(failure)[:1000]
+    return df.sparkSession.createDataFrame(
+        [(job, started_at, finished_at, *counts, float(round(time.time() - begun, 3)), status, error)],
+        "job_name string, started_at string, finished_at string, rows_read bigint, rows_written bigint, "
+        "duration_seconds double, status string, error string")
 
 
 def tenant_summary(events: DataFrame, audit: DataFrame, time: str = "ts", kind: str = "event_type") -> DataFrame:

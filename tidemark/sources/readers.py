@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gzip
 import re
+import zlib
 from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
@@ -51,41 +51,65 @@ def read_query(spark: SparkSession, sql: str, **views: DataFrame) -> DataFrame:
 
 
 def run_parameterized(spark: SparkSession, sql: str, params: Mapping[str, Any], **views: DataFrame) -> DataFrame:
-    """Bind `{{name}}` as typed SQL parameters; values never become SQL text."""
+    """Bind `{{name}}` as typed SQL parameters; values never become SQL text. Views live for this text only."""
     missing = [p for p in _PARAMETER.findall(sql) if p not in params]
     if missing:
         raise KeyError(f"no value for parameters {missing}")
     text = _PARAMETER.sub(lambda m: f":{m.group(1)}", sql)
     for name, frame in views.items():
         frame.createOrReplaceTempView(name)
-    return spark.sql(text, args=dict(params))
+    try:
+        return spark.sql(text, args=dict(params))
+    finally:
+        for name in views:
+            spark.catalog.dropTempView(name)
+
+
+def _after_head(lines: int):
+    """Rows (line, file, start) without the first `lines` of each file; rows of a file come in order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        file, seen = None, 0
+        for batch in batches:
+            kept = []
+            for line, name, start in zip(batch["line"], batch["file"], batch["start"]):
+                if (name, start) != file:
+                    file, seen = (name, start), 0
+                seen += 1
+                if start > 0 or seen > lines:
+                    kept.append(line)
+            yield pd.DataFrame({"line": kept})
+
+    return run
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, delimiter: str = ",",
-             encoding: str = "UTF-8", header_row: int | None = 0, na_values: Sequence[str] = ("",)) -> DataFrame:
-    """Delimited text with a declared schema.
+             encoding: str = "UTF-8", header_row: int | None = 0, na_values: Sequence[str] = ("",),
+             multi_line: bool = False) -> DataFrame:
+    """Delimited text with a declared schema; a row of another width is an error.
 
     `header_row` counts the lines before the header; None means no header.
-    With lines to skip, the file is read as numbered lines so that the skip is
-    exact per file. Several NA markers become NULL.
+    Lines to skip are counted within each file, whose head must lie in its
+    first split; such files can't have line breaks inside fields. `multi_line`
+    allows those otherwise. Several NA markers become NULL.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     text_schema = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     reader = spark.read.option("sep", delimiter).option("encoding", encoding).option("mode", "FAILFAST")
     if header_row:
-        # lines of one file, in file order, grouped by the file's name
-        lines = (spark.read.option("lineSep", "\n").text(path)
-                 .withColumn("_f", F.col("_metadata.file_path"))
-                 .withColumn("_o", F.col("_metadata.file_block_start"))
-                 .withColumn("_i", F.monotonically_increasing_id()))
-        first = lines.filter(F.col("_o") == 0).groupBy("_f").agg(
-            F.min("_i").alias("_start"))
-        body = (lines.join(first, "_f").filter((F.col("_o") > 0) | (F.col("_i") > F.col("_start") + header_row))
-                .select(F.from_csv("value", text_schema.simpleString()[7:-1].replace(":", " "),
-                                   {"sep": delimiter}).alias("r")).select("r.*"))
+        if multi_line:
+            raise ValueError("lines can be skipped or lie inside fields, not both")
+        # a separator that no text has: each line arrives as one decoded column
+        lines = (spark.read.option("sep", "\u0001").option("quote", "").option("encoding", encoding)
+                 .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).schema("line string").csv(path)
+                 .select("line", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")))
+        kept = lines.mapInPandas(_after_head(header_row + 1), "line string")
+        body = (kept.select(F.from_csv("line", ", ".join(f"`{f.name}` string" for f in schema.fields),
+                                       {"sep": delimiter, "mode": "FAILFAST"}).alias("r")).select("r.*"))
     else:
-        body = reader.option("header", header_row is not None).schema(text_schema).csv(path)
+        body = (reader.option("header", header_row is not None).option("multiLine", multi_line)
+                .schema(text_schema).csv(path))
     marks = list(na_values)
     return body.select(*[
         F.when(F.col(f.name).isin(marks), None).otherwise(F.col(f.name)).cast(f.dataType).alias(f.name)
@@ -112,24 +136,53 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
 
 
 def _gunzip_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lines of whole files, unpacked where they are gzip; a part of a file at a time."""
     for batch in batches:
         for content in batch["content"]:
-            data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-            lines = [line for line in data.decode("utf-8").splitlines() if line.strip()]
-            yield pd.DataFrame({"line": lines})
+            unpack = zlib.decompressobj(31) if content[:2] == b"\x1f\x8b" else None
+            rest = b""
+            for at in range(0, len(content), 1 << 20):
+                piece = content[at:at + (1 << 20)]
+                *lines, rest = (rest + (unpack.decompress(piece) if unpack else piece)).split(b"\n")
+                yield pd.DataFrame({"line": [x.decode("utf-8") for x in lines if x.strip()]})
+            if rest.strip():
+                yield pd.DataFrame({"line": [rest.decode("utf-8")]})
+
+
+def _glob(spark: SparkSession, pattern: str) -> tuple[list[str], list[str]]:
+    """Files of a glob that Spark reads by their name, and those whose suffix lies about gzip; two bytes of each are read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    honest, odd = [], []
+    for found in files.globStatus(where) or []:
+        stream = files.open(found.getPath())
+        try:
+            packed = (stream.read(), stream.read()) == (0x1F, 0x8B)
+        finally:
+            stream.close()
+        name = found.getPath().toString()
+        (honest if packed == name.endswith(".gz") else odd).append(name)
+    return honest, odd
 
 
 def read_jsonl_glob(spark: SparkSession, pattern: str, schema: T.StructType | str) -> DataFrame:
-    """JSON lines of every file of a glob, gzip or plain whatever the suffix.
+    """JSON lines of every file of a glob, gzip or plain whatever the suffix; a malformed line is an error.
 
     Fields missing in some files are NULL: the union of the files' schemas is
-    the declared one. Each file is one chunk of a loader, so files are the unit
-    of work and spread over the executors.
+    the declared one. Lines end at a line feed only. Spark's own reader takes
+    the files whose suffix tells what they are; only the others pass Python.
     """
-    files = spark.read.format("binaryFile").load(pattern).select("content")
-    lines = files.mapInPandas(_gunzip_lines, "line string")
-    ddl = schema if isinstance(schema, str) else schema.simpleString()
-    return lines.select(F.from_json("line", ddl).alias("r")).select("r.*")
+    honest, odd = _glob(spark, pattern)
+    parts = []
+    if honest:
+        parts.append(spark.read.schema(schema).option("mode", "FAILFAST").option("lineSep", "\n").json(honest))
+    if odd:
+        ddl = schema if isinstance(schema, str) else schema.simpleString()
+        lines = spark.read.format("binaryFile").load(odd).select("content").mapInPandas(_gunzip_lines, "line string")
+        parts.append(lines.select(F.from_json("line", ddl, {"mode": "FAILFAST"}).alias("r")).select("r.*"))
+    if not parts:
+        raise FileNotFoundError(f"no file matches {pattern}")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def preview(df: DataFrame, n: int = 20) -> DataFrame:

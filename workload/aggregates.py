@@ -143,11 +143,9 @@ def column_values(t):
     return m.column_values(t.part, "p_brand", 5, "p_type = 'PROMO'")
 
 
-@query("single_value_results_as_dict", [104], """
+@query("single_value", [104], """
     select o_orderstatus, count(*) as n, (select max(o_totalprice) from orders) as top_price from orders group by 1""")
-def single_value_results_as_dict(t):
+def single_value(t):
     top = m.single_value(t.orders.agg(F.max("o_totalprice")))
     counts = t.orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
-    lists = m.results_as_dict(counts)
-    labels = F.create_map(*[F.lit(x) for pair in zip(lists["o_orderstatus"], lists["n"]) for x in pair])
-    return counts.select("o_orderstatus", labels[F.col("o_orderstatus")].cast("bigint").alias("n"), F.lit(top).alias("top_price"))
+    return counts.select("o_orderstatus", "n", F.lit(top).alias("top_price"))

@@ -15,12 +15,12 @@ def order_keys(t, *conditions):
 
 
 @query("filter_comparisons", [41], ORDERS + "o_orderstatus = 'F' and o_orderpriority <> '5-LOW' and o_custkey != 3 "
-       "and o_totalprice > 1000 and o_totalprice <= 300000 and o_custkey >= 10 and o_orderkey < 14000")
+       "and o_totalprice > 1000 and o_totalprice <= 300000 and o_custkey >= 10 and o_orderkey < 100000000")
 def filter_comparisons(t):
     return order_keys(t, Filter("o_orderstatus", "=", "F"), Filter("o_orderpriority", "<>", "5-LOW"),
                       Filter("o_custkey", "!=", 3), Filter("o_totalprice", ">", 1000),
                       Filter("o_totalprice", "<=", 300000), Filter("o_custkey", ">=", 10),
-                      Filter("o_orderkey", "<", 14000))
+                      Filter("o_orderkey", "<", 100000000))
 
 
 @query("filter_in", [42], ORDERS + "o_orderpriority in ('1-URGENT', '2-HIGH') and o_orderstatus in ('O')")
