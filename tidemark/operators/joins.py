@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .ordered import first_per_group, same
+from .ordered import HOT_ROWS, first_per_group, same
+
 
 def equi_join(left: DataFrame, right: DataFrame, on: Mapping[str, str] | Sequence[str], how: str = "inner",
               extra: str | Column | None = None) -> DataFrame:
@@ -29,26 +30,24 @@ def equi_join(left: DataFrame, right: DataFrame, on: Mapping[str, str] | Sequenc
     return left.join(right, cond, how)
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot_share: float = 0.01,
-                salts: int = 32) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows_per_task: int = HOT_ROWS) -> DataFrame:
     """Inner or left join on `key` where a few keys of `left` hold much of it.
 
-    A key with more than `hot_share` of the rows is hot; there are at most
-    1 / hot_share of them, which bounds the broadcast list. Hot left rows are
-    spread over `salts` groups and the matching right rows are repeated.
+    A key with more than `rows_per_task` rows is hot; there are at most
+    rows / rows_per_task of them, which bounds the broadcast list, and it is
+    made once. A hot key's rows are spread over as many groups as its rows ask
+    for, by a hash of all their columns, and the matching right rows are
+    repeated as often.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left")
-    per_key = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = per_key.agg(F.sum("_n")).scalar()
-    hot = (per_key.withColumn("_total", total).filter(F.col("_n") > F.col("_total") * hot_share)
-           .select(key, F.lit(True).alias("_hot")))
-    hot = F.broadcast(hot)
-    others = [c for c in left.columns if c != key]
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*others), F.lit(salts))).otherwise(F.lit(0))
-    l_side = left.join(hot, key, "left").withColumn("_salt", salt.cast("int")).drop("_hot")
-    spread = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    r_side = right.join(hot, key, "left").withColumn("_salt", F.explode(spread)).drop("_hot")
+    hot = (left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.ceil(F.count(F.lit(1)) / rows_per_task).cast("int").alias("_salts"))
+           .filter("_salts > 1"))
+    hot = F.broadcast(materialize(hot, "hot"))
+    others = [c for c, k in left.dtypes if c != key and not k.startswith("map")]
+    salts = F.coalesce("_salts", F.lit(1))
+    l_side = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*others), salts).cast("int")).drop("_salts")
+    r_side = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return l_side.join(r_side, [key, "_salt"], how).drop("_salt")
 
 
@@ -116,12 +115,13 @@ def interval_join(points: DataFrame, ranges: DataFrame, at: str, start: str, end
     """Points inside [start, end] of a range, optionally also equal on keys.
 
     Ranges are listed once per `unit` they touch, which turns the range test
-    into an equality on the bucket; an open end closes at the last point.
+    into an equality on the bucket. Ranges are cut to the time between the
+    first and the last point, so open and far ends list no empty buckets.
     """
-    last = points.agg(F.max(F.col(at).cast("timestamp"))).scalar()
-    side = ranges.withColumn("_last", last)
-    until = F.coalesce(F.col(end).cast("timestamp"), F.col("_last"))
-    begin = F.col(start).cast("timestamp")
+    seen = points.agg(F.struct(F.min(F.col(at).cast("timestamp")).alias("first"), F.max(F.col(at).cast("timestamp")).alias("last"))).scalar()
+    side = ranges.withColumn("_seen", seen)
+    until = F.least(F.coalesce(F.col(end).cast("timestamp"), F.col("_seen.last")), F.col("_seen.last"))
+    begin = F.greatest(F.col(start).cast("timestamp"), F.col("_seen.first"))
     side = (side.withColumn("_bucket", F.explode(F.when(begin <= until, _buckets(begin, until, unit))))
             .select("_bucket", *[F.col(c).alias(f"_r_{c}") for c in ranges.columns]))
     pts = points.withColumn("_bucket", F.date_trunc(unit, F.col(at).cast("timestamp")))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import metrics as m
 from tidemark.operators.filters import Filter
-from tidemark.operators.measures import Measure
+from tidemark.operators.measures import Measure, aggregate
 
 from .registry import query
 
@@ -149,3 +149,32 @@ def single_value(t):
     top = m.single_value(t.orders.agg(F.max("o_totalprice")))
     counts = t.orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
     return counts.select("o_orderstatus", "n", F.lit(top).alias("top_price"))
+
+
+@query("median_of_groups_without_values", [77, 78, 80, 82], """
+    select o_custkey % 50 as g, round(median(o_totalprice) filter (o_custkey % 50 <> 7), 6) as middle,
+      round(quantile_cont(o_totalprice, 0.9) filter (o_orderstatus = 'P' and o_custkey % 50 <> 7), 6) as high_pending from orders group by 1""")
+def median_of_groups_without_values(t):
+    df = t.orders.withColumn("g", F.expr("o_custkey % 50")).withColumn("price", F.expr("case when g <> 7 then o_totalprice end"))
+    out = aggregate(df, ["g"], [Measure("middle", "median", "price"),
+                                Measure("high_pending", "percentile", "price", 90, (Filter("o_orderstatus", "=", "P"),))])
+    return out.withColumns({c: F.round(c, 6) for c in ("middle", "high_pending")})
+
+
+@query("hierarchy_rollup_median", [92, 77], """
+    select y, q, count(*) as n, round(median(o_totalprice), 6) as middle, (2 - grouping(y) - grouping(q))::int as level
+    from (select *, year(o_orderdate)::int as y, quarter(o_orderdate)::int as q from orders) group by rollup (y, q)""")
+def hierarchy_rollup_median(t):
+    df = t.orders.select("o_totalprice", F.year("o_orderdate").alias("y"), F.quarter("o_orderdate").alias("q"))
+    return (m.hierarchy_rollup(df, ["y", "q"], [Measure("n", "count"), Measure("middle", "median", "o_totalprice")])
+            .withColumn("middle", F.round("middle", 6)))
+
+
+@query("pivot_with_subtotals_median", [94, 77], """
+    select o_orderpriority, grouping(o_orderpriority)::int as is_total,
+      round(median(o_totalprice) filter (o_orderstatus = 'F'), 6) as "o_orderstatus_F",
+      round(median(o_totalprice) filter (o_orderstatus = 'P'), 6) as "o_orderstatus_P", round(median(o_totalprice), 6) as total
+    from orders group by rollup (o_orderpriority)""")
+def pivot_with_subtotals_median(t):
+    out = m.pivot_with_subtotals(t.orders, "o_orderpriority", "o_orderstatus", ["F", "P"], Measure("v", "median", "o_totalprice"))
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c not in ("o_orderpriority", "is_total")})

@@ -229,3 +229,14 @@ def impact_counts(t):
              .union(t.orders.selectExpr("concat('o', o_orderkey)", "'order'")))
     roots = t.region.filter("r_regionkey = 1").selectExpr("concat('r', r_regionkey) as node")
     return j.impact_counts(_edges(t), roots, kinds)
+
+
+@query("interval_join_far_ends", [71], """
+    with r as (select n_nationkey as id, timestamp '2024-01-01' + to_days(n_nationkey::int) as a,
+      case when n_nationkey % 3 = 0 then timestamp '9999-12-31' when n_nationkey % 3 = 1 then null else timestamp '2024-01-20' end as z from nation)
+    select event_type, id, count(*) as n from events join r on ts >= a and (z is null or ts <= z) group by 1, 2""")
+def interval_join_far_ends(t):
+    ranges = t.nation.selectExpr(
+        "n_nationkey as id", "timestamp_ntz '2024-01-01' + make_interval(0, 0, 0, cast(n_nationkey as int)) as a",
+        "case when n_nationkey % 3 = 0 then timestamp_ntz '9999-12-31' when n_nationkey % 3 = 1 then null else timestamp_ntz '2024-01-20' end as z")
+    return j.interval_join(t.events, ranges, "ts", "a", "z", unit="day").groupBy("event_type", "id").agg(F.count("*").alias("n"))

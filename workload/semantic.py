@@ -280,3 +280,12 @@ def correlation_query(t):
     select c_custkey, c_acctbal from customer order by c_acctbal desc, c_custkey limit 15 offset 30""")
 def order_by_limit_offset(t):
     return page(t.customer.select("c_custkey", "c_acctbal"), ["-c_acctbal", "c_custkey"], 15, 30)
+
+
+@query("semantic_measure_over_to_many", [63, 84], """
+    select l_returnflag as return_flag, priority, round(sum(o_totalprice), 2) as order_value, count(*) as placed_orders
+    from (select distinct o_orderkey, o_totalprice, o_orderpriority as priority, l_returnflag from orders join lineitem on o_orderkey = l_orderkey) group by 1, 2""")
+def semantic_measure_over_to_many(t):
+    # an order counts once for each flag among its lines, whatever their number
+    q = SemanticQuery(["order_value", "placed_orders"], ["return_flag", "priority"])
+    return semantic_query(layer(t), q).withColumn("order_value", F.round("order_value", 2))

@@ -366,3 +366,14 @@ def ingestion_audit(t):
 def tenant_summary(t):
     audit = c.audited_write(t.events, work_path(t.spark, "ingest"), "load_events", "2024-01-31 00:00:00")
     return c.tenant_summary(t.events, audit)
+
+
+@query("merge_partitions_null", [15, 22], """
+    select o_orderkey, case when o_orderkey % 7 = 0 then 0.0 else o_totalprice end as o_totalprice, nullif(o_orderstatus, 'P') as status from orders""")
+def merge_partitions_null(t):
+    """The NULL partition keeps the rows that the updates don't name."""
+    base = t.orders.selectExpr("o_orderkey", "o_totalprice", "nullif(o_orderstatus, 'P') as status")
+    path = work_path(t.spark, "merge_null")
+    base.write.partitionBy("status").parquet(path)
+    updates = base.filter("o_orderkey % 7 = 0").withColumn("o_totalprice", F.lit(0.0))
+    return load.merge_partitions(t.spark, path, updates, ["o_orderkey"], "status").select("o_orderkey", "o_totalprice", "status")
