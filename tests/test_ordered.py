@@ -88,3 +88,11 @@ def test_strings_and_chunks_stay_in_order(spark):
 def test_first_per_group_limits_before_the_shuffle(events):
     plan = o.first_per_group(events, ["u"], ["-ts", "event_id"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2  # one on each side of the exchange
+
+
+def test_ranks_of_a_hot_tie(spark):
+    """Two order values in one group: no task ranks more than the counted values."""
+    df = spark.range(2000).selectExpr("id", "1 as g", "case when id % 4 = 0 then 1 when id % 4 = 1 then null else 2 end as v")
+    w = Window.partitionBy("g").orderBy(F.col("v").desc())
+    want = df.withColumns({"rank": F.rank().over(w).cast("bigint"), "dense_rank": F.dense_rank().over(w).cast("bigint")})
+    assert rows(o.rank_rows(df, ["g"], ["-v"], hot_rows=100)) == rows(want)

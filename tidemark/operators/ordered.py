@@ -108,22 +108,21 @@ def _number_chunks(chunked: DataFrame, partition: Sequence[str], order: Order, n
 
 def rank_rows(df: DataFrame, partition: Sequence[str], order: Order, rank: str = "rank",
               dense: str = "dense_rank", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Exact rank and dense_rank; rows equal on the order always share a chunk."""
-    chunked = _chunked_if_hot(df, partition, order, hot_rows)
-    if chunked is None:
+    """Exact rank and dense_rank.
+
+    With a hot group, ranks come from the counts of equal order values, so not
+    even rows that are all equal meet in one task; rows get their rank back by
+    a join on those values, whose hot keys adaptive execution splits.
+    """
+    if group_sizes(df, partition)[0] <= hot_rows:
         whole = Window.partitionBy(*partition).orderBy(*sort_columns(order))
         return df.withColumns({rank: F.rank().over(whole).cast("bigint"),
                                dense: F.dense_rank().over(whole).cast("bigint")})
-    here = Window.partitionBy(*partition, "_chunk").orderBy(*sort_columns(order))
-    local = chunked.withColumn("_r", F.rank().over(here)).withColumn("_d", F.dense_rank().over(here))
-    key = F.struct(*[F.col(o.lstrip("-")) for o in order])
-    carried = _carry(chunked, partition,
-                     {"_n": F.count(F.lit(1)), "_k": F.count_distinct(key)},
-                     {"_no": lambda w: F.sum("_n").over(w), "_ko": lambda w: F.sum("_k").over(w)})
-    return (_with_carry(local, carried, partition)
-            .withColumn(rank, (F.col("_r") + F.coalesce("_no", F.lit(0))).cast("bigint"))
-            .withColumn(dense, (F.col("_d") + F.coalesce("_ko", F.lit(0))).cast("bigint"))
-            .drop("_r", "_d", "_no", "_ko", "_chunk"))
+    keys = list(dict.fromkeys([*partition, *[o.lstrip("-") for o in order]]))
+    counted = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "counted")
+    placed = number_rows(running(counted, partition, order, {"_cum": ("sum", "_n")}, hot_rows), partition, order, "_d", hot_rows)
+    return (df.alias("l").join(materialize(placed, "ranks").alias("r"), same("l", "r", keys))
+            .select("l.*", (F.col("_cum") - F.col("_n") + 1).cast("bigint").alias(rank), F.col("_d").alias(dense)))
 
 
 # how a local running value and the value carried in from earlier chunks combine
