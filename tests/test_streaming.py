@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import work_path
 from tidemark.streaming import jobs
-from tidemark.streaming.logs import SumLog, UpsertLog
+from tidemark.streaming.logs import HistoryLog, SumLog, UpsertLog
 
 
 def deliver(df, path):
@@ -92,3 +92,17 @@ def test_streams_with_their_own_checkpoints_do_not_meet(spark):
         deliver(spark.createDataFrame([(1,)], "k int"), path)
         jobs.run_to_end(jobs.incremental_rollup(jobs.file_stream(spark, path, spark.createDataFrame([(1,)], "k int").schema), sums, work_path(spark, "c")))
     assert rows(sums.read()) == [(1, 2)]
+
+
+def test_history_does_not_depend_on_the_order_of_deliveries(spark):
+    changes = [(1, "a", "2024-01-01"), (1, "a", "2024-01-03"), (1, "b", "2024-01-02"), (2, "x", "2024-01-05"), (2, "x", "2024-01-06")]
+    frames = [spark.createDataFrame([c], "k int, v string, at string").selectExpr("k", "v", "cast(at as timestamp_ntz) as at") for c in changes]
+    found = []
+    for order in ([0, 1, 2, 3, 4], [4, 1, 0, 3, 2], [2, 3, 1, 4, 0]):
+        log = HistoryLog(spark, work_path(spark, "history"), ["k"], ["v"], "at")
+        for number, i in enumerate(order):
+            log.apply(frames[i], number)
+            if number == 2:
+                log.compact()
+        found.append(rows(log.read().selectExpr("k", "v", "day(valid_from)", "day(valid_to)")))
+    assert found[0] == [(1, "a", 1, 2), (1, "a", 3, None), (1, "b", 2, 3), (2, "x", 5, None)] and found[0] == found[1] == found[2]

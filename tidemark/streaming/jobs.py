@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.load import scd2_apply_changes
-from ..sources.writers import VersionedTable
-from .logs import SumLog, UpsertLog, each_batch
+from .logs import HistoryLog, SumLog, UpsertLog, each_batch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -91,19 +89,11 @@ def stream_trend_table(stream: DataFrame, target: UpsertLog, checkpoint: str | N
     return _start(stream.writeStream.outputMode("update").foreachBatch(each_batch(target.apply, checkpoint)), checkpoint, every)
 
 
-def stream_scd2(stream: DataFrame, table: VersionedTable, keys: Sequence[str], tracked: Sequence[str], changed_at: str,
-                checkpoint: str | None = None, every: str | None = None) -> StreamingQuery:
-    """Keep the history of a change feed; each row carries the time of its change.
-
-    The whole table is rewritten per batch, which suits dimension-sized tables.
-    """
-
-    def apply(batch: DataFrame, batch_id: int, stream_id: str) -> None:
-        known = table.read() if table.exists() else None
-        table.publish(scd2_apply_changes(known, batch, keys, tracked, changed_at))
-
-    checkpoint = _checkpoint(checkpoint, table.path)
-    return _start(stream.writeStream.foreachBatch(each_batch(apply, checkpoint)), checkpoint, every)
+def stream_scd2(stream: DataFrame, target: HistoryLog, checkpoint: str | None = None,
+                every: str | None = None) -> StreamingQuery:
+    """Log a change feed whose history `target.read()` gives; a batch costs its own size, late changes find their place."""
+    checkpoint = _checkpoint(checkpoint, target.path)
+    return _start(stream.writeStream.foreachBatch(each_batch(target.apply, checkpoint)), checkpoint, every)
 
 
 def run_to_end(query: StreamingQuery) -> None:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import first_per_group
+from ..sources.load import scd2_apply_changes
 from ..sources.writers import VersionedTable
 
 
@@ -98,6 +99,31 @@ class SumLog(BatchLog):
         return self.rows().groupBy(*self.keys).agg(*[F.sum(n).alias(n) for n in self.totals])
 
 
+class HistoryLog(BatchLog):
+    """Version history of a change feed whose rows carry the time of their change.
+
+    The log keeps the changes, also those that alter nothing now, since a late
+    one may come before them. The history is made on read, so it does not
+    depend on how changes fall into batches.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], tracked: Sequence[str], changed_at: str):
+        super().__init__(spark, path)
+        self.keys, self.tracked, self.changed_at = list(keys), list(tracked), changed_at
+
+    def apply(self, batch: DataFrame, batch_id: int, stream: str = "0") -> None:
+        self.put(batch.select(*self.keys, *self.tracked, self.changed_at).distinct(), batch_id, stream)
+
+    def read(self) -> DataFrame:
+        return scd2_apply_changes(None, self.rows().drop("batch"), self.keys, self.tracked, self.changed_at)
+
+    def compact(self) -> DataFrame:
+        rows = self.rows()
+        last = rows.agg(F.max("batch")).first()[0]
+        self.base.publish(rows.drop("batch").distinct().withColumn("batch", F.lit(-1 if last is None else last).cast("int")))
+        return self.read()
+
+
 def each_batch(apply: Callable[[DataFrame, int, str], None], checkpoint: str = ""):
     """Adapter for `foreachBatch` that skips empty batches; a stream goes by its checkpoint."""
     stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]

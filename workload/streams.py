@@ -4,9 +4,8 @@ from pyspark.sql import functions as F
 
 from tidemark.session import work_path
 from tidemark.sources import load
-from tidemark.sources.writers import VersionedTable
 from tidemark.streaming import jobs
-from tidemark.streaming.logs import SumLog, UpsertLog
+from tidemark.streaming.logs import HistoryLog, SumLog, UpsertLog
 
 from .registry import query
 
@@ -120,7 +119,9 @@ def scd2_apply_changes(t):
 
 @query("stream_scd2", [255, 16], _HISTORY)
 def stream_scd2(t):
-    path, schema = _deliveries(t, _segment_changes(t))
-    table = VersionedTable(t.spark, work_path(t.spark, "scd2"))
-    jobs.run_to_end(jobs.stream_scd2(jobs.file_stream(t.spark, path, schema, max_files=2), table, ["c_custkey"], ["segment"], "changed_at"))
-    return table.read()
+    # the middle change comes last
+    first, second, third = _segment_changes(t)
+    path, schema = _deliveries(t, [first, third, second])
+    table = HistoryLog(t.spark, work_path(t.spark, "scd2"), ["c_custkey"], ["segment"], "changed_at")
+    jobs.run_to_end(jobs.stream_scd2(jobs.file_stream(t.spark, path, schema, max_files=1), table))
+    return table.compact()
