@@ -12,7 +12,7 @@ import statistics
 import sys
 import time
 
-from tidemark.session import build_session
+from tidemark.session import build_session, release_work
 from workload import registry
 
 HEADLINE = """
@@ -44,6 +44,7 @@ def main() -> None:
             start = time.perf_counter()
             registry.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             taken.append(time.perf_counter() - start)
+            release_work(spark)
         timings[name] = round(statistics.median(taken[1:]), 4)
     spark.stop()
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(timings.values()), 3), "unit": "sec",

@@ -13,7 +13,7 @@ import traceback
 
 import duckdb
 
-from tidemark.session import build_session
+from tidemark.session import build_session, release_work
 from workload import registry
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
@@ -78,6 +78,7 @@ def main() -> int:
         except Exception as err:  # report and go on with the next query
             text = str(err) or traceback.format_exc()
             why = f"ERROR {type(err).__name__}: {text[:700]}"
+        release_work(spark)
         bad = why and not why.startswith("no oracle")
         failed += bool(bad)
         if why:

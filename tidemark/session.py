@@ -65,16 +65,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[context.applicationId]
 
 
-def work_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex[:12]}")
+_written: dict[str, list[str]] = {}
 
 
-_written: dict[str, list[str]] = {}
+def work_path(spark: SparkSession, label: str) -> str:
+    """A fresh path below the shared folder; `release_work` frees it."""
+    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex[:12]}")
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def release_work(spark: SparkSession) -> int:
-    """Delete the step tables this application wrote; call it when their results are no longer needed."""
+    """Delete what this application put under work paths; call it when the results are no longer needed."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -90,5 +92,4 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)
-    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
