@@ -179,3 +179,11 @@ def test_column_names_stay_apart(spark):
     df = frame(spark, [(1, 2, 3, 4)], "`a b` int, `a-b` int, `a b 2` int, `a_b_2` int")
     names = snake_case_columns(df).columns
     assert len(set(names)) == 4 and names[:2] == ["a_b", "a_b_2"]
+
+
+def test_hash_key64_is_the_xxh64_of_the_joined_text(spark):
+    import xxhash
+
+    got = frame(spark, [("k", "2"), (None, "é")], "x string, y string").select(c.hash_key64("x", "y")).collect()
+    want = [xxhash.xxh64_intdigest(t, 42) for t in ("k|2", "|é")]
+    assert [r[0] % (1 << 64) for r in got] == want
