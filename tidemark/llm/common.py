@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -41,12 +42,30 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     return numbered.select(*(F.col(f"_c{i}").alias(new) for new, i in at.items()))
 
 
-def per_process(key: tuple, make: Callable):
-    """A value made once and kept for the life of a worker process, such as a loaded tokenizer."""
+def per_process(kind: str, key, make: Callable):
+    """A value made once per process and kept until another one of its kind is asked for, such as a loaded tokenizer."""
     kept = sys.__dict__.setdefault("_tidemark_kept", {})
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if kind not in kept or kept[kind][0] != key:
+        kept.pop(kind, None)
+        kept[kind] = (key, make())
+    return kept[kind][1]
+
+
+class SharedTable:
+    """A small frame sent to all executors as Arrow bytes; each process makes of it what it needs."""
+
+    def __init__(self, df: DataFrame, order: list[tuple[str, str]] | None = None):
+        table = df.toArrow()
+        self.rows = table.num_rows
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as stream:
+            stream.write_table(table.sort_by(order) if order else table)
+        self.key = uuid.uuid4().hex
+        self.sent = df.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+    def made(self, kind: str, make: Callable[[pa.Table], object]):
+        """`make` of the table, remembered per process."""
+        return per_process("shared table", (self.key, kind), lambda: make(pa.ipc.open_stream(self.sent.value).read_all()))
 
 
 def crc_remainder(column, modulus: int):
@@ -55,11 +74,11 @@ def crc_remainder(column, modulus: int):
 
 
 def vocabulary(texts: DataFrame, split: Callable[[str], list], kind: str = "string",
-               held_words: int = 200_000) -> DataFrame:
+               held: int = 300_000) -> DataFrame:
     """Distinct words and their counts over the column `text` of all rows.
 
-    A task counts words in a table of `held_words` words at most before it
-    hands them on, so hot words reach the shuffle already added up.
+    A task counts in a table of about `held` words before it hands them on, so
+    hot words reach the shuffle already added up.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +93,7 @@ def vocabulary(texts: DataFrame, split: Callable[[str], list], kind: str = "stri
             for text in batch.column(0).to_pylist():
                 if text is not None:
                     seen.update(split(text))
-                    if len(seen) >= held_words:
+                    if len(seen) >= held:
                         yield out(seen)
                         seen = Counter()
         if seen:
@@ -85,8 +104,18 @@ def vocabulary(texts: DataFrame, split: Callable[[str], list], kind: str = "stri
 
 
 def most_frequent(words: DataFrame, size: int) -> DataFrame:
-    """The `size` most frequent words; ties go to the smaller word."""
-    return words.orderBy(F.desc("n"), "word").limit(size)
+    """The most frequent words (columns word, n, ...), as many as fit into `size` without parting words of near counts.
+
+    Counts of counts, by steps of a sixteenth of a power of two, say which
+    count is the least; no more than `size` rows come out, whatever the input.
+    """
+    step = F.floor(F.log2("n") * 16).cast("int")
+    held, least = 0, None
+    for row in words.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        if held + row["count"] > size:
+            break
+        held, least = held + row["count"], row.step
+    return words.where(step >= least) if least is not None else words.limit(0)
 
 
 def join_groups(rows: DataFrame, entries: DataFrame, keys: list[str], sizes: DataFrame, total: int) -> DataFrame:
@@ -102,5 +131,5 @@ def join_groups(rows: DataFrame, entries: DataFrame, keys: list[str], sizes: Dat
     return rows.join(hot_entries, keys).unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(cold, keys))
 
 
-__all__ = ["BATCH_BYTES", "HOT_GROUPS", "WHITE_SPACE", "crc_remainder", "join_groups", "materialize", "most_frequent", "per_process",
+__all__ = ["BATCH_BYTES", "HOT_GROUPS", "SharedTable", "WHITE_SPACE", "crc_remainder", "join_groups", "materialize", "most_frequent", "per_process",
            "pick", "prepare", "vocabulary"]

@@ -114,7 +114,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, spans): spans as an array of (kind, start, end) by start, then kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = per_process(("secrets",), Scanner)
+        scanner = per_process("secrets", 0, Scanner)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             found = [[{"kind": k, "start": a, "end": b} for k, a, b in scanner.spans(text)]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, most_frequent, per_process, pick, vocabulary
+from tidemark.llm.common import SharedTable, materialize, most_frequent, per_process, pick, vocabulary
 
 HEAD_WORDS = 1 << 18
 
@@ -41,7 +41,7 @@ def load_pieces(model_file: str):
     """The processor of a model file, kept once per process."""
     import sentencepiece
 
-    return per_process(("pieces", model_file), lambda: sentencepiece.SentencePieceProcessor(model_file=model_file))
+    return per_process("pieces", model_file, lambda: sentencepiece.SentencePieceProcessor(model_file=model_file))
 
 
 def cuts_of(model_file: str) -> str:
@@ -95,7 +95,7 @@ def _frequencies(head, split: Callable[[str], list[str]]):
                         ("rest", pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = head.value
+        pieces = head.made("pieces", lambda t: dict(zip(t["word"].to_pylist(), t["pieces"].to_pylist())))
         for batch in batches:
             n_bytes, known, rest = [], [], []
             for text in batch.column(2).to_pylist():
@@ -125,12 +125,10 @@ def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
     changes a result.
     """
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    spark = rows.sparkSession
     cuts = cuts_of(model_file)
     split = functools.partial(split_pretokens, cuts=cuts)
     words = materialize(pretoken_pieces(vocabulary(rows, split), model_file), "pretokens")
-    frequent = most_frequent(words, head_words).select("word", "pieces").collect()
-    head = spark.sparkContext.broadcast({r.word: r.pieces for r in frequent})
+    head = SharedTable(most_frequent(words, head_words).select("word", "pieces"))
 
     per_doc = (rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
                .mapInArrow(_frequencies(head, split),
