@@ -27,6 +27,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -39,18 +40,18 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, most_frequent, pick, vocabulary
+from tidemark.llm.common import SharedTable, materialize, most_frequent, pick, vocabulary
 
-END = b""
+END = b"\xff"  # a byte that no text in UTF-8 has
 HEAD_WORDS = 1 << 18
 MASS = 2000.0
-HASHES = 4
+HASHES = 3
 BITS_PER_ENTRY = 7.0
 MAX_FILTER_BYTES = 96 << 20
 SEGMENT_GRAMS = 1 << 20
 FLUSH_GRAMS = 1 << 21
 LEVELS = 255
-_REST = np.uint64((1 << 40) - 1)
+_BLOCK = 1 << 15
 _LOW = np.uint64(0xFFFFFFFF)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,30 +71,58 @@ def _start_hash() -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(b"\n"))
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered up to a bound."""
+class _Index(dict):
+    """Numbers words in the order they are first asked for."""
 
-    def __init__(self, bound: int = 300_000):
-        self.known: dict[bytes, int] = {}
-        self.bound = bound
+    def __missing__(self, word):
+        self[word] = number = len(self)
+        return number
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > self.bound:
-            self.known.clear()
-        for word in set(words).difference(self.known):
-            self.known[word] = xxhash.xxh64_intdigest(word)
-        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
+class WordTable:
+    """Numbers of words, with their hashes and whatever `describe` says of them; forgotten beyond a bound."""
 
-def pair_grams(texts: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of tokens, of the tokens before them, of the pairs) of texts laid end to end."""
-    own = hashes.of([w for words in texts for w in words])
-    before = np.empty_like(own)
-    if len(own):
-        before[1:] = own[:-1]
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        before[np.cumsum(sizes) - sizes] = _start_hash()
-    return own, before, _mix(before * _GOLDEN + own)
+    def __init__(self, describe=None, bound: int = 300_000):
+        self.describe, self.bound = describe, bound
+        self._reset()
+
+    def _reset(self):
+        self.index = _Index()
+        self.hashes, self.facts = np.empty(0, np.uint64), None
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        if len(self.index) > self.bound:
+            self._reset()
+        known = len(self.index)
+        found = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        new = list(itertools.islice(self.index, known, None))
+        if new:
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
+            self.hashes = np.concatenate([self.hashes, hashes])
+            if self.describe:
+                facts = self.describe(new, hashes)
+                self.facts = facts if self.facts is None else np.concatenate([self.facts, facts], axis=1)
+        return found
+
+    def laid_out(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Tokens of texts laid end to end, their numbers, and where each text begins."""
+        line = b"".join(b"%b %b " % ((text or "").encode(), END) for text in texts).lower().split()
+        numbers = self.numbers(line)
+        ends = np.flatnonzero(numbers == self.index[END]) if line else np.empty(0, np.int64)
+        return line, numbers, np.concatenate([[0], ends[:-1] + 1]).astype(np.int64) if len(ends) else ends
+
+
+def shifted(values: np.ndarray, starts: np.ndarray, first) -> np.ndarray:
+    """The value of the token before; `first` at the beginning of a text."""
+    before = np.empty_like(values)
+    if len(values):
+        before[1:] = values[:-1]
+        before[starts] = first
+    return before
+
+
+def pair_grams(own: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return _mix(shifted(own, starts, _start_hash()) * _GOLDEN + own)
 
 
 def word_grams(own: np.ndarray) -> np.ndarray:
@@ -126,6 +155,11 @@ def _segment(grams: np.ndarray, bits: int) -> np.ndarray:
     return (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
 
 
+def _rest(grams: np.ndarray, bits: int) -> np.ndarray:
+    """The 40 bits that follow those of the segment: what a segment knows an n-gram by."""
+    return (grams << np.uint64(bits)) >> np.uint64(24)
+
+
 @dataclass
 class LogBloom:
     """Segments `first` and on of a log-frequency Bloom filter of 2^bits segments."""
@@ -144,9 +178,14 @@ class LogBloom:
 
     def counts(self, grams: np.ndarray) -> np.ndarray:
         """Counts of n-grams whose segments are here, read back by probing level after level."""
-        at = _segment(grams, self.bits) - self.first
-        sizes, offsets, rest = self.sizes[at], self.offsets[at], grams & _REST
         reached = np.zeros(len(grams), np.int64)
+        for at in range(0, len(grams), _BLOCK):  # blocks that stay in the processor's cache
+            self._probe(grams[at:at + _BLOCK], reached[at:at + _BLOCK])
+        return level_counts(self.base)[reached]
+
+    def _probe(self, grams: np.ndarray, reached: np.ndarray) -> None:
+        at = _segment(grams, self.bits) - self.first
+        sizes, offsets, rest = self.sizes[at], self.offsets[at], _rest(grams, self.bits)
         alive, level = np.flatnonzero(sizes > 0), 0
         while len(alive) and level < LEVELS:
             level += 1
@@ -157,21 +196,18 @@ class LogBloom:
                 hit = ((octet >> (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
                 alive, first, step = alive[hit], first[hit], step[hit]
             reached[alive] = level
-        return level_counts(self.base)[reached]
 
 
 _PACKED = "segment int, grams binary, counts binary"
 
 
 def _pack_counts(grams: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
-    """One row per segment: n-grams (ascending, as differences) and counts by byte planes."""
-    order = np.lexsort((grams & _REST, _segment(grams, bits)))
-    grams, counts = grams[order], counts[order]
+    """One row per segment of ascending n-grams: their differences and their counts, by byte planes."""
     cuts = np.flatnonzero(np.diff(_segment(grams, bits))) + 1
     press = zstandard.ZstdCompressor(level=3).compress
     rows = [[], [], []]
     for some, seen in zip(np.split(grams, cuts), np.split(counts, cuts)):
-        steps = np.diff(some & _REST, prepend=np.uint64(0))
+        steps = np.diff(_rest(some, bits), prepend=np.uint64(0))
         rows[0].append(int(_segment(some[:1], bits)[0]))
         rows[1].append(press(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()))
         rows[2].append(press(seen.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()))
@@ -188,13 +224,14 @@ def _pair_counts(bits: int):
     """Training texts to packed pair counts; a task holds FLUSH_GRAMS pairs at most before it adds them up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, n = WordHashes(), [], 0
+        table, held, n = WordTable(), [], 0
 
         def out():
             return _pack_counts(*np.unique(np.concatenate(held), return_counts=True), bits)
 
         for batch in batches:
-            held.append(pair_grams([tokens(t) for t in batch.column(0).to_pylist()], hashes)[2])
+            _, numbers, starts = table.laid_out(batch.column(0).to_pylist())
+            held.append(pair_grams(table.hashes[numbers], starts))
             n += len(held[-1])
             if n >= FLUSH_GRAMS:
                 yield out()
@@ -207,11 +244,11 @@ def _pair_counts(bits: int):
 
 def _word_counts(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             if batch.num_rows:
-                grams = word_grams(hashes.of(batch.column(0).to_pylist()))
-                yield _pack_counts(grams, np.minimum(batch.column(1).to_numpy(), 0xFFFFFFFF), bits)
+                grams = word_grams(np.fromiter(map(xxhash.xxh64_intdigest, batch.column(0).to_pylist()), np.uint64, batch.num_rows))
+                order = np.argsort(grams)
+                yield _pack_counts(grams[order], np.minimum(batch.column(1).to_numpy(), 0xFFFFFFFF)[order], bits)
 
     return run
 
@@ -246,12 +283,14 @@ def build_segments(packed: DataFrame, base: float, bits_per_entry: float) -> Dat
 def load_filter(segments: DataFrame, first: int, last: int, bits: int, base: float) -> LogBloom:
     """Segments first .. last on the driver, to be broadcast; their bytes have been bounded by the caller."""
     sizes, offsets = np.zeros(last - first + 1, np.uint64), np.zeros(last - first + 1, np.int64)
-    data, at = [], 0
-    for row in segments.where(F.col("segment").between(first, last)).toLocalIterator():
+    some = segments.where(F.col("segment").between(first, last))
+    data = np.zeros(max(1, some.agg(F.sum(F.length("data"))).first()[0] or 0), np.uint8)
+    at = 0
+    for row in some.toLocalIterator():
         sizes[row.segment - first], offsets[row.segment - first] = row.bits, at
-        data.append(np.frombuffer(row.data, np.uint8))
+        data[at:at + len(row.data)] = np.frombuffer(row.data, np.uint8)
         at += len(row.data)
-    return LogBloom(bits, first, sizes, offsets, np.concatenate(data) if data else np.zeros(1, np.uint8), base)
+    return LogBloom(bits, first, sizes, offsets, data, base)
 
 
 def _runs_of_segments(segments: DataFrame, count: int, max_bytes: int) -> list[tuple[int, int]]:
@@ -267,22 +306,6 @@ def _runs_of_segments(segments: DataFrame, count: int, max_bytes: int) -> list[t
     return [*runs, (first, count - 1)]
 
 
-def _pair_scores(pairs: LogBloom, words: LogBloom, own, before, grams, total: int, distinct: int, texts: int, mass: float):
-    """log10 P of the tokens whose pair is in this part of the filter, 0 for the others."""
-    here = np.flatnonzero(pairs.holds(grams))
-    scores = np.zeros(len(grams))
-    if not len(here):
-        return scores
-    seen, back = np.unique(np.concatenate([own[here], before[here]]), return_inverse=True)
-    single = words.counts(word_grams(seen))
-    single[seen == _start_hash()] = texts
-    count_own, count_before = single[back[:len(here)]], single[back[len(here):]]
-    share = (count_own + 0.1) / (total + 0.1 * (distinct + 1))
-    together = np.minimum(pairs.counts(grams[here]), count_before)
-    scores[here] = np.log10((together + mass * share) / (count_before + mass))
-    return scores
-
-
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", base: float = 2.0,
                 mass: float = MASS, bits_per_entry: float = BITS_PER_ENTRY, max_filter_bytes: int = MAX_FILTER_BYTES,
                 head_words: int = HEAD_WORDS, segment_grams: int = SEGMENT_GRAMS) -> DataFrame:
@@ -300,7 +323,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     total, distinct = seen.total or 0, seen.distinct
     ends = words.where(F.col("word") == F.lit(END)).first()
     texts = ends.n if ends else 0
-    head = spark.sparkContext.broadcast({bytes(r.word): r.n for r in most_frequent(words, head_words).collect()})
+    head = SharedTable(most_frequent(words, head_words))
 
     def segment_bits(grams: int) -> int:
         return min(24, max(0, math.ceil(math.log2(max(1, grams) / segment_grams))))
@@ -347,33 +370,42 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
 
 
 def _scored(pair_filter, word_filter, head, total: int, distinct: int, texts: int, mass: float):
+    """Rows to their model scores; with `head`, also to base scores of frequent words and the other words' frequencies."""
     kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
     names = ["row", "doc_id", "n_tokens", "known", "base", "score", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, scale = WordHashes(), total + 0.1 * (distinct + 1)
+        scale = total + 0.1 * (distinct + 1)
+        frequent = head.made("counts", lambda t: dict(zip(t["word"].to_pylist(), t["n"].to_pylist()))) if head is not None else {}
+        pairs, words = pair_filter.value, word_filter.value
+
+        def describe(new, hashes):
+            """Count in the filter, exact base score (0 for rare words), whether the word is frequent."""
+            exact = np.array([frequent.get(w, 0) for w in new], float)
+            return np.stack([words.counts(word_grams(hashes)), np.where(exact > 0, np.log10((exact + 0.1) / scale), 0.0), exact > 0])
+
+        table = WordTable(describe)
         for batch in batches:
-            split = [tokens(t) for t in batch.column(2).to_pylist()]
-            own, before, grams = pair_grams(split, hashes)
-            scores = _pair_scores(pair_filter.value, word_filter.value, own, before, grams, total, distinct, texts, mass)
-            sizes = np.fromiter(map(len, split), np.int64, len(split))
-            sums = np.add.reduceat(scores, np.cumsum(sizes) - sizes) if len(split) else np.empty(0)
-            known, parts, rest = [], [], []
-            for words in split if head is not None else ():
-                frequent, log, others = 0, [], []
-                for word, times in Counter(words).items():
-                    count = head.value.get(word)
-                    if count is None:
-                        others.append({"word": word, "times": times})
-                    else:
-                        frequent += times
-                        log.append(times * math.log10((count + 0.1) / scale))
-                known.append(frequent)
-                parts.append(math.fsum(log))
-                rest.append(others)
-            none = [None] * len(split)
+            if not batch.num_rows:
+                continue
+            line, numbers, starts = table.laid_out(batch.column(2).to_pylist())
+            own, (counts, base, known) = table.hashes[numbers], table.facts
+            grams, single = pair_grams(own, starts), counts[numbers]
+            scores = np.zeros(len(line))
+            here = np.flatnonzero(pairs.holds(grams))
+            before = shifted(single, starts, texts)[here]
+            together = np.minimum(pairs.counts(grams[here]), before)
+            scores[here] = np.log10((together + mass * (single[here] + 0.1) / scale) / (before + mass))
+
+            rare = np.flatnonzero(known[numbers] == 0) if head is not None else np.empty(0, np.int64)
+            seen = Counter(zip((np.searchsorted(starts, rare, side="right") - 1).tolist(), map(line.__getitem__, rare.tolist())))
+            texts_of = np.fromiter((at for at, _ in seen), np.int64, len(seen))  # ascending, as the tokens are
+            words_of = pa.StructArray.from_arrays([pa.array((word for _, word in seen), pa.binary(), size=len(seen)),
+                                                   pa.array(seen.values(), pa.int64())], ["word", "times"])
+            rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(texts_of, np.arange(len(starts) + 1)), pa.int32()), words_of)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes), pa.array(known or none, pa.int64()),
-                 pa.array(parts or none, pa.float64()), pa.array(sums), pa.array(rest or none, kind)], names)
+                [batch.column(0), batch.column(1), pa.array(np.diff(starts, append=len(line))),
+                 pa.array(np.add.reduceat(known[numbers], starts).astype(np.int64)), pa.array(np.add.reduceat(base[numbers], starts)),
+                 pa.array(np.add.reduceat(scores, starts)), rest.cast(kind)], names)
 
     return run
