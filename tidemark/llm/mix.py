@@ -62,11 +62,10 @@ def repetition_rates(docs: DataFrame, weights: Mapping[str, float], other: float
     sizes = (rows.select(_group(F.col("source"), weights).alias("mix_group"),
                          F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("size"))
              .groupBy("mix_group").agg(F.sum("size").alias("size")))
-    whole = sizes.agg(F.sum("size").alias("whole"))
-    rate = F.when(F.col("size") > 0, share * epochs * F.col("whole") / F.col("size")).otherwise(0.0)
+    whole = sizes.agg(F.sum("size")).scalar()
+    rate = F.when(F.col("size") > 0, share * epochs * whole / F.col("size")).otherwise(0.0)
     draws = F.greatest(F.lit(1), F.ceil(F.col("rate") / DRAW_MEAN)).cast("int")
-    # One row per weight and one more: that is what is broadcast, here and by the caller.
-    return (sizes.crossJoin(F.broadcast(whole)).select("mix_group", "size", rate.alias("rate"))
+    return (sizes.select("mix_group", "size", rate.alias("rate"))
             .withColumn("draws", draws).withColumn("table", poisson_table(F.col("rate") / F.col("draws"))))
 
 
@@ -101,6 +100,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float], other: float = 0.
         F.sequence(F.lit(1), F.col("draws")), F.lit(0),
         lambda total, draw: total + F.size(F.filter(
             F.col("table"), lambda p: p < unit_hash(F.lit(f"{seed}"), draw.cast("string"), F.col("mix_name")))))
+    # The broadcast table has one row per weight and one more.
     copies = (rows.join(F.broadcast(rates.select("mix_group", "draws", "table", F.col("rate").alias("mix_rate"))), "mix_group")
               .withColumn("mix_count", count).where("mix_count > 0")
               .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_count"))))
