@@ -14,21 +14,31 @@ from workload import registry
 registry.load_all()
 
 
-@pytest.fixture(scope="module")
-def con(sf):
+LARGER = "/root/testdata/sf0.01"
+
+
+def connect(sf):
     con = duckdb.connect()
     for t in check.TABLES:
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     return con
 
 
+@pytest.fixture(scope="module")
+def con(sf):
+    return connect(sf)
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, sf, con, name):
     df = registry.QUERIES[name](spark, sf)
     if name not in registry.ORACLES:
         assert df.columns and df.count() >= 0
         return
-    assert check.compare(df, con.sql(registry.ORACLES[name])) is None
+    found = check.compare(df, con.sql(registry.ORACLES[name]))
+    if found == "EMPTY":  # an empty result proves nothing: compare on more rows
+        found = check.compare(registry.QUERIES[name](spark, LARGER), connect(LARGER).sql(registry.ORACLES[name]))
+    assert found is None
 
 
 def test_contract():
