@@ -124,17 +124,24 @@ def allocate(counts: list[np.ndarray], distance: int) -> list[int]:
     threshold is its estimated candidates, from the counts of all value pairs
     within it, and the probes it takes.
     """
-    costs = []
-    for count in counts:
-        width = len(count).bit_length() - 1
-        at = np.arange(len(count))
-        cost, total, seen = {-1: 0.0}, 0.0, 0
-        for t in range(min(distance, width) + 1):
-            for mask in masks_within(width, t)[seen:]:
-                total += float(count @ count[at ^ mask])
-                seen += 1
-            cost[t] = total + float(count.sum()) * seen
-        costs.append(cost)
+    costs: list[dict[int, float]] = [{-1: 0.0} for _ in counts]
+    state = [(np.arange(len(c)), len(c).bit_length() - 1, [0.0, 0]) for c in counts]
+
+    def price(i: int, t: int) -> float:
+        at, width, (total, seen) = state[i]
+        masks = masks_within(width, t)
+        total += sum(float((counts[i] * counts[i][at ^ mask]).sum()) for mask in masks[seen:])
+        state[i][2][:] = total, len(masks)
+        costs[i][t] = total + float(counts[i].sum()) * len(masks)
+        return costs[i][t]
+
+    # Equal thresholds bound the least cost; no threshold that alone costs more is looked into.
+    equal = -(-(distance + 1) // len(counts)) - 1
+    bound = sum(max(price(i, t) for t in range(equal + 1)) for i in range(len(counts)))
+    for i in range(len(counts)):
+        t = equal + 1
+        while t <= distance and price(i, t) <= bound:
+            t += 1
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for cost in costs:  # state: sum of (threshold + 1) so far
         step: dict[int, tuple[float, list[int]]] = {}
@@ -182,8 +189,10 @@ def near_links(nodes: DataFrame, distance: int = 4, partitions: int = 4) -> Data
     ends = materialize(index.groupBy("part", "value").agg(
         F.min("print").alias("low"), F.max("print").alias("high"), F.count(F.lit(1)).alias("n")), "buckets")
     counts = [np.zeros(1 << len(bits)) for bits in groups]
-    for row in ends.select("part", "value", "n").collect():  # at most partitions * 65536 rows
-        counts[row.part][row.value] = row.n
+    seen = ends.select("part", "value", "n").toArrow()  # at most partitions * 65536 rows
+    parts, values, sizes = (seen[c].to_numpy() for c in ("part", "value", "n"))
+    for i, count in enumerate(counts):
+        count[values[parts == i]] = sizes[parts == i]
     thresholds = allocate(counts, distance)
     masks = [masks_within(len(bits), t) if t >= 0 else [] for bits, t in zip(groups, thresholds)]
 
