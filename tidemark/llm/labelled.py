@@ -56,7 +56,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, keep: Co
     """
     known = (pick(labels, doc_id=id_col, label=label_col).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & keep)
              .groupBy("doc_id").agg(F.max("label").cast("int").alias("label")))
-    chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
+    order = F.xxhash64("doc_id")
+    # Of many labels only those with a small hash are sorted: some more than are wanted.
+    share = 1.5 * max_rows / max(1, known.count())
+    few = known.where(order % (1 << 30) < int(min(share, 1.0) * 2 ** 31) - 2 ** 30) if share < 1 else known
+    chosen = F.broadcast(few.orderBy(order % (1 << 30), order, "doc_id").limit(max_rows))
     texts = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return materialize(texts.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")), "sample")
 
@@ -89,9 +93,8 @@ def select_features(counts: DataFrame, totals: tuple[int, int], size: int = SIZE
     seen = F.col("n0") + F.col("n1")
     rows = (counts.where(seen >= min_docs)
             .select("bucket", ratio.alias("ratio"), (F.abs(ratio) * F.sqrt(seen)).alias("worth"))
-            .orderBy(F.desc("worth"), "bucket").limit(size).collect())
-    rows.sort(key=lambda r: r.bucket)
-    return Selected(np.array([r.bucket for r in rows], np.int64), np.array([r.ratio for r in rows]))
+            .orderBy(F.desc("worth"), "bucket").limit(size).toArrow().sort_by("bucket"))
+    return Selected(rows["bucket"].to_numpy().astype(np.int64), rows["ratio"].to_numpy())
 
 
 def _dense(buckets: np.ndarray, values: np.ndarray, bucket_bits: int, kind) -> np.ndarray:
@@ -120,8 +123,8 @@ def training_rows(sample: DataFrame, featurize: Featurize, selected: Selected,
 
     kind = dict(sample.dtypes)["doc_id"]
     rows = (sample.select("doc_id", "label", "text").mapInArrow(run, f"doc_id {kind}, label int, features binary")
-            .orderBy("doc_id").select("label", "features").collect())
-    return np.array([r.label for r in rows], np.int64), [np.frombuffer(r.features, np.int32) for r in rows]
+            .toArrow().sort_by("doc_id"))
+    return rows["label"].to_numpy().astype(np.int64), [np.frombuffer(x.as_buffer(), np.int32) for x in rows["features"]]
 
 
 def _scorer(docs: DataFrame, featurize: Featurize, model: Linear, bucket_bits: int) -> Callable[[pa.Array], np.ndarray]:
