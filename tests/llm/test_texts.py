@@ -173,3 +173,32 @@ def test_edits_of_messy_rows(messy, empty, spark):
     one = winnow.edit_fingerprints(spark.createDataFrame([(1, "abcd")], "doc_id long, text string")).collect()
     assert one[0].edited_sha256 == hashlib.sha256(b"abab").hexdigest()
     assert sorted(r.fingerprint for r in winnow.document_fingerprints(messy).collect())[0] == ""
+
+
+def test_short_texts_keep_their_likeness():
+    """A text and its edit share a fingerprint wherever half of the text is as long as the guarantee; likeness is near that of all k-grams."""
+    pick = random.Random(7)
+
+    def grams(text, k):
+        return {text[i:i + k] for i in range(max(1, len(text) - k + 1))}
+
+    missed, far = [], []
+    for n in range(20, 151):
+        for _ in range(8):
+            text, after = ("".join(pick.choices("abcdefghijklmnop ", k=n)) for _ in range(2))
+            edited = text[:n - n // 2] + after[:n // 2]
+            got = winnow.likeness(winnow.winnow(text)[0], winnow.winnow(edited)[0])
+            a, b = grams(text, winnow.K), grams(edited, winnow.K)
+            want = len(a & b) / len(a | b)
+            missed += [n] if got == 0 < want else []
+            far.append(abs(got - want))
+    assert max(missed, default=0) < 2 * (winnow.W + winnow.K - 1) - 1 < 30
+    assert sum(far) / len(far) < 0.06
+
+
+def test_fingerprint_text():
+    at = np.array([0, 5, 9, 10, 99, 100, 9999, 10000, 123456, 99999999, 100000000, 4294967295], np.uint64)
+    hashes = np.array([0, 1, 0xFFFFFFFF, 0xABCDEF, 16, 255, 256, 7, 0xDEADBEEF, 3, 4, 5], np.uint64)
+    for n in range(len(at) + 1):
+        assert winnow._as_text(hashes[:n], at[:n]) == " ".join(f"{h:08x}@{p}" for h, p in zip(hashes[:n].tolist(), at[:n].tolist()))
+    assert winnow._as_text(hashes[-3:], at[-3:]) == "00000003@99999999 00000004@100000000 00000005@4294967295"

@@ -4,7 +4,8 @@ Method: a rolling hash of every k-gram of code points; in every window of `w`
 successive hashes the smallest one is chosen, the rightmost of equal ones; a
 fingerprint is the list of chosen hashes with their positions. Two texts that
 share a passage of w + k - 1 code points share a chosen hash, and no k-gram
-outside that guarantee weighs more than its window.
+outside that guarantee weighs more than its window. With the defaults that is 15 code
+points, so a text of 29 or more shares a hash with its edited text below.
 
 Defined results: a null or empty text has the empty fingerprint; a text
 shorter than k has one hash, of the whole text, at position 0; one with fewer
@@ -30,12 +31,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, pick
 
-K = 24
-W = 48
+K = 8
+W = 8
 CHUNK_CHARS = 4 << 20
 MAX_CHUNKS = 1 << 16
 _BASE = 0x9E3779B1
 _BLOCK = 1 << 20
+_HEX = np.array([f"{i:02x}".encode() for i in range(1 << 8)]).view("<u2")
+_DIGITS = np.array([f"{i:04d}".encode() for i in range(10_000)]).view("<u4")
 
 
 def _gram_hashes(points: np.ndarray, k: int) -> np.ndarray:
@@ -73,6 +76,11 @@ def _window_minima(keys: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(keys[:len(keys) - rest], keys[rest:]) if rest else keys
 
 
+def _without_runs(positions: np.ndarray) -> np.ndarray:
+    """Distinct positions; successive windows choose the same one or a later one."""
+    return positions[np.concatenate([[True], positions[1:] != positions[:-1]])]
+
+
 def winnow(text: str | None, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, positions) chosen for a text, by ascending position."""
     points = np.frombuffer((text or "").encode("utf-32-le"), "<u4")
@@ -90,12 +98,14 @@ def winnow(text: str | None, k: int = K, w: int = W) -> tuple[np.ndarray, np.nda
         at = np.arange(len(hashes), dtype=np.uint64)
         # Smallest hash first, then the largest position: the rightmost of equal ones.
         minima = _window_minima((hashes << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - at), w)
-        found = np.unique((np.uint64(0xFFFFFFFF) - (minima & np.uint64(0xFFFFFFFF))))
+        found = _without_runs(np.uint64(0xFFFFFFFF) - (minima & np.uint64(0xFFFFFFFF)))
         chosen.append(np.stack([hashes[found.astype(np.int64)], found + np.uint64(first)]))
         first += len(minima)
+    if len(chosen) == 1:
+        return chosen[0][0], chosen[0][1]
     both = np.concatenate(chosen, axis=1)
-    order = np.unique(both[1], return_index=True)[1]
-    return both[0][order], both[1][order]
+    new = np.concatenate([[True], both[1][1:] != both[1][:-1]])
+    return both[0][new], both[1][new]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -108,7 +118,22 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _as_text(hashes: np.ndarray, positions: np.ndarray) -> str:
-    return " ".join(f"{h:08x}@{p}" for h, p in zip(hashes.tolist(), positions.tolist()))
+    """`hash@position` in order, joined by a space; written by runs of positions with as many digits."""
+    out, at, digits = [], 0, 1
+    while at < len(positions):
+        end = int(np.searchsorted(positions, np.uint64(10 ** digits)))
+        if end > at:
+            line = np.empty((end - at, digits + 10), np.uint8)
+            line[:, :8] = _HEX[hashes[at:end].astype(">u4").view(np.uint8)].view(np.uint8).reshape(-1, 8)
+            line[:, 8], line[:, -1] = ord("@"), ord(" ")
+            rest, right = positions[at:end], digits
+            while right > 0:
+                width = min(4, right)
+                line[:, 9 + right - width:9 + right] = _DIGITS[rest % np.uint64(10_000)].view(np.uint8).reshape(-1, 4)[:, 4 - width:]
+                rest, right = rest // np.uint64(10_000), right - width
+            out.append(line.tobytes())
+        at, digits = end, digits + 1
+    return b"".join(out)[:-1].decode("ascii")
 
 
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K,
