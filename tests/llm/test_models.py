@@ -132,6 +132,17 @@ def test_language_model(messy, varied, empty, small):
     assert len(language_model.score_texts(varied, F.lit(False)).collect()) == varied.count()
 
 
+def test_scores_do_not_depend_on_the_filter_bound(spark):
+    """Parts of the filters of words and pairs give the scores of whole ones: no entry gets fewer bits."""
+    pick = random.Random(4)
+    words = [f"word{i}" for i in range(3000)]
+    docs = spark.createDataFrame([(i, " ".join(pick.choices(words, k=pick.randint(0, 80)))) for i in range(200)] + [(None, None)],
+                                 "doc_id long, text string")
+    whole, parts = (sorted(((r.doc_id, r.n_tokens, r.n_known, round(r.score, 6)) for r in language_model.score_texts(
+        docs, ~queries.held_out(10, 0), segment_grams=300, max_filter_bytes=bound).collect()), key=str) for bound in (1 << 20, 1500))
+    assert whole == parts
+
+
 def test_bad_words_cost_more(varied, spark):
     more = varied.select("doc_id", "text").unionByName(spark.createDataFrame([(1000, "Été alpha Beta 42"), (1001, "zzz qqq vvv kkk")], "doc_id long, text string"))
     got = {r.doc_id: r.score for r in language_model.score_texts(more, F.col("doc_id") < 1000).collect()}

@@ -11,9 +11,10 @@ probability is its count smoothed towards its word's share:
 
 A broadcast holds at most `max_filter_bytes` of pair segments; where there are
 more, texts are read once for each broadcast, and each pair is scored in the
-pass that has its segment. The filter of single words is one broadcast of at
-most the same size; beyond it the entries share fewer bits, which raises the
-rate of false hits and loses none.
+pass that has its segment. The filter of single words has as many bits an
+entry at any size. Where it exceeds one broadcast of the same bound, texts are
+first read once for each part of it, and the level of every token, a byte, is
+joined to its text.
 
 The base score takes exact counts: those of the most frequent words (a table
 of fixed size) by broadcast, all others by a join.
@@ -178,10 +179,13 @@ class LogBloom:
 
     def counts(self, grams: np.ndarray) -> np.ndarray:
         """Counts of n-grams whose segments are here, read back by probing level after level."""
+        return level_counts(self.base)[self.levels(grams)]
+
+    def levels(self, grams: np.ndarray) -> np.ndarray:
         reached = np.zeros(len(grams), np.int64)
         for at in range(0, len(grams), _BLOCK):  # blocks that stay in the processor's cache
             self._probe(grams[at:at + _BLOCK], reached[at:at + _BLOCK])
-        return level_counts(self.base)[reached]
+        return reached
 
     def _probe(self, grams: np.ndarray, reached: np.ndarray) -> None:
         at = _segment(grams, self.bits) - self.first
@@ -329,21 +333,24 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         return min(24, max(0, math.ceil(math.log2(max(1, grams) / segment_grams))))
 
     word_bits, pair_bits = segment_bits(distinct), segment_bits(total)
-    word_segments = materialize(build_segments(words.mapInArrow(_word_counts(word_bits), _PACKED), base, min(
-        bits_per_entry, max(1.0, max_filter_bytes * 8 / max(1, 2 * distinct)))), "word_filter")
-    word_filter = spark.sparkContext.broadcast(load_filter(word_segments, 0, (1 << word_bits) - 1, word_bits, base))
+    word_segments = materialize(build_segments(words.mapInArrow(_word_counts(word_bits), _PACKED), base, bits_per_entry), "word_filter")
+    word_runs = _runs_of_segments(word_segments, 1 << word_bits, max_filter_bytes)
     pair_segments = materialize(build_segments(training.mapInArrow(_pair_counts(pair_bits), _PACKED), base, bits_per_entry), "pair_filter")
     runs = _runs_of_segments(pair_segments, 1 << pair_bits, max_filter_bytes)
 
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    if len(runs) > 1:  # several passes must see the same row numbers
+    if len(runs) > 1 or len(word_runs) > 1:  # several passes must see the same row numbers
         numbered = materialize(numbered, "rows")
+    if len(word_runs) == 1:
+        word_filter = spark.sparkContext.broadcast(load_filter(word_segments, *word_runs[0], word_bits, base))
+    else:
+        word_filter, numbered = None, _with_word_levels(numbered, word_segments, word_runs, word_bits, base)
     rest = "array<struct<word:binary,times:long>>"
     parts = []
     for number, (first, last) in enumerate(runs):
         pair_filter = spark.sparkContext.broadcast(load_filter(pair_segments, first, last, pair_bits, base))
         parts.append(numbered.mapInArrow(
-            _scored(pair_filter, word_filter, head if number == 0 else None, total, distinct, texts, mass),
+            _scored(pair_filter, word_filter, head if number == 0 else None, total, distinct, texts, mass, base),
             f"row long, doc_id long, n_tokens long, known long, base double, score double, rest {rest}"))
     # One row per rare word; the document's own figures ride on the first one.
     # Documents without any get a key of their own, which no word equals.
@@ -369,20 +376,59 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         (F.col("doc.score") + F.col("other")).alias("score"))
 
 
-def _scored(pair_filter, word_filter, head, total: int, distinct: int, texts: int, mass: float):
-    """Rows to their model scores; with `head`, also to base scores of frequent words and the other words' frequencies."""
+def _word_levels(word_filter):
+    """Rows to the levels of their tokens, a byte each; 0 for words whose segment is in another part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = word_filter.value
+
+        def describe(new, hashes):
+            grams = word_grams(hashes)
+            levels, here = np.zeros((1, len(grams)), np.uint8), np.flatnonzero(words.holds(grams))
+            levels[0, here] = words.levels(grams[here])
+            return levels
+
+        table = WordTable(describe)
+        for batch in batches:
+            if batch.num_rows:
+                line, numbers, starts = table.laid_out(batch.column(1).to_pylist())
+                parts = np.split(table.facts[0][numbers], starts[1:])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([part.tobytes() for part in parts], pa.binary())], ["row", "levels"])
+
+    return run
+
+
+def _with_word_levels(numbered: DataFrame, segments: DataFrame, runs: list[tuple[int, int]], bits: int, base: float) -> DataFrame:
+    """Rows with `levels`, one array of bytes for each part of the filter of single words."""
+    spark, every = numbered.sparkSession, None
+    for first, last in runs:
+        word_filter = spark.sparkContext.broadcast(load_filter(segments, first, last, bits, base))
+        part = materialize(numbered.select("row", "text").mapInArrow(_word_levels(word_filter), "row long, levels binary"), "word_levels")
+        word_filter.unpersist()
+        every = part if every is None else every.unionByName(part)
+    levels = every.groupBy("row").agg(F.collect_list("levels").alias("levels"))
+    return materialize(numbered.join(levels, "row").select("row", "doc_id", "text", "levels"), "levelled")
+
+
+def _scored(pair_filter, word_filter, head, total: int, distinct: int, texts: int, mass: float, base_of_levels: float):
+    """Rows to their model scores; with `head`, also to base scores of frequent words and the other words' frequencies.
+
+    Without `word_filter`, rows carry the levels of their tokens.
+    """
     kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
     names = ["row", "doc_id", "n_tokens", "known", "base", "score", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scale = total + 0.1 * (distinct + 1)
         frequent = head.made("counts", lambda t: dict(zip(t["word"].to_pylist(), t["n"].to_pylist()))) if head is not None else {}
-        pairs, words = pair_filter.value, word_filter.value
+        pairs, words = pair_filter.value, word_filter.value if word_filter is not None else None
 
         def describe(new, hashes):
             """Count in the filter, exact base score (0 for rare words), whether the word is frequent."""
             exact = np.array([frequent.get(w, 0) for w in new], float)
-            return np.stack([words.counts(word_grams(hashes)), np.where(exact > 0, np.log10((exact + 0.1) / scale), 0.0), exact > 0])
+            counts = words.counts(word_grams(hashes)) if words is not None else np.zeros(len(new))
+            return np.stack([counts, np.where(exact > 0, np.log10((exact + 0.1) / scale), 0.0), exact > 0])
 
         table = WordTable(describe)
         for batch in batches:
@@ -391,6 +437,9 @@ def _scored(pair_filter, word_filter, head, total: int, distinct: int, texts: in
             line, numbers, starts = table.laid_out(batch.column(2).to_pylist())
             own, (counts, base, known) = table.hashes[numbers], table.facts
             grams, single = pair_grams(own, starts), counts[numbers]
+            if words is None:  # a word's level is in one part, the others have 0
+                single = level_counts(base_of_levels)[np.concatenate([
+                    np.bitwise_or.reduce([np.frombuffer(part, np.uint8) for part in parts]) for parts in batch.column(3).to_pylist()])]
             scores = np.zeros(len(line))
             here = np.flatnonzero(pairs.holds(grams))
             before = shifted(single, starts, texts)[here]
