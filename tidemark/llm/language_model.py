@@ -46,7 +46,7 @@ from tidemark.llm.common import SharedTable, materialize, most_frequent, pick, v
 END = b"\xff"  # a byte that no text in UTF-8 has
 HEAD_WORDS = 1 << 18
 MASS = 2000.0
-HASHES = 3
+HASHES = 4
 BITS_PER_ENTRY = 7.0
 MAX_FILTER_BYTES = 96 << 20
 SEGMENT_GRAMS = 1 << 20
