@@ -146,6 +146,15 @@ def test_near_drop_and_empty(varied, empty):
     assert simhash.drop_near_duplicates(empty).collect() == []
 
 
+def test_near_drop_keeps_one_row_of_null_and_repeated_ids(messy, spark):
+    pick = random.Random(6)
+    a, b, c = (" ".join(pick.choices([f"w{i}" for i in range(500)], k=60)) for _ in range(3))
+    docs = spark.createDataFrame([(None, a), (None, a), (7, a), (7, a), (7, b), (3, b), (None, c), (None, c)], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs).collect()), key=str) == sorted([(7, a), (3, b), (None, c)], key=str)
+    prints = [plain_fingerprint(r.text) for r in messy.select("text").collect()]
+    assert simhash.drop_near_duplicates(messy).count() == len(set(plain_components(dict.fromkeys(prints), 4).values()))
+
+
 def test_components_of_long_paths(spark):
     links = [(i, i + 1) for i in range(200)] + [(500, 400), (400, 300), (900, 900)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -16,8 +16,9 @@ near copies makes no square of candidates.
 
 Defined results: a null or empty text has fingerprint zero and links like any
 other; a component's id is its smallest document id, null if it has none;
-repeated rows stay repeated; an empty table gives an empty result; other
-columns are ignored or, where rows are dropped, carried along.
+repeated rows stay repeated, but where rows are dropped one row of a component
+stays; an empty table gives an empty result; other columns are ignored or,
+where rows are dropped, carried along.
 """
 
 from __future__ import annotations
@@ -58,16 +59,19 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, print): fingerprints as signed 64-bit numbers."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
+                 row_col: str | None = None) -> DataFrame:
+    """(doc_id, print): fingerprints as signed 64-bit numbers; with `row_col`, that column as `row` too."""
+    extra = ["row"] if row_col else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]],
+                                             ["doc_id", "print", *extra])
 
-    rows = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(run, "doc_id long, print long")
+    rows = pick(docs, doc_id=id_col, text=text_col, **({"row": row_col} if row_col else {})).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.mapInArrow(run, "doc_id long, print long" + (", row long" if row_col else ""))
 
 
 def bit_correlations(nodes: DataFrame) -> np.ndarray:
@@ -240,12 +244,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                          distance: int = 4, partitions: int = 4) -> DataFrame:
-    """The rows whose id is the smallest of their component, with all columns; rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col, shingle, distance, partitions)
-    stay = found.where("doc_id = component_id").select(F.col("component_id").alias("stay_id")).distinct()
+    """One row of each component, with all columns: the one with the smallest id, a null id after all others, then the first row."""
     lower = [c.lower() for c in docs.columns]
-    at = docs.columns.index(id_col) if id_col in docs.columns else lower.index(id_col.lower())
+    id_at, text_at = (docs.columns.index(c) if c in docs.columns else lower.index(c.lower()) for c in (id_col, text_col))
     names = [f"_c{i}" for i in range(len(lower))]
-    rows = docs.toDF(*names)
-    kept = rows.where(F.col(f"_c{at}").isNotNull()).join(stay, F.col(f"_c{at}") == F.col("stay_id"), "left_semi")
-    return kept.unionByName(rows.where(F.col(f"_c{at}").isNull())).toDF(*docs.columns)
+    # Two passes share the row numbers, so they are stored.
+    rows = materialize(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "rows")
+    prints = materialize(fingerprints(rows, names[id_at], names[text_at], shingle, "row"), "prints")
+    best = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    nodes = materialize(prints.groupBy("print").agg(F.min(best).alias("best")), "nodes")
+    roots = nodes.join(near_links(nodes, distance, partitions), F.col("print") == F.col("node"), "left").select(
+        "best", F.coalesce("root", "print").alias("root"))
+    stay = roots.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("stay"))
+    return rows.join(stay, F.col("row") == F.col("stay"), "left_semi").select(*names).toDF(*docs.columns)
