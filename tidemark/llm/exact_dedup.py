@@ -1,9 +1,10 @@
-"""Exact duplicates by a tree merge of sorted digest runs.
+"""Exact duplicates by a tree merge of digest runs.
 
 Method: every input partition makes a run of digests, each with the smallest
 identifier of its group and the group's size. Runs are exchanged in rounds:
-`fan_in` neighbouring runs merge into one, digests are sorted and equal ones
-fold into one entry with the smallest of their identifiers. Entries fold only
+`fan_in` neighbouring runs become one by a grouped aggregate, in which equal
+digests fold into one entry with the smallest of their identifiers. A run is
+not laid out in order, nor is there a binomial exchange. Entries fold only
 if length and a second, independent hash agree too, at every level. After the
 last round there is one run, spread over the cluster by digest, with one entry
 per distinct text. Groups too large for one task of a join reach their rows as
