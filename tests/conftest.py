@@ -19,9 +19,3 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-
-
-def rows(df, *columns):
-    """Sorted tuples of a frame."""
-    cols = columns or df.columns
-    return sorted((tuple(r) for r in df.select(*cols).collect()), key=lambda r: [(v is None, str(v)) for v in r])

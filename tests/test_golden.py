@@ -4,7 +4,7 @@ import datetime as dt
 import hashlib
 import math
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar as cal

@@ -1,7 +1,7 @@
 """Ordered operators give the rows of a plain window, also when a hot group is split."""
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 

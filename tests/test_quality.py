@@ -1,7 +1,7 @@
 """Quality tests on small inputs that must pass or fail."""
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from tidemark.quality import checks as q

@@ -3,7 +3,7 @@
 import time
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from tidemark.operators import charts, filters as f, joins as j, metrics as m, windows as w

@@ -64,3 +64,12 @@ def test_entry_without_the_training_package(tmp_path):
 def test_every_survey_row_has_a_query():
     covered = {n for ops in registry.OPERATORS.values() for n in ops}
     assert not set(range(1, 257)) - covered
+
+
+def test_the_whole_suite_collects_in_one_command():
+    """Modules of both test folders load in one run, with and without the training package's tests."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for extra in ([], ["--ignore=tests/llm"]):
+        run = subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "--collect-only", *extra], cwd=root,
+                             capture_output=True, text=True, timeout=300)
+        assert run.returncode == 0 and "error" not in run.stdout.splitlines()[-1], run.stdout[-2000:]

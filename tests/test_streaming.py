@@ -1,7 +1,7 @@
 """A stream gives what the batch job gives on the same rows, also after a restart."""
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
