@@ -14,9 +14,10 @@ def test_query(spark, sf, name):
         assert df.count() > 0
         return
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    for name_of_table in ("documents", "embeddings"):
+        con.execute(f"create view {name_of_table} as select * from '{sf}/{name_of_table}.parquet'")
     assert check.compare(df, con.sql(queries.ORACLES[name])) is None
 
 
 def test_one_query_for_each_operator():
-    assert {q.split("_")[0] for q in queries.QUERIES} == {"pipeline", *(f"op{n}" for n in range(1, 11))}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {"pipeline", *(f"op{n}" for n in range(1, 14))}

@@ -5,10 +5,12 @@ from __future__ import annotations
 import sys
 import uuid
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import materialize
@@ -16,6 +18,7 @@ from tidemark.session import prepare as prepare_session
 
 BATCH_BYTES = 4 << 20
 HOT_GROUPS = 1000
+CHUNK_ROWS = 1 << 17
 
 # The white space of the text contracts: space and U+0009 to U+000D.
 WHITE_SPACE = "[\\x20\\x09-\\x0D]+"
@@ -131,5 +134,48 @@ def join_groups(rows: DataFrame, entries: DataFrame, keys: list[str], sizes: Dat
     return rows.join(hot_entries, keys).unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(cold, keys))
 
 
-__all__ = ["BATCH_BYTES", "HOT_GROUPS", "SharedTable", "WHITE_SPACE", "crc_remainder", "join_groups", "materialize", "most_frequent", "per_process",
-           "pick", "prepare", "vocabulary"]
+def placed(df: DataFrame, group: Sequence[str], order: Sequence[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The rows, stored, with their place `pos` (from 0) in their group's ascending order and the group's size `n`.
+
+    `order` ends with a stored row number, so no two rows are equal and a group
+    of any size, also of equal rows, spreads over range partitions. Summaries
+    have one row per group and partition.
+    """
+    chunks = max(1, -(-df.count() // chunk_rows))
+    ranged = df.repartitionByRange(chunks, *group, *order).sortWithinPartitions(*group, *order)
+    stored = materialize(ranged.select("*", F.spark_partition_id().alias("_chunk"), F.monotonically_increasing_id().alias("_at")), "placed")
+    counts = stored.groupBy(*group, "_chunk").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_count"))
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("_chunk").alias("_in"), "_first",
+                           F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_before"), F.sum("_count").over(whole).alias("n"))
+    match = F.col("_chunk") == F.col("_in")
+    for i, g in enumerate(group):
+        match = match & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return stored.join(counts, match).select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias("pos"), "n")
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Runs of rows whose first `keys` columns are equal, each as one table; the caller has sorted by them and bounds a run."""
+    current, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for column in batch.columns[:keys]:
+            codes = pc.dictionary_encode(column, null_encoding="encode").indices.to_numpy()
+            new[1:] |= codes[1:] != codes[:-1]
+        starts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for first, end in zip(starts, starts[1:]):
+            key = tuple(column[first].as_py() for column in batch.columns[:keys])
+            if held and key != current:
+                yield current, pa.Table.from_batches(held)
+                held = []
+            current = key
+            held.append(batch.slice(first, end - first))
+    if held:
+        yield current, pa.Table.from_batches(held)
+
+
+__all__ = ["BATCH_BYTES", "HOT_GROUPS", "SharedTable", "WHITE_SPACE", "crc_remainder", "grouped", "join_groups", "materialize", "most_frequent", "per_process",
+           "pick", "placed", "prepare", "vocabulary"]

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import (
     bpe,
+    embedding_dedup,
     exact_dedup,
+    hard_negatives,
     language_model,
+    merkle,
     mix,
     quality,
     secrets,
@@ -148,6 +151,89 @@ def op10_winnowing(spark, sf_dir):
     return winnow.edit_fingerprints(documents(spark, sf_dir))
 
 
+@query("""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS double[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+counted AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT reach.a AS vec_id, coalesce(any_value(n_links), 0)::bigint AS n_links, min(reach.b) AS component_id, reach.a = min(reach.b) AS kept
+FROM reach LEFT JOIN counted ON counted.a = reach.a GROUP BY reach.a""")
+def op11_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+# the unsigned crc32 of a text of digits, bit by bit
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::bigint], flatten(list_transform(range(1, length({0}) + 1),
+  lambda i: list_transform(range(0, 8), lambda j: (ascii(substr({0}, i, 1)) >> j::int)::bigint & 1)))),
+  lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))))"""
+
+_FIELD = "coalesce(strlen({0}::varchar) || ':' || {0}::varchar, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return f"sha256({' || '.join(_FIELD.format(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+@query(f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, {_leaf_sql("text")} AS leaf,
+    CASE WHEN {_CRC.format("doc_id::varchar")} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS claim FROM documents),
+e AS (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+tree AS (
+  SELECT source, 0 AS lvl, pos, leaf AS digest, n FROM e
+  UNION ALL
+  SELECT source, lvl + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3 FROM tree WHERE n > 1 GROUP BY source, lvl, pos // 3, n),
+subroots AS (SELECT source, digest, lvl, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS spos, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, spos AS pos, digest, n FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY lvl, pos // 3, n),
+-- runs of both trees under one numbering of levels: those of the upper tree follow a source's own
+runs AS (
+  SELECT source, t.lvl, t.pos // 3 AS run, list(t.digest ORDER BY t.pos) AS digests FROM tree t WHERE t.n > 1 GROUP BY source, t.lvl, t.pos // 3
+  UNION ALL
+  SELECT s.source, s.lvl + top.lvl, top.pos // 3, list(top.digest ORDER BY top.pos) FROM top, subroots s WHERE top.n > 1 GROUP BY s.source, s.lvl, top.lvl, top.pos // 3),
+walk AS (
+  SELECT e.doc_id, e.source, 0 AS lvl, CASE WHEN s.lvl = 0 THEN s.spos ELSE e.pos END AS pos, s.lvl AS own, s.spos, e.claim AS digest, '' AS siblings FROM e JOIN subroots s ON e.source IS NOT DISTINCT FROM s.source
+  UNION ALL
+  SELECT doc_id, w.source, w.lvl + 1, CASE WHEN w.lvl + 1 = own THEN spos ELSE pos // 3 END, own, spos,
+    sha256(array_to_string(list_concat(digests[1:(pos % 3)::int], [w.digest], digests[(pos % 3 + 2)::int:]), '')),
+    siblings || array_to_string(list_concat(digests[1:(pos % 3)::int], digests[(pos % 3 + 2)::int:]), '')
+  FROM walk w JOIN runs r ON w.source IS NOT DISTINCT FROM r.source AND w.lvl = r.lvl AND w.pos // 3 = r.run),
+folded AS (SELECT doc_id, arg_max(digest, lvl) AS folded_root, arg_max(siblings, lvl) AS siblings FROM walk GROUP BY doc_id)
+SELECT e.doc_id, e.leaf, s.digest AS subroot, r.digest AS root, sha256(f.siblings) AS proof_sha256, f.folded_root, f.folded_root = r.digest AS verified
+FROM e JOIN subroots s ON e.source IS NOT DISTINCT FROM s.source JOIN folded f ON f.doc_id = e.doc_id, (SELECT digest FROM top WHERE n = 1) r""")
+def op12_merkle_manifest(spark, sf_dir):
+    tampered = crc_remainder(F.col("doc_id"), 2) == 0
+    claimed = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    proofs = merkle.manifest_proofs(documents(spark, sf_dir), claimed)
+    return proofs.select("doc_id", "leaf", "subroot", "root", F.sha2(F.col("siblings").cast("binary"), 256).alias("proof_sha256"),
+                         "folded_root", "verified")
+
+
+@query("""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::double)) AS e
+  FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.e, b.e)::bigint AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, p.other AS positive_id, (row_number() OVER w)::int AS rank, n.other AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.other ORDER BY n.score DESC, n.other)
+QUALIFY row_number() OVER w <= 10""")
+def op13_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
