@@ -96,3 +96,37 @@ def test_ranks_of_a_hot_tie(spark):
     w = Window.partitionBy("g").orderBy(F.col("v").desc())
     want = df.withColumns({"rank": F.rank().over(w).cast("bigint"), "dense_rank": F.dense_rank().over(w).cast("bigint")})
     assert rows(o.rank_rows(df, ["g"], ["-v"], hot_rows=100)) == rows(want)
+
+
+def chunk_sizes(df, monkeypatch, module, run):
+    """Rows of the chunks that `run` makes."""
+    seen, plain = [], module.in_chunks
+
+    def watched(*args, **kwargs):
+        chunked = plain(*args, **kwargs)
+        seen.extend(r[1] for r in chunked.groupBy("_chunk").count().collect())
+        return chunked
+
+    monkeypatch.setattr(module, "in_chunks", watched)
+    return run(df), seen
+
+
+def test_a_tied_run_spreads_over_chunks(spark, monkeypatch):
+    """100 000 equal order values: numbers, running totals and neighbours are those of one order of the rows."""
+    df = spark.range(100_000).selectExpr("id", "1 as g", "7 as v").repartition(4)
+    got, sizes = chunk_sizes(df, monkeypatch, o, lambda d: o.number_rows(d, ["g"], ["v"], hot_rows=5000))
+    assert len(sizes) > 15 and max(sizes) < 10_000
+    assert got.agg(F.count_distinct("row_number"), F.min("row_number"), F.max("row_number"), F.count_distinct("id")).first() == (100_000, 1, 100_000, 100_000)
+    total = o.running(df, ["g"], ["v"], {"s": ("sum", "v"), "c": ("count", "v")}, hot_rows=5000)
+    assert total.agg(F.count_distinct("c"), F.max("s"), F.count_if(F.col("s") != 7 * F.col("c"))).first() == (100_000, 700_000, 0)
+    back = o.framed(df, ["g"], ["v"], {"b": lambda w: F.lag("id").over(w)}, before=1, block_rows=5000)
+    assert back.agg(F.count_distinct("b"), F.count_if(F.col("b").isNull()), F.count_if(F.col("b") == F.col("id"))).first() == (99_999, 1, 0)
+
+
+def test_ties_of_some_rows_keep_what_does_not_depend_on_them(spark):
+    df = spark.range(3000).selectExpr("id", "id % 2 as g", "id div 500 as v")
+    w = Window.partitionBy("g").orderBy("v")
+    want = df.withColumn("hi", F.max("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    assert rows(o.running(df, ["g"], ["v"], {"hi": ("max", "v")}, hot_rows=50)) == rows(want)
+    before = o.framed(df, ["g"], ["v"], {"b": lambda w: F.lag("v").over(w)}, before=1, block_rows=50)
+    assert rows(before.groupBy("g", "v", "b").count()) == rows(df.withColumn("b", F.lag("v").over(w)).groupBy("g", "v", "b").count())

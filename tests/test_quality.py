@@ -2,6 +2,7 @@
 
 import pytest
 from helpers import rows
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.quality import checks as q
@@ -134,3 +135,14 @@ def test_suite(data, spark):
     assert rows(s.suite_status(got)) == [("data", 4, 0, 1, "warn")]
     scans = got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate")
     assert scans <= 5  # the row tests and aggregates share one
+
+
+def test_sequential_values_count_repeats(spark):
+    """A repeated value fails once per repeat, as in a plain window, and is one row of the walk."""
+    df = spark.range(100_000).selectExpr("case when id < 99990 then 5 else id - 99984 end as x").unionByName(spark.createDataFrame([(None,), (4,)], "x bigint"))
+    got = q.sequential_values(df, "x", block_rows=100)
+    assert rows(got.groupBy("x", "previous_x").count()) == [(5, 5, 99_989)]
+    plain = spark.createDataFrame([(1, 2), (1, 2), (1, 4), (1, 4), (1, 4), (2, 9), (2, None)], "g int, x int")
+    w = Window.partitionBy("g").orderBy("x")
+    want = plain.withColumn("previous_x", F.lag("x").over(w)).filter("x <> previous_x + 2")
+    assert rows(q.sequential_values(plain, "x", 2, group_by=["g"])) == rows(want) and want.count() == 3

@@ -1,12 +1,14 @@
 """Joins, semantic layer, shapes, metrics and charts on small inputs."""
 
+import ipaddress
+import random
 import time
 
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
-from tidemark.operators import charts, filters as f, joins as j, metrics as m, windows as w
+from tidemark.operators import charts, filters as f, joins as j, metrics as m, ordered, windows as w
 from tidemark.operators.filters import Filter
 from tidemark.operators.measures import Measure, aggregate
 from tidemark.plans import shapes
@@ -118,6 +120,90 @@ def test_ip_lookup(spark):
     assert rows(j.ip_prefix_lookup(ips, nets, "ip"), "ip", "net") == [("10.1.2.3", "ten-one"), ("10.2.0.1", "ten"), ("192.168.1.7", "host"), ("8.8.8.8", "any"), (None, None)]
 
 
+def test_ip_lookup_of_both_families_in_chunks(spark):
+    """Nested prefixes swept in chunks of a few, against every prefix tried for every address."""
+    pick = random.Random(8)
+    four = [ipaddress.ip_network((pick.getrandbits(32) >> s << s, 32 - s)) for s in (pick.choice([0, 4, 8, 12, 16, 20, 24, 31, 32]) for _ in range(60)) if s <= 32]
+    base = int(ipaddress.ip_address("2001:db8::"))
+    six = [ipaddress.ip_network(((base | pick.getrandbits(96)) >> s << s, 128 - s)) for s in (pick.choice([0, 1, 16, 40, 63, 64, 65, 90, 100, 128]) for _ in range(60))]
+    nested = [n for first in (four[0], six[0], six[3]) for n in (first, *(first.supernet(new_prefix=p) for p in range(0, first.prefixlen, 3)))]
+    nets = sorted({str(n) for n in four + six + nested})
+    inside = [ipaddress.ip_network(n) for n in nets]
+    ips = [str(n[pick.randrange(min(n.num_addresses, 1 << 60))]) for n in inside] + [str(n[0]) for n in inside] + [str(n[-1]) for n in inside]
+    ips += [str(ipaddress.ip_address(pick.getrandbits(128))) for _ in range(50)] + [str(ipaddress.ip_address(pick.getrandbits(32))) for _ in range(50)]
+
+    def best(ip):
+        fits = [n for n in inside if ipaddress.ip_address(ip) in n]
+        return str(max(fits, key=lambda n: n.prefixlen)) if fits else None
+
+    table = spark.createDataFrame([(n, n.upper()) for n in nets] + [("1.2.3.4/33", "bad"), ("x/8", "bad"), ("10.0.0.0", "bad"), ("::/129", "bad"), (None, "bad")], "prefix string, net string")
+    want = sorted((ip, best(ip)) for ip in set(ips))
+    for size in (7, 10 ** 6):
+        found = j.ip_prefix_lookup(spark.createDataFrame([(ip,) for ip in set(ips)], "ip string"), table, "ip", chunk_rows=size)
+        assert sorted((r.ip, r.prefix) for r in found.collect()) == want
+
+
+def test_ip_texts(spark):
+    good = {"::": 0, "::1": 1, "1::": 1 << 112, "2001:DB8::ff00:42:8329": int(ipaddress.ip_address("2001:db8::ff00:42:8329")), "1:2:3:4:5:6:7:8": int(ipaddress.ip_address("1:2:3:4:5:6:7:8")),
+            "::ffff:1.2.3.4": 0xFFFF01020304, "1.2.3.4": 0xFFFF01020304, "64:ff9b::192.0.2.33": int(ipaddress.ip_address("64:ff9b::192.0.2.33")), "1:2:3:4:5:6:7::": int(ipaddress.ip_address("1:2:3:4:5:6:7::"))}
+    bad = ["", "1.2.3", "1.2.3.256", "1.2.3.4.5", ":::", "1::2::3", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "g::1", "12345::", "fe80::1%eth0", "::1.2.3.400", "1.2.3.4::", " ::1", "99999999999999999999.1.1.1", None]
+    found = {r.t: r.k for r in spark.createDataFrame([(t,) for t in [*good, *bad]], "t string").select("t", j.ip_key("t").alias("k")).collect()}
+    assert all(found[t] is None for t in bad)
+    assert {t: ((found[t].hi + (1 << 63)) << 64) | (found[t].lo + (1 << 63)) for t in good} == good
+
+
+@pytest.fixture(scope="module")
+def mixed_ranges(spark):
+    """Ranges of a minute, days and decades, open, far, empty and inverted ones, over the same points."""
+    pick = random.Random(4)
+    start = 1_500_000_000
+    points = [(i, i % 3, start + pick.randrange(400 * 86400)) for i in range(4000)]
+    ranges = []
+    for i in range(300):
+        length = pick.choice([0, 59, 60, 3600, 5 * 86400, 10 * 365 * 86400, -10])
+        first = start + pick.randrange(-86400, 400 * 86400)
+        ranges.append((i, i % 4, first, None if i % 17 == 0 else first + length if i % 19 else 253_370_764_800))
+    return (spark.createDataFrame(points, "id int, k int, s bigint").selectExpr("id", "k", "timestamp_seconds(s) as at", "s"),
+            spark.createDataFrame(ranges, "r int, k2 int, a bigint, z bigint").selectExpr("r", "k2", "timestamp_seconds(a) as a", "timestamp_seconds(z) as z", "a as ai", "z as zi"))
+
+
+@pytest.mark.parametrize("keys", [None, {"k": "k2"}])
+def test_intervals_of_minutes_and_decades(mixed_ranges, keys):
+    points, ranges = mixed_ranges
+    pts, rng = points.collect(), ranges.collect()
+    want = sorted((p.id, r.r) for r in rng for p in pts if r.ai <= p.s and (r.zi is None or p.s <= r.zi) and (keys is None or p.k == r.k2))
+    for at, a, z in (("at", "a", "z"), ("s", "ai", "zi")):
+        assert sorted((x.id, x.r) for x in j.interval_join(points, ranges, at, a, z, keys).select("id", "r").collect()) == want
+    left = j.interval_join(points, ranges, "at", "a", "z", keys, how="left").select("id", "r").collect()
+    assert sorted((x.id, x.r) for x in left if x.r is not None) == want
+    assert sorted(x.id for x in left if x.r is None) == sorted({p.id for p in pts} - {i for i, _ in want})
+    tried = j.interval_candidates(points, ranges, "at", "a", "z", keys).count()
+    assert len(want) <= tried <= 1.25 * len(want) + 300
+
+
+def test_interval_candidates_do_not_follow_the_span(spark):
+    """A thousand short ranges over ten years: a point meets few ranges besides its own."""
+    points = spark.range(100_000).selectExpr("id", "timestamp_seconds(1000000000 + id * 3153) as at")
+    ranges = spark.range(1000).selectExpr("id as r", "timestamp_seconds(1000000000 + id * 315300) as a", "timestamp_seconds(1000000000 + id * 315300 + 30000) as z")
+    found = j.interval_candidates(points, ranges, "at", "a", "z").agg(F.count("*"), F.count_if("_inside")).first()
+    assert found[1] == 10_000 and found[0] < 1.3 * found[1]
+
+
+def test_conversion_of_a_busy_user_goes_by_chunks(spark, monkeypatch):
+    events = spark.range(40_000).selectExpr("1 as u", "case when id % 100 = 7 then 'buy' else 'view' end as kind", "timestamp_seconds(id div 4) as ts")
+    seen, plain = [], ordered.in_chunks
+
+    def watched(*args, **kwargs):
+        chunked = plain(*args, **kwargs)
+        seen.extend(r[1] for r in chunked.groupBy("_chunk").count().collect())
+        return chunked
+
+    whole = m.conversion_metric(events, "u", "ts", "kind", "view", "buy", 1_000_000).collect()
+    monkeypatch.setattr(ordered, "in_chunks", watched)
+    assert m.conversion_metric(events, "u", "ts", "kind", "view", "buy", 1_000_000, hot_rows=2000).collect() == whole
+    assert len(seen) > 10 and max(seen) < 4000
+
+
 def test_drill_across_has_no_fan_out(spark):
     a = spark.createDataFrame([("x", 1), ("x", 2)], "k string, v int")
     b = spark.createDataFrame([("x", 5), ("y", 6)], "k string, w int")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .ordered import HOT_ROWS, first_per_group, same
+from .ordered import HOT_ROWS, first_per_group, in_chunks, running, same
 
 
 def equi_join(left: DataFrame, right: DataFrame, on: Mapping[str, str] | Sequence[str], how: str = "inner",
@@ -106,69 +107,260 @@ def key_lookup(df: DataFrame, dictionary: DataFrame, on: Mapping[str, str], defa
     return joined.select(*df.columns, *[F.coalesce(F.col(f"_a_{a}"), F.lit(d)).alias(a) for a, d in defaults.items()])
 
 
-def _buckets(start: Column, end: Column, unit: str) -> Column:
-    return F.sequence(F.date_trunc(unit, start), F.date_trunc(unit, end), F.expr(f"interval 1 {unit}"))
+DEPTH = 3  # blocks are an eighth of a range or smaller
+STEP = 2  # lengths of blocks are powers of 4, which halves the levels that points look up
 
 
-def interval_join(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str,
-                  keys: Mapping[str, str] | None = None, unit: str = "month", how: str = "inner") -> DataFrame:
-    """Points inside [start, end] of a range, optionally also equal on keys.
+def _instant(value: Column, kind: str) -> Column:
+    """A point on the line of 64-bit integers: microseconds, or the number itself."""
+    return value.cast("bigint") if kind in ("tinyint", "smallint", "int", "bigint") else F.unix_micros(value.cast("timestamp"))
+
+
+def _cover(first: Column, last: Column) -> Column:
+    """Aligned blocks (level, block) of 2^level points that cover [first, last], as an array of 17 at most.
+
+    A range chooses the length of its blocks by its own, so what they reach
+    beyond its ends is little, and blocks double as ranges do.
+    """
+    bits = F.length(F.bin(F.greatest(last - first, F.lit(0))))
+    level = F.greatest((F.floor((bits - DEPTH) / STEP) * STEP).cast("int"), F.lit(0))
+    block = lambda x: F.call_function("shiftright", x, level)
+    return F.transform(F.sequence(block(first), F.greatest(block(last), block(first))), lambda b: F.struct(level.alias("_level"), b.alias("_block")))
+
+
+def interval_candidates(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str,
+                        keys: Mapping[str, str] | None = None) -> DataFrame:
+    """Points beside the ranges whose blocks they lie in (columns `_r_*`), with `_inside` where they lie in the range.
 
-    Ranges are listed once per `unit` they touch, which turns the range test
-    into an equality on the bucket. Ranges are cut to the time between the
-    first and the last point, so open and far ends list no empty buckets.
+    A range is stored under the few aligned blocks that cover it, a point looks
+    up one block for every level some range uses, 32 at most. So minutes and
+    decades go together, no key holds more than a level's ranges over one block,
+    and about four of five candidates match. Open and far ends are cut to the
+    time of the points.
     """
-    seen = points.agg(F.struct(F.min(F.col(at).cast("timestamp")).alias("first"), F.max(F.col(at).cast("timestamp")).alias("last"))).scalar()
+    kinds = dict(points.dtypes)
+    seen = points.agg(F.struct(F.min(_instant(F.col(at), kinds[at])).alias("first"), F.max(_instant(F.col(at), kinds[at])).alias("last"))).scalar()
+    ends = dict(ranges.dtypes)
     side = ranges.withColumn("_seen", seen)
-    until = F.least(F.coalesce(F.col(end).cast("timestamp"), F.col("_seen.last")), F.col("_seen.last"))
-    begin = F.greatest(F.col(start).cast("timestamp"), F.col("_seen.first"))
-    side = (side.withColumn("_bucket", F.explode(F.when(begin <= until, _buckets(begin, until, unit))))
-            .select("_bucket", *[F.col(c).alias(f"_r_{c}") for c in ranges.columns]))
-    pts = points.withColumn("_bucket", F.date_trunc(unit, F.col(at).cast("timestamp")))
-    inside = (F.col(at) >= F.col(f"_r_{start}")) & (F.col(f"_r_{end}").isNull() | (F.col(at) <= F.col(f"_r_{end}")))
-    cond = (pts["_bucket"] == side["_bucket"]) & inside
+    begin = F.greatest(_instant(F.col(start), ends[start]), F.col("_seen.first"))
+    until = F.least(F.coalesce(_instant(F.col(end), ends[end]), F.col("_seen.last")), F.col("_seen.last"))
+    side = (side.withColumn("_at", F.explode(F.when(begin <= until, _cover(begin, until))))
+            .select("_at._level", "_at._block", *[F.col(c).alias(f"_r_{c}") for c in ranges.columns]))
+    side = materialize(side, "blocks")  # read twice: for the levels in use and for the join
+    levels = side.agg(F.collect_set("_level")).scalar()
+    probes = F.transform(F.col("_levels"), lambda n: F.struct(n.alias("_level"), F.call_function("shiftright", F.col("_instant"), n).alias("_block")))
+    pts = (points.withColumns({"_levels": levels, "_instant": _instant(F.col(at), kinds[at])}).withColumn("_probe", F.explode(probes))
+           .select(*points.columns, "_probe._level", "_probe._block"))
+    cond = (pts["_level"] == side["_level"]) & (pts["_block"] == side["_block"])
     for mine, theirs in (keys or {}).items():
         cond = cond & (F.col(mine) == F.col(f"_r_{theirs}"))
-    joined = pts.join(side, cond, how)
+    inside = (F.col(at) >= F.col(f"_r_{start}")) & (F.col(f"_r_{end}").isNull() | (F.col(at) <= F.col(f"_r_{end}")))
+    return (pts.join(side, cond, "inner").select(*[pts[c] for c in points.columns], *[F.col(f"_r_{c}") for c in ranges.columns], inside.alias("_inside")))
+
+
+def interval_join(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str,
+                  keys: Mapping[str, str] | None = None, how: str = "inner") -> DataFrame:
+    """Points inside [start, end] of a range, optionally also equal on keys; a null end is open.
+
+    Times, dates or integers. With `how` left, points in no range stay.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("interval_join supports inner and left")
+    if how == "left":
+        points = materialize(points.withColumn("_row", F.monotonically_increasing_id()), "points")
+    hits = interval_candidates(points, ranges, at, start, end, keys).filter("_inside")
     hidden = set((keys or {}).values())
-    return joined.select(*[pts[c] for c in points.columns],
-                         *[F.col(f"_r_{c}").alias(c) for c in ranges.columns if c not in hidden])
+    shown = [c for c in ranges.columns if c not in hidden]
+    found = hits.select(*points.columns, *[F.col(f"_r_{c}").alias(c) for c in shown])
+    if how == "left":
+        found = materialize(found, "hits")
+        alone = points.join(found.select("_row").distinct(), "_row", "left_anti")
+        found = found.unionByName(alone, allowMissingColumns=True).drop("_row")
+    return found
 
 
 def range_lookup(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str, keys: Mapping[str, str],
-                 row_key: Sequence[str], strategy: str = "min", unit: str = "month") -> DataFrame:
+                 row_key: Sequence[str], strategy: str = "min") -> DataFrame:
     """At most one range per point: the earliest ("min") or latest ("max") starting one.
 
-    `row_key` names the columns that identify a point.
+    `row_key` names the columns that identify a point. Points go in once by
+    themselves and once per range they lie in; the best of a point's rows stays.
     """
-    hits = interval_join(points, ranges, at, start, end, keys, unit, "left")
+    hits = interval_join(points, ranges, at, start, end, keys).withColumn("_none", F.lit(0))
+    every = hits.unionByName(points.withColumn("_none", F.lit(1)), allowMissingColumns=True)
     sign = "" if strategy == "min" else "-"
-    return first_per_group(hits, row_key, [f"{sign}{start}", f"{sign}{end}"])
+    return first_per_group(every, row_key, ["_none", f"{sign}{start}", f"{sign}{end}"]).drop("_none")
+
+
+_V4 = r"^\d{1,3}(\.\d{1,3}){3}$"
+_LOWEST = -(1 << 63)
+
+
+def _let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _v4_number(text: Column) -> Column:
+    """Dotted text as a number, NULL for anything else."""
+    octets = F.transform(F.split(text, r"\."), lambda o: o.try_cast("bigint"))
+    joined = _let(octets, lambda x: F.when(F.forall(x, lambda o: o <= 255), F.aggregate(x, F.lit(0).cast("bigint"), lambda a, o: a * 256 + o)))
+    return F.when(text.rlike(_V4), joined)
 
 
-def ip_number(ip: str | Column) -> Column:
-    """Dotted IPv4 text as a number."""
-    parts = F.split(F.col(ip) if isinstance(ip, str) else ip, r"\.")
-    return reduce(lambda acc, i: acc * 256 + parts[i].cast("bigint"), range(4), F.lit(0).cast("bigint"))
+def _v6_key(text: Column) -> Column:
+    listed = lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, ":", -1))
+    hex_of = lambda x: F.lower(F.hex(x))
+    flip = lambda x: x.bitwiseXOR(F.lit(_LOWEST))
+    half = lambda groups, first: flip(F.aggregate(F.slice(groups, first, 4), F.lit(0).cast("bigint"),
+                                                  lambda a, g: F.shiftleft(a, 16).bitwiseOR(F.conv(g, 16, 10).cast("bigint"))))
 
+    def key(every):
+        good = F.forall(every, lambda g: g.rlike("^[0-9a-fA-F]{1,4}$"))
+        return F.when(good, F.struct(half(every, 1).alias("hi"), half(every, 5).alias("lo")))
 
-def ip_prefix_lookup(df: DataFrame, prefixes: DataFrame, ip: str, prefix: str = "prefix") -> DataFrame:
-    """Longest matching CIDR prefix for each address.
+    def filled(sides):
+        left, right = sides["left"], sides["right"]
+        missing = 8 - F.size(left) - F.size(right)
+        whole = F.when(sides["gap"], missing >= 1).otherwise(missing == 0)
+        return F.when(whole, _let(F.concat(left, F.array_repeat(F.lit("0"), missing), right), key))
 
-    Each distinct address is tried once per prefix length in use (at most 33),
-    as an equality join on (length, network).
+    def split(halves):
+        sides = F.struct(listed(halves[0]).alias("left"), listed(F.coalesce(F.get(halves, F.lit(1)), F.lit(""))).alias("right"),
+                         (F.size(halves) == 2).alias("gap"))
+        return F.when(F.size(halves) <= 2, _let(sides, filled))
+
+    # a dotted tail becomes two groups of its own
+    tail = _v4_number(F.regexp_extract(text, r":(\d+(?:\.\d+){3})$", 1))
+    spelled = _let(tail, lambda n: F.concat(F.regexp_extract(text, r"^(.*:)[^:]*$", 1), hex_of(F.shiftrightunsigned(n, 16)), F.lit(":"),
+                                            hex_of(n.bitwiseAND(F.lit(65535)))))
+    plain = F.when(text.contains("."), spelled).otherwise(text)
+    return _let(F.split(plain, "::", -1), split)
+
+
+def ip_key(ip: str | Column) -> Column:
+    """An address as (hi, lo), two longs whose signed order is the order of the 128 bits; NULL for anything else.
+
+    IPv6 with `::` and dotted tails, IPv4 as ::ffff:a.b.c.d.
+    """
+    text = F.col(ip) if isinstance(ip, str) else ip
+    flip = lambda x: x.bitwiseXOR(F.lit(_LOWEST))
+    four = lambda n: F.struct(F.lit(_LOWEST).alias("hi"), flip(n.bitwiseOR(F.lit(0xFFFF << 32))).alias("lo"))
+    return F.when(text.rlike(_V4), _let(_v4_number(text), lambda n: F.when(n.isNotNull(), four(n)))).otherwise(_v6_key(text))
+
+
+def _prefix_table(prefixes: DataFrame, prefix: str) -> DataFrame:
+    """Rows with the first and last address of their prefix and its length; text that is no prefix goes, of equal prefixes the least row stays."""
+    parts = F.split(prefix, "/")
+    given = F.when(F.get(parts, F.lit(1)).rlike(r"^\d{1,3}$") & (F.size(parts) == 2), F.get(parts, F.lit(1)).try_cast("int"))
+    size = F.when(F.get(parts, F.lit(0)).rlike(_V4), F.when(given <= 32, given + 96)).otherwise(F.when(given <= 128, given))
+    rows = prefixes.withColumns({"_key": ip_key(F.get(parts, F.lit(0))), "_size": size}).filter("_key is not null and _size is not null")
+    # bits of each half that lie beyond the prefix
+    rest = lambda bits: F.when(bits >= 64, F.lit(-1).cast("bigint")).when(bits <= 0, F.lit(0).cast("bigint")).otherwise(
+        F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("bigint"), bits)))
+    free = {"hi": rest(64 - F.col("_size")), "lo": rest(128 - F.col("_size"))}
+    free["lo"] = F.when(F.col("_size") <= 64, F.lit(-1).cast("bigint")).otherwise(free["lo"])
+    # order is flipped in the highest bit, which masks see through
+    value = lambda half: F.col(f"_key.{half}").bitwiseXOR(F.lit(_LOWEST))
+    flip = lambda x: x.bitwiseXOR(F.lit(_LOWEST))
+    rows = rows.withColumns({f"_from_{h}": flip(value(h).bitwiseAND(F.bitwise_not(free[h]))) for h in free})
+    rows = rows.withColumns({f"_to_{h}": flip(F.col(f"_from_{h}").bitwiseXOR(F.lit(_LOWEST)).bitwiseOR(free[h])) for h in free}).drop("_key")
+    order = [c for c, k in prefixes.dtypes if not k.startswith("map")]
+    return first_per_group(rows, ["_from_hi", "_from_lo", "_size"], order)
+
+
+def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Nested prefixes of one chunk, sorted by first address and length, to disjoint ranges that name the innermost one.
+
+    The chunk's rows come after those prefixes that are open where it begins,
+    129 at most. Prefixes lie inside each other or apart, so the open ones form
+    a stack, and a range ends where the next prefix begins or the top one ends.
+    """
+    whole = lambda hi, lo: ((hi + (1 << 63)) << 64) | (lo + (1 << 63))
+    halves = lambda x: ((x >> 64) - (1 << 63), (x & ((1 << 64) - 1)) - (1 << 63))
+    stack, at, end, limit, out = [], 0, 0, None, []
+
+    def close(until):
+        """Ranges up to, not including, `until`; prefixes that end before it leave the stack."""
+        nonlocal at
+        while stack and at < until:
+            last, name = stack[-1]
+            if at <= min(last, until - 1):
+                out.append((*halves(at), *halves(min(last, until - 1)), *name))
+                at = min(last, until - 1) + 1
+            if last < until:
+                stack.pop()
+        at = until
+
+    def rows():
+        done = pd.DataFrame(out, columns=["hi", "lo", "to_hi", "to_lo", "from_hi", "from_lo", "size"])
+        out.clear()
+        return done
+
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            first, last, size = whole(row.from_hi, row.from_lo), whole(row.to_hi, row.to_lo), row.size_
+            if row.chunk != limit:
+                if limit is not None:
+                    close(end)
+                stack.clear()
+                limit, at, end = row.chunk, whole(row.cut_hi, row.cut_lo), 1 << 128 if row.final else whole(row.end_hi, row.end_lo)
+            if first > at:
+                close(first)
+            stack.append((last, (row.from_hi, row.from_lo, size)))
+        yield rows()
+    if limit is not None:
+        close(end)
+        yield rows()
+
+
+_RANGE = "hi bigint, lo bigint, to_hi bigint, to_lo bigint, from_hi bigint, from_lo bigint, size int"
+
+
+def flatten_prefixes(table: DataFrame, chunk_rows: int = HOT_ROWS) -> DataFrame:
+    """Disjoint ranges (hi, lo) .. (to_hi, to_lo) of addresses, each with the innermost prefix it lies in (from_hi, from_lo, size)."""
+    plain = table.select(*[F.col(f"_{c}").alias(c) for c in ("from_hi", "from_lo", "to_hi", "to_lo", "size")])
+    chunked = in_chunks(plain, [], ["from_hi", "from_lo", "size"], plain.count(), chunk_rows).drop("_row")
+    firsts = chunked.groupBy("_chunk").agg(F.min(F.struct("from_hi", "from_lo", "size")).alias("cut"))
+    following = Window.orderBy("_chunk")  # one row per chunk
+    highest = F.lit((1 << 63) - 1)
+    cuts = materialize(firsts.withColumn("end", F.lead("cut").over(following)).select(
+        "_chunk", F.col("cut.from_hi").alias("cut_hi"), F.col("cut.from_lo").alias("cut_lo"), F.col("cut.size").alias("cut_size"),
+        F.coalesce("end.from_hi", highest).alias("end_hi"), F.coalesce("end.from_lo", highest).alias("end_lo"), F.col("end").isNull().alias("final")), "cuts")
+    # prefixes open at a cut: one per length at most, found by the cut's own prefix of that length
+    sizes = plain.agg(F.collect_set("size")).scalar()
+    flip = lambda x: x.bitwiseXOR(F.lit(_LOWEST))
+    keep = lambda bits: F.when(bits <= 0, F.lit(0).cast("bigint")).when(bits >= 64, F.lit(-1).cast("bigint")).otherwise(
+        F.call_function("shiftleft", F.lit(-1).cast("bigint"), 64 - bits))
+    probes = cuts.withColumn("_sizes", sizes).withColumn("size", F.explode("_sizes")).select(
+        "_chunk", "size", "cut_hi", "cut_lo", "cut_size", flip(flip(F.col("cut_hi")).bitwiseAND(keep(F.col("size")))).alias("from_hi"),
+        flip(flip(F.col("cut_lo")).bitwiseAND(keep(F.col("size") - 64))).alias("from_lo"))
+    before = F.struct("from_hi", "from_lo", "size") < F.struct("cut_hi", "cut_lo", "cut_size")
+    opened = plain.join(probes.filter(before), ["from_hi", "from_lo", "size"]).select(*plain.columns, "_chunk")
+    rows = chunked.select(*plain.columns, "_chunk").unionByName(opened).join(F.broadcast(cuts), "_chunk")
+    wanted = rows.select("from_hi", "from_lo", "to_hi", "to_lo", F.col("size").alias("size_"), F.col("_chunk").alias("chunk"), "cut_hi", "cut_lo", "end_hi", "end_lo", "final")
+    return (wanted.repartition("chunk").sortWithinPartitions("chunk", "from_hi", "from_lo", "size_").mapInPandas(_sweep, _RANGE))
+
+
+def ip_prefix_lookup(df: DataFrame, prefixes: DataFrame, ip: str, prefix: str = "prefix", chunk_rows: int = HOT_ROWS) -> DataFrame:
+    """Longest matching CIDR prefix of each address, IPv4 and IPv6; other text matches nothing.
+
+    Prefixes are flattened into disjoint ranges, so one pass over addresses and
+    range starts in order finds the last range that begins at or before an
+    address, whatever lengths there are. Distinct addresses are looked up once.
     """
-    net = F.split(prefix, "/")
-    size = F.expr(f"cast(split({prefix}, '/')[1] as int)")
-    # division by a power of two keeps exactly the leading bits
-    block = lambda n: F.pow(F.lit(2.0), F.lit(32) - n).cast("bigint")
-    table = (prefixes.withColumn("_len", size)
-             .withColumn("_net", F.floor(ip_number(net[0]) / block(F.col("_len"))).cast("bigint")))
-    lengths = table.agg(F.collect_set("_len")).scalar()
-    addresses = (df.select(F.col(ip).alias("_ip")).distinct().withColumn("_lens", lengths)
-                 .withColumn("_len", F.explode("_lens")).drop("_lens")
-                 .withColumn("_net", F.floor(ip_number("_ip") / block(F.col("_len"))).cast("bigint")))
-    best = first_per_group(addresses.join(table, ["_len", "_net"]), ["_ip"], ["-_len"]).drop("_len", "_net")
+    table = materialize(_prefix_table(prefixes, prefix), "prefixes")
+    ranges = flatten_prefixes(table, chunk_rows)
+    addresses = df.select(F.col(ip).alias("_ip")).distinct().withColumn("_key", ip_key("_ip")).filter("_key is not null")
+    name = F.struct("hi", "lo", "to_hi", "to_lo", "from_hi", "from_lo", "size")
+    starts = ranges.select("hi", "lo", F.lit(0).alias("_kind"), name.alias("_range"), F.lit(None).cast("string").alias("_ip"))
+    merged = starts.unionByName(addresses.select("_key.hi", "_key.lo", F.lit(1).alias("_kind"), F.lit(None).cast(starts.schema["_range"].dataType).alias("_range"), "_ip"))
+    merged = materialize(merged, "merged")
+    passed = running(merged, [], ["hi", "lo", "_kind"], {"_last": ("max", "_range")}, chunk_rows).filter("_kind = 1")
+    within = (F.col("hi") < F.col("_last.to_hi")) | ((F.col("hi") == F.col("_last.to_hi")) & (F.col("lo") <= F.col("_last.to_lo")))
+    hits = passed.filter(within).select("_ip", *[F.col(f"_last.{c}").alias(f"_h_{c}") for c in ("from_hi", "from_lo", "size")])
+    match = reduce(lambda a, b: a & b, [F.col(f"_h_{c}") == F.col(f"_{c}") for c in ("from_hi", "from_lo", "size")])
+    best = hits.join(table, match).select("_ip", *prefixes.columns)
     return df.join(best, F.col(ip) == F.col("_ip"), "left").drop("_ip")
 
 

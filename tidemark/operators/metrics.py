@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..plans.shapes import period
 from .filters import Filter
 from .measures import Measure, aggregate
-from .ordered import running, same
+from .ordered import HOT_ROWS, running, same
 
 
 def metric_query(df: DataFrame, dimensions: Sequence[str], measures: Sequence[Measure],
@@ -49,13 +49,14 @@ def cumulative_metric(df: DataFrame, time_column: str, grain: str, value: str, g
 
 
 def conversion_metric(events: DataFrame, user: str, time: str, kind: str, base: str, conversion: str,
-                      window_seconds: int, group_by: Sequence[str] = ()) -> DataFrame:
+                      window_seconds: int, group_by: Sequence[str] = (), hot_rows: int = HOT_ROWS) -> DataFrame:
     """Base events, and those followed by a conversion of the same user within the window.
 
     Time is cut into buckets as long as the window. A conversion is listed in
     its own bucket and the one before, so each base event sees every candidate
     inside one (user, bucket) window: a busy user spreads over many buckets and
-    no pairs are formed.
+    no pairs are formed. Within a bucket of more than `hot_rows` events the
+    walk goes by chunks, each of which is handed the nearest conversion ahead.
     """
     at = F.unix_micros(F.col(time).cast("timestamp"))
     span = window_seconds * 1_000_000
@@ -67,9 +68,8 @@ def conversion_metric(events: DataFrame, user: str, time: str, kind: str, base:
         F.when(is_base, F.array("_bucket")).otherwise(F.array(F.col("_bucket"), F.col("_bucket") - 1))))
     # at one instant the base event sorts first, so a simultaneous conversion counts
     # read backwards, the nearest conversion ahead is a running minimum: one step per row
-    ahead = (Window.partitionBy(user, "_b").orderBy(F.col("_at").desc(), is_base)
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    seen = listed.withColumn("_next", F.min(F.when(~is_base, F.col("_at"))).over(ahead)).filter(is_base)
+    listed = listed.withColumns({"_base": is_base, "_conversion": F.when(~is_base, F.col("_at"))})
+    seen = running(listed, [user, "_b"], ["-_at", "_base"], {"_next": ("min", "_conversion")}, hot_rows).filter("_base")
     converted = F.coalesce(F.col("_next") - F.col("_at") <= span, F.lit(False))
     return (seen.groupBy(*group_by)
             .agg(F.count(F.lit(1)).alias("base_events"), F.count_if(converted).alias("converted_events"),

@@ -2,10 +2,13 @@
 
 A plain window sorts a whole partition key inside one task. Each operator here
 first counts the rows per group. When no group exceeds `hot_rows`, it is a plain
-window: one shuffle, one sort. Otherwise the rows are range-partitioned by
-(keys, order) into chunks of about `hot_rows` rows and stored with their chunk
-number. Chunks are windowed in parallel, and a small summary per chunk carries
-state from one chunk to the next. Both ways give the same rows.
+window: one shuffle, one sort. Otherwise the rows are stored with a row number,
+range-partitioned by (keys, order, row number) into chunks of about `hot_rows`
+rows and stored with their chunk number. Chunks are windowed in parallel, and a
+small summary per chunk carries state from one chunk to the next. The row number
+makes the order total, so rows that tie, however many, spread over chunks as
+well. Both ways give the same rows where the order is total; among rows that tie
+either way picks one of the orders a window may pick.
 """
 
 from __future__ import annotations
@@ -52,14 +55,21 @@ def in_chunks(df: DataFrame, partition: Sequence[str], order: Order, total: int,
     """The rows stored with `_chunk`, ascending along (partition, order).
 
     Range partitioning samples the keys, so chunks are about equal however the
-    rows are spread over groups, and rows that are equal on all columns named
-    share a chunk. Storing the number fixes it for every later pass.
+    rows are spread over groups. Rows that tie go by `_row`, a number stored
+    with them before they are dealt out, so a retried task deals the same way.
+    Storing the chunk fixes it for every later pass.
     """
     n = max(math.ceil(total / hot_rows), 2)
-    ranged = df.repartitionByRange(n, *[F.col(p) for p in partition], *sort_columns(order))
+    numbered = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    ranged = numbered.repartitionByRange(n, *[F.col(p) for p in partition], *sort_columns(order), F.col("_row"))
     return materialize(ranged.withColumn("_chunk", F.spark_partition_id()), "chunks")
 
 
+def total_order(order: Order) -> list[Column]:
+    """The order of chunked rows: ties by their stored number."""
+    return [*sort_columns(order), F.col("_row").asc()]
+
+
 def _chunked_if_hot(df: DataFrame, partition: Sequence[str], order: Order, hot_rows: int) -> DataFrame | None:
     largest, total = group_sizes(df, partition)
     return in_chunks(df, partition, order, total, hot_rows) if largest > hot_rows else None
@@ -97,13 +107,13 @@ def number_rows(df: DataFrame, partition: Sequence[str], order: Order, name: str
 
 
 def _number_chunks(chunked: DataFrame, partition: Sequence[str], order: Order, name: str) -> DataFrame:
-    here = Window.partitionBy(*partition, "_chunk").orderBy(*sort_columns(order))
+    here = Window.partitionBy(*partition, "_chunk").orderBy(*total_order(order))
     local = chunked.withColumn("_ln", F.row_number().over(here))
     carried = _carry(chunked, partition, {"_n": F.count(F.lit(1))},
                      {"_off": lambda w: F.sum("_n").over(w)})
     return (_with_carry(local, carried, partition)
             .withColumn(name, (F.col("_ln") + F.coalesce("_off", F.lit(0))).cast("bigint"))
-            .drop("_ln", "_off", "_chunk"))
+            .drop("_ln", "_off", "_chunk", "_row"))
 
 
 def rank_rows(df: DataFrame, partition: Sequence[str], order: Order, rank: str = "rank",
@@ -147,7 +157,7 @@ def running(df: DataFrame, partition: Sequence[str], order: Order, measures: dic
         whole = (Window.partitionBy(*partition).orderBy(*sort_columns(order))
                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         return df.withColumns({n: _AGG[fn](c).over(whole) for n, (fn, c) in measures.items()})
-    here = (Window.partitionBy(*partition, "_chunk").orderBy(*sort_columns(order))
+    here = (Window.partitionBy(*partition, "_chunk").orderBy(*total_order(order))
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local, totals, carry = chunked, {}, {}
     for i, (name, (fn, col)) in enumerate(measures.items()):
@@ -157,7 +167,7 @@ def running(df: DataFrame, partition: Sequence[str], order: Order, measures: dic
     out = _with_carry(local, _carry(chunked, partition, totals, carry), partition)
     for i, (name, (fn, _)) in enumerate(measures.items()):
         out = out.withColumn(name, _COMBINE[fn](F.col(name), F.col(f"_c{i}")))
-    return out.drop("_chunk", *[f"_c{i}" for i in range(len(measures))])
+    return out.drop("_chunk", "_row", *[f"_c{i}" for i in range(len(measures))])
 
 
 def framed(df: DataFrame, partition: Sequence[str], order: Order,

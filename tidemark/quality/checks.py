@@ -272,12 +272,25 @@ def values_decreasing(df: DataFrame, column: str, sort_column: str | None = None
 
 def sequential_values(df: DataFrame, column: str, interval: int = 1, datepart: str | None = None,
                       group_by: Sequence[str] = (), block_rows: int = HOT_ROWS) -> DataFrame:
-    """Values that are not their predecessor plus the step."""
-    rows = framed(df.select(*group_by, column), group_by, [column],
-                  {f"previous_{column}": lambda w: F.lag(column).over(w)}, before=1, block_rows=block_rows)
-    prev, now = F.col(f"previous_{column}"), F.col(column)
-    step = prev + F.expr(f"interval {interval} {datepart}") if datepart else prev + interval
-    return rows.filter(prev.isNotNull() & ~(now == step))
+    """Values that are not their predecessor plus the step.
+
+    Equal values are counted before they are put in order, so a value that
+    repeats is one row of the walk however often it occurs. It follows its
+    predecessor once and itself as often as it repeats, and is listed as often.
+    """
+    previous = f"previous_{column}"
+    counted = df.groupBy(*group_by, column).agg(F.count(F.lit(1)).alias("_n"))
+    walk = framed(counted, group_by, [column], {"_before": lambda w: F.lag(column).over(w)}, before=1, block_rows=block_rows)
+    now = F.col(column)
+    step = lambda c: c + F.expr(f"interval {interval} {datepart}") if datepart else c + interval
+    first = F.struct(F.col("_before").alias("_p"), F.lit(1).cast("bigint").alias("_times"))
+    again = F.struct(now.alias("_p"), (F.col("_n") - 1).alias("_times"))
+    pairs = walk.select(*group_by, column, F.explode(F.array(first, again)).alias("_x")).select(
+        *group_by, column, F.col("_x._p").alias(previous), F.col("_x._times").alias("_times"))
+    failing_pairs = pairs.filter(F.col(previous).isNotNull() & (F.col("_times") > 0) & ~(now == step(F.col(previous))))
+    # as many rows as repeats, listed by a thousand so that no array grows with them
+    thousands = failing_pairs.withColumn("_k", F.explode(F.expr("sequence(0L, (_times - 1) div 1000)")))
+    return thousands.withColumn("_i", F.explode(F.expr("sequence(1L, least(1000L, _times - _k * 1000))"))).drop("_times", "_k", "_i")
 
 
 def mutually_exclusive_ranges(df: DataFrame, lower: str, upper: str, partition_by: Sequence[str] = (),

@@ -124,7 +124,7 @@ def _rates(t):
 def range_lookup(t):
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "ship"]
     points = t.lineitem.withColumn("ship", F.col("l_shipdate").cast("date")).select(*key)
-    return (j.range_lookup(points, _rates(t), "ship", "valid_from", "valid_to", {"l_partkey": "part"}, key, "max", "year")
+    return (j.range_lookup(points, _rates(t), "ship", "valid_from", "valid_to", {"l_partkey": "part"}, key, "max")
             .select(*key, "valid_from"))
 
 
@@ -176,7 +176,7 @@ def interval_join(t):
     weeks = (t.orders.select(F.date_trunc("week", "o_orderdate").cast("date").alias("week_start")).distinct()
              .withColumn("week_end", F.date_add("week_start", 6)))
     points = t.lineitem.select(F.col("l_shipdate").cast("date").alias("ship"))
-    return (j.interval_join(points, weeks, "ship", "week_start", "week_end", unit="month")
+    return (j.interval_join(points, weeks, "ship", "week_start", "week_end")
             .groupBy("week_start").agg(F.count("*").alias("shipped")))
 
 
@@ -239,4 +239,55 @@ def interval_join_far_ends(t):
     ranges = t.nation.selectExpr(
         "n_nationkey as id", "timestamp_ntz '2024-01-01' + make_interval(0, 0, 0, cast(n_nationkey as int)) as a",
         "case when n_nationkey % 3 = 0 then timestamp_ntz '9999-12-31' when n_nationkey % 3 = 1 then null else timestamp_ntz '2024-01-20' end as z")
-    return j.interval_join(t.events, ranges, "ts", "a", "z", unit="day").groupBy("event_type", "id").agg(F.count("*").alias("n"))
+    return j.interval_join(t.events, ranges, "ts", "a", "z").groupBy("event_type", "id").agg(F.count("*").alias("n"))
+
+
+_MIXED = """with r as (
+      select o_orderkey as id, o_custkey as cust, o_orderdate::timestamp as a, o_orderdate::timestamp + to_minutes(1) as z from orders where o_orderstatus = 'P'
+      union all select o_orderkey, o_custkey, o_orderdate::timestamp, o_orderdate::timestamp + to_years(10) from orders where o_orderstatus = 'O' and o_totalprice > 494000
+      union all select o_orderkey, o_custkey, o_orderdate::timestamp, null from orders where o_orderstatus = 'F' and o_totalprice > 498000)"""
+
+
+def _mixed_ranges(t):
+    """Ranges of a minute, of a decade and without an end, one table."""
+    begin = F.col("o_orderdate").cast("timestamp_ntz")
+    cut = lambda where, end: t.orders.filter(where).select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cust"), begin.alias("a"), end.cast("timestamp_ntz").alias("z"))
+    return (cut("o_orderstatus = 'P'", begin + F.expr("interval 1 minute"))
+            .unionByName(cut("o_orderstatus = 'O' and o_totalprice > 494000", begin + F.expr("interval 10 year")))
+            .unionByName(cut("o_orderstatus = 'F' and o_totalprice > 498000", F.lit(None))))
+
+
+@query("interval_join_mixed", [71], _MIXED + """
+    select id, count(*) as ordered, min(o_orderdate::timestamp) as first_order from orders join r on o_orderdate::timestamp >= a and (z is null or o_orderdate::timestamp <= z) group by 1""")
+def interval_join_mixed(t):
+    points = t.orders.select(F.col("o_orderdate").cast("timestamp_ntz").alias("at"))
+    return (j.interval_join(points, _mixed_ranges(t), "at", "a", "z").groupBy("id")
+            .agg(F.count("*").alias("ordered"), F.min("at").alias("first_order")))
+
+
+@query("interval_join_mixed_keyed", [67, 71], _MIXED + """
+    select o_orderkey, id from orders left join r on cust = o_custkey and o_orderdate::timestamp >= a and (z is null or o_orderdate::timestamp <= z)""")
+def interval_join_mixed_keyed(t):
+    points = t.orders.select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp_ntz").alias("at"))
+    return j.interval_join(points, _mixed_ranges(t), "at", "a", "z", {"o_custkey": "cust"}, "left").select("o_orderkey", "id")
+
+
+# the third group of an address and the prefixes say the same in numbers, which is what the oracle compares
+@query("ip_prefix_lookup_both", [70], """
+    with e as (select event_id, user_id, user_id % 256 as g, (user_id * 7) % 256 as h from events),
+    a as (select event_id, case event_id % 4 when 0 then '2001:db8:' || to_hex(g) || '::' || to_hex(h) when 1 then '2001:0DB8:' || lower(to_hex(g)) || ':0:0:0:0:' || to_hex(h)
+        when 2 then '::ffff:10.' || g || '.0.' || h else 'not an address' end as ip, event_id % 4 as kind, g, h from e),
+    p as (select n_nationkey as g, n_name as net from nation)
+    select event_id, ip, case when kind = 3 then null when kind = 2 then 'four' when h < 16 and p.net is not null then p.net || '-low' else coalesce(p.net, 'doc') end as net
+    from a left join p on a.g = p.g""")
+def ip_prefix_lookup_both(t):
+    g, h = "cast(user_id % 256 as bigint)", "cast((user_id * 7) % 256 as bigint)"
+    ip = F.expr(f"""case event_id % 4 when 0 then concat('2001:db8:', hex({g}), '::', hex({h})) when 1 then concat('2001:0DB8:', lower(hex({g})), ':0:0:0:0:', hex({h}))
+        when 2 then concat('::ffff:10.', {g}, '.0.', {h}) else 'not an address' end""")
+    one = t.nation.filter("n_nationkey = 0")
+    nets = (t.nation.selectExpr("concat('2001:db8:', hex(n_nationkey), '::/48') as prefix", "n_name as net")
+            .unionByName(t.nation.selectExpr("concat('2001:db8:', hex(n_nationkey), '::/124') as prefix", "concat(n_name, '-low') as net"))
+            .unionByName(one.selectExpr("'2001:db8::/32' as prefix", "'doc' as net")).unionByName(one.selectExpr("'10.0.0.0/8' as prefix", "'four' as net"))
+            .unionByName(one.selectExpr("'10.0.0.0/99' as prefix", "'bad' as net")))
+    return j.ip_prefix_lookup(t.events.select("event_id", ip.alias("ip")), nets, "ip").select("event_id", "ip", "net")
