@@ -1,6 +1,7 @@
 """Load strategies: merges, history, incremental loads, files."""
 
 import datetime as dt
+import os
 
 import pytest
 from helpers import rows
@@ -244,3 +245,23 @@ def test_audit_counts_and_records_failures(spark, tmp_path):
     assert (good.rows_read, good.rows_written, good.status) == (10, 5, "success")
     bad = catalog.audited_write(spark.range(10).selectExpr("id / 0 as x"), path, "j", "2024-01-01", "2024-01-02").first()
     assert (bad.rows_written, bad.status, bad.finished_at) == (None, "failed", "2024-01-02") and "DIVIDE_BY_ZERO" in bad.error
+
+
+def test_skipped_lines_of_a_file_of_several_splits(spark, monkeypatch):
+    """Only a file's first split is counted; the others are parsed without Python."""
+    path = work_path(spark, "split")
+    os.makedirs(path)
+    for name in ("a", "b"):
+        with open(f"{path}/{name}.csv", "w") as out:
+            out.write("# remark\n\"quoted, remark\nkey,name\n" + "".join(f"{i},{name}{i}\n" for i in range(20_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = readers.read_csv(spark, path, "key int, name string", header_row=2)
+        assert got.rdd.getNumPartitions() > 20
+        assert rows(got.groupBy(F.substring("name", 1, 1).alias("f")).agg(F.count("*"), F.sum("key"), F.count_distinct("name"))) == [
+            (f, 20_000, 199_990_000, 20_000) for f in ("a", "b")]
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        heads, rest = plan.split("Scan csv")[0], plan.split("Scan csv")[1]
+        assert "MapInArrow" in heads and "MapInArrow" not in rest and plan.count("MapInArrow") == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -331,3 +331,23 @@ def test_conversion_of_a_busy_user_is_linear(spark):
     start = time.time()
     found = m.conversion_metric(events, "u", "ts", "kind", "view", "buy", 10_000_000).first()
     assert (found.base_events, found.converted_events) == (30_000, 30_000) and time.time() - start < 60
+
+
+def test_conditional_to_many_edges(spark):
+    """A measured row counts once in each group that its condition admits, equal rows each by themselves."""
+    sales = spark.createDataFrame([(1, 5.0, 3), (1, 5.0, 3), (2, 7.0, 9), (3, 1.0, 0), (None, 2.0, 1)], "k int, total double, least int")
+    visits = spark.createDataFrame([(1, "web", 4), (1, "web", 8), (1, "shop", 5), (1, "app", 2), (2, "web", 1), (3, None, 5)], "vk int, place string, score int")
+    models = [SemanticModel("sales", sales, [], [Measure("revenue", "sum", "total"), Measure("n", "count", "total"), Measure("top", "max", "total")]),
+              SemanticModel("visits", visits, [Dimension("place", "place"), Dimension("points", "score")], kind="dimension")]
+    edge = lambda how: Relationship("sales", "visits", "k", "vk", how, "score > least", "one_to_many")
+    ask = lambda how, **more: rows(semantic_query(SemanticLayer(models, [edge(how)]), SemanticQuery(["revenue", "n"], ["place"], **more)))
+    assert ask("inner") == [("shop", 10.0, 2), ("web", 10.0, 2), (None, 1.0, 1)]
+    assert ask("left") == [("shop", 10.0, 2), ("web", 10.0, 2), (None, 10.0, 3)]
+    assert ask("left", filters=[Filter("points", ">=", 5)]) == [("shop", 10.0, 2), ("web", 10.0, 2), (None, 1.0, 1)]
+    assert rows(semantic_query(SemanticLayer(models, [edge("left")]), SemanticQuery(["top"], ["place"])))[0][0] == "shop"
+
+
+def test_comparison_names_stay_apart(spark):
+    df = spark.createDataFrame([("a b", 1), ("a_b", 2), ("a b", 3)], "k string, v int")
+    out = shapes.comparison_query(df, "k", ["a b", "a_b"], [Measure("s", "sum", "v")])
+    assert out.columns == ["s_a b", "s_a_b", "s_total"] and rows(out) == [(4, 2, 6)]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.filters import Filter, conjunction, filters_from_map, time_range
 from ..operators.measures import Measure, aggregate
 from ..operators.ordered import same
-
+from ..session import materialize
 
 
 @dataclass(frozen=True)
@@ -199,12 +199,31 @@ def semantic_frame(layer: SemanticLayer, q: SemanticQuery) -> tuple[DataFrame, l
         side = layer.joined(edge.right, [g for g in goals if g != edge.right], q.tenant)
         wanted = [c for n, c in conditions if n in own]
         shown = [n for n in q.dimensions if n in own]
+        if edge.condition:
+            df = _join_groups_on_condition(df, side.filter(conjunction(wanted)), edge, {n: F.expr(resolve[n]) for n in shown}, bool(wanted))
+            continue
         # one row per join key and group: a measured row counts once in each of its groups
         side = side.filter(conjunction(wanted)).select(F.col(edge.right_key).alias("_key"), *[F.expr(resolve[n]).alias(n) for n in shown]).distinct()
         df = df.join(side, df[edge.left_key] == side["_key"], "inner" if wanted else edge.join_type).drop("_key")
     return df, asked
 
 
+def _join_groups_on_condition(df: DataFrame, side: DataFrame, edge: Relationship, shown: Mapping[str, Any], filtered: bool) -> DataFrame:
+    """Measured rows once in each group that some far row satisfying the edge's condition puts them in.
+
+    Whether a far row counts depends on the measured row, so the far side can't
+    be reduced by its key alone. Measured rows are numbered and stored; their
+    distinct pairs of number and group, found over the join, meet them again
+    before anything is measured.
+    """
+    numbered = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "measured")
+    far = side.withColumns({f"_shown_{n}": e for n, e in shown.items()}) if shown else side
+    met = numbered.join(far, (numbered[edge.left_key] == far[edge.right_key]) & F.expr(edge.condition), "inner")
+    pairs = met.select("_row", *[F.col(f"_shown_{n}").alias(n) for n in shown]).distinct()
+    kept = "inner" if filtered or edge.join_type == "inner" else "left"
+    return numbered.join(pairs, "_row", kept).drop("_row")
+
+
 # aggregations that repeated rows don't change
 _REPEATABLE = ("min", "max", "count_distinct", "approx_count_distinct")
 
@@ -218,8 +237,6 @@ def _split_at_to_many(layer: SemanticLayer, primary: str, goals: Sequence[str])
         if edge is None:
             near.append(goal)
             continue
-        if edge.condition:
-            raise ValueError(f"measures would repeat over {edge.left!r} to {edge.right!r}, whose join has a condition")
         near += [e.right for e in path[:path.index(edge)]]
         far.setdefault(edge, []).append(goal)
     return list(dict.fromkeys(near)), far

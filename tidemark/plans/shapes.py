@@ -50,9 +50,12 @@ def comparison_query(df: DataFrame, dimension: str, values: Sequence[Any], measu
     if len(values) < 2:
         raise ValueError("compare at least two values")
     kept = df.filter(F.col(dimension).isin(list(values))).filter(conjunction(filters))
-    wide = [Measure(f"{m.name}_{str(v).replace(' ', '_')}", m.aggregation, m.expression, m.percentile,
+    labels = [str(v).replace(" ", "_") for v in values]
+    if len(set(labels)) < len(labels):  # as with "a b" and "a_b": the values themselves tell them apart
+        labels = [str(v) for v in values]
+    wide = [Measure(f"{m.name}_{label}", m.aggregation, m.expression, m.percentile,
                     (*m.filters, Filter(dimension, "=", v)), m.approximate)
-            for v in values for m in measures]
+            for v, label in zip(values, labels) for m in measures]
     total = [Measure(f"{m.name}_total", m.aggregation, m.expression, m.percentile, m.filters, m.approximate)
              for m in measures]
     return aggregate(kept, list(group_by), [*wide, *total])

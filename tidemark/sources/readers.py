@@ -7,7 +7,9 @@ import zlib
 from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,19 +68,21 @@ def run_parameterized(spark: SparkSession, sql: str, params: Mapping[str, Any],
 
 
 def _after_head(lines: int):
-    """Rows (line, file, start) without the first `lines` of each file; rows of a file come in order."""
+    """Rows (line, file) without the first `lines` of each file; a file's rows come in order and together."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, seen = None, 0
         for batch in batches:
-            kept = []
-            for line, name, start in zip(batch["line"], batch["file"], batch["start"]):
-                if (name, start) != file:
-                    file, seen = (name, start), 0
-                seen += 1
-                if start > 0 or seen > lines:
-                    kept.append(line)
-            yield pd.DataFrame({"line": kept})
+            if not batch.num_rows:
+                continue
+            names = batch.column(1).dictionary_encode()
+            codes = names.indices.to_numpy()
+            new = np.concatenate([[names[0].as_py() != file], codes[1:] != codes[:-1]])
+            at = np.arange(len(codes))
+            first = np.maximum.accumulate(np.where(new, at, -1))  # where a row's file begins, -1 in an earlier batch
+            place = np.where(first < 0, at + seen, at - first)
+            file, seen = names[len(codes) - 1].as_py(), int(place[-1]) + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(place >= lines))], ["line"])
 
     return run
 
@@ -90,7 +94,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, delimit
 
     `header_row` counts the lines before the header; None means no header.
     Lines to skip are counted within each file, whose head must lie in its
-    first split; such files can't have line breaks inside fields. `multi_line`
+    first split; only first splits go through that count, later ones are parsed
+    as they come. Such files can't have line breaks inside fields. `multi_line`
     allows those otherwise. Several NA markers become NULL.
     """
     if isinstance(schema, str):
@@ -104,9 +109,12 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, delimit
         lines = (spark.read.option("sep", "\u0001").option("quote", "").option("encoding", encoding)
                  .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).schema("line string").csv(path)
                  .select("line", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")))
-        kept = lines.mapInPandas(_after_head(header_row + 1), "line string")
-        body = (kept.select(F.from_csv("line", ", ".join(f"`{f.name}` string" for f in schema.fields),
-                                       {"sep": delimiter, "mode": "FAILFAST"}).alias("r")).select("r.*"))
+        heads = lines.filter("start = 0").select("line", "file").mapInArrow(_after_head(header_row + 1), "line string")
+        body = None
+        for part in (heads, lines.filter("start > 0").select("line")):
+            parsed = part.select(F.from_csv("line", ", ".join(f"`{f.name}` string" for f in schema.fields),
+                                            {"sep": delimiter, "mode": "FAILFAST"}).alias("r")).select("r.*")
+            body = parsed if body is None else body.unionByName(parsed)
     else:
         body = (reader.option("header", header_row is not None).option("multiLine", multi_line)
                 .schema(text_schema).csv(path))

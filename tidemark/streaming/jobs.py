@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from .logs import HistoryLog, SumLog, UpsertLog, each_batch
+from .logs import HistoryLog, RollupLog, SumLog, UpsertLog, each_batch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -61,7 +61,7 @@ def stream_upsert(stream: DataFrame, target: UpsertLog, checkpoint: str | None =
     return _start(stream.writeStream.foreachBatch(each_batch(target.apply, checkpoint)), checkpoint, every)
 
 
-def incremental_rollup(stream: DataFrame, target: SumLog, checkpoint: str | None = None,
+def incremental_rollup(stream: DataFrame, target: SumLog | RollupLog, checkpoint: str | None = None,
                        every: str | None = None) -> StreamingQuery:
     """Add each micro-batch's partial totals."""
     checkpoint = _checkpoint(checkpoint, target.path)

@@ -143,6 +143,15 @@ def column_values(t):
     return m.column_values(t.part, "p_brand", 5, "p_type = 'PROMO'")
 
 
+@query("results_as_dict", [104], """
+    select o_orderpriority, o_orderstatus, count(*) as n, round(count(*) / (select count(*) from orders x where x.o_orderstatus = o.o_orderstatus), 9) as share from orders o group by 1, 2""")
+def results_as_dict(t):
+    totals = m.results_as_dict(t.orders.groupBy("o_orderstatus").agg(F.count("*").alias("n")))
+    of_status = F.create_map(*[F.lit(x) for pair in zip(totals["o_orderstatus"], totals["n"]) for x in pair])
+    counts = t.orders.groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.round(F.col("n") / F.element_at(of_status, F.col("o_orderstatus")), 9))
+
+
 @query("single_value", [104], """
     select o_orderstatus, count(*) as n, (select max(o_totalprice) from orders) as top_price from orders group by 1""")
 def single_value(t):

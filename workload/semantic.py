@@ -1,5 +1,7 @@
 """Semantic queries, typed query shapes and measures."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tidemark.operators.filters import Filter
@@ -289,3 +291,15 @@ def semantic_measure_over_to_many(t):
     # an order counts once for each flag among its lines, whatever their number
     q = SemanticQuery(["order_value", "placed_orders"], ["return_flag", "priority"])
     return semantic_query(layer(t), q).withColumn("order_value", F.round("order_value", 2))
+
+
+@query("semantic_measure_over_conditional_to_many", [63, 84], """
+    select l_returnflag as return_flag, priority, round(sum(o_totalprice), 2) as order_value, count(*) as placed_orders
+    from (select distinct o_orderkey, o_totalprice, o_orderpriority as priority, l_returnflag from orders
+          join lineitem on o_orderkey = l_orderkey and l_extendedprice > o_totalprice / 4) group by 1, 2""")
+def semantic_measure_over_conditional_to_many(t):
+    # only lines that make a quarter of their order put it into a flag's group, and once
+    plain = layer(t)
+    edges = [replace(e, condition="l_extendedprice > o_totalprice / 4") if e.left == "sales" else e for e in plain.relationships]
+    q = SemanticQuery(["order_value", "placed_orders"], ["return_flag", "priority"])
+    return semantic_query(SemanticLayer(plain.models, edges), q).withColumn("order_value", F.round("order_value", 2))

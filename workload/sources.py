@@ -317,16 +317,20 @@ def table_row_count(t):
     return c.table_row_count({n: getattr(t, n) for n in ("orders", "lineitem", "customer", "pages")})
 
 
-@query("union_by_prefix", [29, 116], """
-    select 'daily_click' as source_relation, event_id, user_id from events where event_type = 'click'
-    union all select 'daily_view', event_id, user_id from events where event_type = 'view'""")
+@query("union_by_prefix", [29, 116], "select 'daily_' || event_type as source_relation, event_id, user_id from events")
 def union_by_prefix(t):
     from tidemark.operators.sets import union_relations
 
-    for kind in ("click", "view"):
+    kinds = [r[0] for r in t.events.select("event_type").distinct().collect()]  # the table has a handful
+    names = {f"daily_{kind}" for kind in kinds}
+    for kind in kinds:
         t.events.filter(F.col("event_type") == kind).select("event_id", "user_id").createOrReplaceTempView(f"daily_{kind}")
-    found = c.list_relations(t.spark, pattern="daily_*", prefix="daily_")
-    return union_relations({n: t.spark.table(n) for n in found})
+    try:
+        found = [n for n in c.list_relations(t.spark, pattern="daily_*", prefix="daily_") if n in names]
+        return union_relations({n: t.spark.table(n) for n in found})
+    finally:  # a frame keeps its plan, the names need not stay in the session
+        for name in names:
+            t.spark.catalog.dropTempView(name)
 
 
 @query("export_csv", [30], "select n_nationkey, n_name from nation")

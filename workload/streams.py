@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.session import work_path
+from tidemark.session import materialize, work_path
 from tidemark.sources import load
 from tidemark.streaming import jobs
-from tidemark.streaming.logs import HistoryLog, SumLog, UpsertLog
+from tidemark.operators.states import State, build_states, query_projection
+from tidemark.streaming.logs import HistoryLog, RollupLog, SumLog, UpsertLog
 
 from .registry import query
 
@@ -125,3 +126,41 @@ def stream_scd2(t):
     table = HistoryLog(t.spark, work_path(t.spark, "scd2"), ["c_custkey"], ["segment"], "changed_at")
     jobs.run_to_end(jobs.stream_scd2(jobs.file_stream(t.spark, path, schema, max_files=1), table))
     return table.compact()
+
+
+_STATES = {"n": State("count"), "users": State("count_distinct", "user_id"), "mean_value": State("avg", "cast(round(value * 100) as bigint)"),
+           "first_ts": State("min", "ts"), "last_ts": State("max", "ts"), "about_users": State("approx_count_distinct", "user_id"),
+           "median_id": State("approx_quantile", "event_id"), "p90_id": State("approx_quantile", "event_id", 0.9)}
+_FINISHED = """{keys} count(*) as n, count(distinct user_id) as users, round(avg(round(value * 100)::bigint), 6) as mean_value,
+      min(ts) as first_ts, max(ts) as last_ts, true as users_near, true as median_near, true as p90_near from events"""
+
+
+def _near(t, done, keys):
+    """Sketches beside what they stand for: within their stated errors, or not."""
+    rank = lambda q: F.sum(F.when(F.col("event_id") <= F.col(q), 1).otherwise(0)) / F.count("*")
+    name = {k: F.col(f"d.{k}") for k in keys}
+    ids = t.events.withColumn("day", F.col("ts").cast("date")).select("event_id", *keys)
+    match = [F.col(f"e.{k}").eqNullSafe(F.col(f"d.{k}")) for k in keys] or [F.lit(True)]
+    both = ids.alias("e").join(F.broadcast(done).alias("d"), match)
+    few = F.lit(1) / F.count("*")  # one row's share, where a group is small
+    near = both.groupBy(*[c.alias(k) for k, c in name.items()], *[F.col(f"d.{c}") for c in ("n", "users", "mean_value", "first_ts", "last_ts", "about_users")]).agg(
+        (F.abs(rank("median_id") - 0.5) <= 0.02 + few).alias("median_near"), (F.abs(rank("p90_id") - 0.9) <= 0.02 + few).alias("p90_near"))
+    return near.select(*keys, "n", "users", F.round("mean_value", 6).alias("mean_value"), "first_ts", "last_ts",
+                       (F.abs(F.col("about_users") - F.col("users")) <= 0.03 * F.col("users") + 1).alias("users_near"), "median_near", "p90_near")
+
+
+@query("rollup_states", [252, 101], f"select {_FINISHED.format(keys='event_type,')} group by 1")
+def rollup_states(t):
+    """Distinct counts, averages and quantiles of a stream, kept by day and asked for by event type."""
+    path, schema = _deliveries(t, _by_week(t.events))
+    stream = jobs.file_stream(t.spark, path, schema, max_files=1).withColumn("day", F.col("ts").cast("date"))
+    table = RollupLog(t.spark, work_path(t.spark, "states"), ["day", "event_type"], _STATES, fan=2)
+    jobs.run_to_end(jobs.incremental_rollup(stream, table))
+    return _near(t, table.read(["event_type"]), ["event_type"])
+
+
+@query("projection_states", [101], f"select {_FINISHED.format(keys='ts::date as day,')} group by 1")
+def projection_states(t):
+    """A projection by day and type answers a question by day."""
+    stored = materialize(build_states(t.events.withColumn("day", F.col("ts").cast("date")), ["day", "event_type"], _STATES), "projection")
+    return _near(t, query_projection(stored, ["day"], _STATES), ["day"])
