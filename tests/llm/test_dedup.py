@@ -1,6 +1,7 @@
 """Exact and near duplicates against plain versions."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -27,16 +28,25 @@ def plain_exact(rows):
     return out
 
 
-@pytest.mark.parametrize("runs, fan_in", [(1, 2), (7, 2), (64, 8)])
-def test_exact(messy, varied, runs, fan_in):
+@pytest.mark.parametrize("runs", [1, 7, 16])
+def test_exact(messy, varied, runs):
     for docs in (messy, varied.repartition(5)):
-        got = exact_dedup.exact_duplicates(docs, runs=runs, fan_in=fan_in).collect()
+        got = exact_dedup.exact_duplicates(docs, runs=runs).collect()
         rows = docs.select("doc_id", "text").collect()
         assert sorted(map(str, ((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got))) == sorted(map(str, plain_exact(rows)))
         kept = [r for r in got if r.kept]
         assert len(kept) == len({r.text_sha256 for r in got}) and all(r.doc_id == r.keep_id for r in kept)
 
 
+def test_exact_runs_meet_in_binomial_rounds(varied):
+    """One exchange per round after the first fold, and sorted streams: no round sorts again to fold."""
+    plan = exact_dedup._merge_runs(exact_dedup.pick(varied, doc_id="doc_id", text="text").selectExpr(
+        "doc_id", "doc_id as row", "unhex(sha2(text, 256)) as digest", "xxhash64(text) as check", "length(text) as length", "length(text) as points"), 8)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning(run") == 4 and text.count("REPARTITION_BY_NUM") == 3
+    assert text.count("Sort [run") == 2 + 3 and "Python" not in text and "Arrow" not in text
+
+
 def test_exact_hot_and_cold_groups(spark, monkeypatch):
     docs = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'same' ELSE 't' || (id % 500) END AS text")
     monkeypatch.setattr(exact_dedup, "HOT_GROUPS", 10)
@@ -89,7 +99,7 @@ def test_fingerprints(messy, varied):
         assert got == want
 
 
-@pytest.mark.parametrize("partitions", [4, 5])
+@pytest.mark.parametrize("partitions", [None, 2, 3, 4, 5])
 def test_links_of_clustered_prints(spark, partitions):
     """Chains, a dense ball and scattered prints: the components are those of all pairs."""
     pick = random.Random(3)
@@ -117,11 +127,37 @@ def test_links_of_clustered_prints(spark, partitions):
 
 def test_allocation_covers_the_distance():
     pick = np.random.default_rng(1)
-    for parts in (4, 5, 7):
-        counts = [pick.integers(0, 9, 1 << (64 // parts)).astype(float) for _ in range(parts)]
-        chosen = simhash.allocate(counts, 4)
+    for parts in (2, 3, 4, 5, 7):
+        costs = [np.sort(pick.uniform(0, 9, 5)).tolist() for _ in range(parts)]
+        cost, chosen = simhash.allocate(costs, 4)
         # Whatever way 4 differing bits fall, one partition holds at most its threshold.
         assert sum(t + 1 for t in chosen) == 5 and min(chosen) >= -1
+        every = [c for c in itertools.product(range(-1, 5), repeat=parts) if sum(t + 1 for t in c) == 5]
+        assert cost == pytest.approx(min(sum(own[t] for own, t in zip(costs, c) if t >= 0) for c in every))
+
+
+def test_candidates_do_not_follow_the_rows():
+    """Probes and candidates of a fingerprint stay near constant from 1e5 to 1e9 rows; four fixed partitions would not."""
+    pick = np.random.default_rng(7)
+    sample = pick.integers(0, 2 ** 63, 2048).astype(np.uint64) * np.uint64(2) + pick.integers(0, 2, 2048).astype(np.uint64)
+    shares, none = np.full(64, 0.5), np.eye(64)
+    costs = {n: simhash.choose_layout(none, shares, n, sample, 4) for n in (10 ** 4, 10 ** 5, 10 ** 6, 10 ** 7, 10 ** 8, 10 ** 9)}
+    assert [len(costs[n][0]) for n in sorted(costs)] == sorted((len(costs[n][0]) for n in costs), reverse=True)
+    assert max(c[2] for c in costs.values()) < 1000 and costs[10 ** 7][2] < 10 * costs[10 ** 5][2]
+    assert simhash.choose_layout(none, shares, 10 ** 9, sample, 4, 4)[2] > 100_000
+    assert all(sum(t + 1 for t in c[1]) == 5 and sorted(b for g in c[0] for b in g) == list(range(64)) for c in costs.values())
+
+
+def test_estimated_candidates_are_those_counted():
+    pick = np.random.default_rng(3)
+    prints = pick.integers(0, 2 ** 63, 3000).astype(np.uint64)
+    bits = list(range(10, 22))
+    shares = np.array([((prints >> np.uint64(b)) & np.uint64(1)).mean() for b in range(64)])
+    own = (prints >> np.uint64(10)) & np.uint64(0xFFF)
+    apart = np.bitwise_count(own[:, None] ^ own[None, :])
+    for t, share in enumerate(simhash.pair_shares(prints[:1500], shares, bits, 2)):
+        exact = ((apart <= t).sum() - len(own)) / (len(own) * (len(own) - 1))
+        assert 0.8 * exact < share < 1.3 * exact
 
 
 def test_near_duplicates(messy, varied):

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import bpe, exact_dedup, language_model, mix, quality, queries, simhash, toxicity
+from tidemark.llm import bpe, exact_dedup, labelled, language_model, mix, quality, queries, simhash, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -73,13 +73,76 @@ def test_classifiers_on_messy_rows(messy, empty, marked, spark):
 
 
 def test_long_texts_score_by_blocks(monkeypatch):
-    text = " ".join(f"w{i % 50} A{i % 7}" for i in range(3000))
-    for module, grams, bound in ((toxicity, toxicity.character_grams, "_BLOCK"), (quality, quality.word_grams, "_CHARACTERS")):
+    text = " ".join(f"w{i % 50} A{i % 7}" for i in range(3000)) + " same same same Same" * 40
+    for module, grams, bound, size in ((toxicity, toxicity.character_grams, "_BLOCK", 5000), (quality, quality.word_grams, "_BLOCK_WORDS", 5000),
+                                       (quality, quality.word_grams, "_BLOCK_WORDS", 4), (quality, quality.word_grams, "_BLOCK_WORDS", 1)):
+        monkeypatch.setattr(module, bound, 1 << 20)
         whole = {int(b) for part in next(iter(grams([text]))) for b in part}
-        monkeypatch.setattr(module, bound, 5000)
+        monkeypatch.setattr(module, bound, size)
         blocks = {int(b) for part in next(iter(grams([text]))) for b in part}
-        # Character blocks overlap, so nothing is lost; a word block may cut one word.
-        assert whole <= blocks if module is toxicity else len(whole - blocks) <= 8 * (len(text) // 5000 + 1)
+        # Blocks overlap by what an n-gram needs, and no word is cut.
+        assert whole == blocks
+
+
+def plain_counts(rows, grams):
+    """Documents of either class that have a feature, one by one."""
+    counts = {}
+    for text, label in rows:
+        for bucket in {int(b) for part in next(iter(grams([text]))) for b in part}:
+            counts.setdefault(bucket, [0, 0])[label] += 1
+    return counts
+
+
+@pytest.mark.parametrize("module, grams", [("toxic", toxicity.character_grams), ("quality", quality.word_grams)])
+def test_counts_and_ratios(spark, marked, module, grams):
+    docs, labels = marked
+    labelled_rows = docs.select("doc_id", "text").join(labels, "doc_id").selectExpr("doc_id", "text", f"{module} as label").limit(60)
+    rows = [(r.text, r.label) for r in labelled_rows.collect()]
+    sample = spark.createDataFrame([(i, y, t) for i, (t, y) in enumerate(rows)], "doc_id long, label int, text string")
+    want = plain_counts(rows, grams)
+    counts = labelled.count_features(sample, grams)
+    assert {r.bucket: [r.n0, r.n1] for r in counts.collect()} == want
+    totals = (sum(y == 0 for _, y in rows), sum(y == 1 for _, y in rows))
+    ratio = {b: math.log((n1 + 1) / (totals[1] + 2)) - math.log((n0 + 1) / (totals[0] + 2)) for b, (n0, n1) in want.items()}
+    ranked = sorted((b for b, n in want.items() if sum(n) >= 3), key=lambda b: (-round(abs(ratio[b]) * math.sqrt(sum(want[b])), 9), b))[:40]
+    chosen = labelled.select_features(counts, totals, size=40)
+    assert len(set(chosen.buckets.tolist()) ^ set(ranked)) <= 2  # ties at the end of the list
+    assert all(abs(r - ratio[int(b)]) < 1e-9 for b, r in zip(chosen.buckets, chosen.ratios))
+
+
+def test_hinge_loss_is_least():
+    """Dual coordinate descent ends where no small step lowers the loss it is meant to lower."""
+    pick = np.random.default_rng(4)
+    ratios = pick.normal(size=30)
+    rows = [np.flatnonzero(pick.random(30) < 0.3) for _ in range(80)]
+    labels = np.array([int(ratios[r].sum() + pick.normal() > 0) for r in rows])
+    weights, bias = quality.fit_hinge(labels, rows, ratios, cost=0.5, rounds=3000)
+    x = np.zeros((80, 31))
+    for i, r in enumerate(rows):
+        x[i, r] = ratios[r]
+    x[:, -1] = 1
+    signs = labels * 2.0 - 1
+
+    def loss(w):
+        return w @ w / 2 + 0.5 * np.maximum(0, 1 - signs * (x @ w)).sum()
+
+    best = np.append(weights / ratios, bias)
+    assert all(loss(best + 0.02 * d) > loss(best) - 1e-3 for d in pick.normal(size=(300, 31)) / 5)
+    assert loss(best) < loss(best * 0.9) and loss(best) < loss(best * 1.1)
+
+
+def test_logistic_loss_is_least():
+    pick = np.random.default_rng(6)
+    ratios = pick.normal(size=20)
+    rows = [np.flatnonzero(pick.random(20) < 0.4) for _ in range(60)]
+    labels = np.array([int(ratios[r].sum() + pick.normal() > 0) for r in rows])
+    weights, bias = toxicity.fit_logistic(labels, rows, ratios)
+    x = np.zeros((60, 20))
+    for i, r in enumerate(rows):
+        x[i, r] = ratios[r]
+    w = weights / ratios
+    p = 1 / (1 + np.exp(-(x @ w + bias)))
+    assert np.abs(x.T @ (p - labels) + w).max() < 1e-2 and abs((p - labels).sum()) < 1e-2
 
 
 def test_log_levels():
@@ -97,7 +160,7 @@ def test_filter_reads_back_counts(spark):
         halves = [language_model._pack_counts(grams, counts, bits), language_model._pack_counts(grams[::2], counts[::2], bits)]
         rows = [tuple(r.values()) for h in halves for r in h.to_pylist()]
         built = language_model.build_segments(spark.createDataFrame(rows, language_model._PACKED), 2.0, 10.0)
-        held = language_model.load_filter(built, 0, (1 << bits) - 1, bits, 2.0)
+        held = language_model.SharedFilter(built, 0, (1 << bits) - 1, bits, 2.0).made('pairs')
         total = counts.copy()
         total[::2] *= 2
         found = held.counts(grams)
@@ -112,7 +175,7 @@ def test_false_hits_at_the_default_size(spark):
     grams = np.unique(pick.integers(0, 2**63, 50_000).astype(np.uint64) * np.uint64(2))
     rows = [tuple(r.values()) for r in language_model._pack_counts(grams, np.ones(len(grams), np.int64), 0).to_pylist()]
     built = language_model.build_segments(spark.createDataFrame(rows, language_model._PACKED), 2.0, language_model.BITS_PER_ENTRY)
-    held = language_model.load_filter(built, 0, 0, 0, 2.0)
+    held = language_model.SharedFilter(built, 0, 0, 0, 2.0).made('pairs')
     strange = held.counts(pick.integers(0, 2**63, 200_000).astype(np.uint64) * np.uint64(2) + np.uint64(1))
     assert (strange > 0).mean() < 0.039  # 3.6 % with four hashes at 7 bits, 4.2 % with three
 
@@ -142,6 +205,57 @@ def test_language_model(messy, varied, empty, small):
     assert len(language_model.score_texts(varied, F.lit(False)).collect()) == varied.count()
 
 
+def plain_scores(rows, mass=language_model.MASS):
+    """log10 probabilities from exact counts, each replaced by what its level stands for."""
+    train, pairs, texts = Counter(), Counter(), 0
+    for r in rows:
+        if zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 10:
+            words, texts = language_model.tokens(r.text), texts + 1
+            train.update(words)
+            pairs.update(zip([None, *words], words))
+    total, distinct = sum(train.values()), len(train)
+
+    def known(n):
+        return language_model.level_counts(2.0)[language_model.quantise(np.array([n]), 2.0)[0]] if n else 0.0
+
+    out = []
+    for r in rows:
+        score, words = 0.0, language_model.tokens(r.text)
+        for before, word in zip([None, *words], words):
+            history = texts if before is None else known(train[before])
+            together = min(known(pairs[before, word]), history)
+            score += math.log10((together + mass * (known(train[word]) + 0.1) / (total + 0.1 * (distinct + 1))) / (history + mass))
+        out.append((r.doc_id, round(score, 6)))
+    return sorted(out, key=str)
+
+
+def test_scores_of_exact_counts(messy, varied):
+    """With hardly any false hits the filter's scores are those of exact pair counts."""
+    for docs in (messy, varied):
+        got = language_model.score_texts(docs, ~queries.held_out(10, 0), bits_per_entry=200.0).collect()
+        assert sorted(((r.doc_id, round(r.score, 6)) for r in got), key=str) == plain_scores(docs.select("doc_id", "text").collect())
+
+
+def test_counts_beyond_32_bits(spark):
+    grams, counts = np.array([5 << 40, 9 << 40], np.uint64), np.array([1 << 40, 3])
+    rows = [tuple(r.values()) for r in language_model._pack_counts(grams, counts, 0).to_pylist()]
+    built = language_model.build_segments(spark.createDataFrame(rows, language_model._PACKED), 2.0, 100.0)
+    held = language_model.SharedFilter(built, 0, 0, 0, 2.0).made("pairs")
+    assert held.levels(grams).tolist() == [41, 2]
+
+
+def test_workers_map_the_filter(spark):
+    """A worker maps the bytes of the broadcast, and finds in them what was sent."""
+    sent = spark.sparkContext.broadcast(bytes(range(256)) * 5000)
+
+    def look(_):
+        data = language_model.mapped_bytes(sent)
+        yield type(data).__name__, len(data), int(data[:256].astype(int).sum()), int(data[-1])
+
+    assert set(spark.sparkContext.parallelize(range(2), 2).mapPartitions(look).collect()) == {("memmap", 1_280_000, 32_640, 255)}
+    assert len(language_model.mapped_bytes(sent)) == 1_280_000
+
+
 def test_scores_do_not_depend_on_the_filter_bound(spark):
     """Parts of the filters of words and pairs give the scores of whole ones: no entry gets fewer bits."""
     pick = random.Random(4)

@@ -128,14 +128,15 @@ def training_rows(sample: DataFrame, featurize: Featurize, selected: Selected,
 
 
 def _scorer(docs: DataFrame, featurize: Featurize, model: Linear, bucket_bits: int) -> Callable[[pa.Array], np.ndarray]:
+    # arrays alone: a broadcast names classes by their module, which workers need not have
     shared = docs.sparkSession.sparkContext.broadcast(
-        (_dense(model.buckets, np.arange(1, len(model.buckets) + 1), bucket_bits, np.int32), model))
+        (_dense(model.buckets, np.arange(1, len(model.buckets) + 1), bucket_bits, np.int32), np.asarray(model.weights, float)))
+    bias, slope, shift = float(model.bias), float(model.slope), float(model.shift)
 
     def scores(texts: pa.Array) -> np.ndarray:
-        numbers, fitted = shared.value
-        margins = [fitted.weights[present(parts, numbers)].sum() + fitted.bias
-                   for parts in featurize([t or "" for t in texts.to_pylist()])]
-        return 1 / (1 + np.exp(-np.clip(fitted.slope * np.array(margins, float) + fitted.shift, -500, 500)))
+        numbers, weights = shared.value
+        margins = [weights[present(parts, numbers)].sum() + bias for parts in featurize([t or "" for t in texts.to_pylist()])]
+        return 1 / (1 + np.exp(-np.clip(slope * np.array(margins, float) + shift, -500, 500)))
 
     return scores
 

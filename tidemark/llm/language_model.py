@@ -30,6 +30,8 @@ from __future__ import annotations
 
 import itertools
 import math
+import os
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,7 +43,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SharedTable, materialize, most_frequent, pick, vocabulary
+from tidemark.llm.common import SharedTable, materialize, most_frequent, per_process, pick, vocabulary
 
 END = b"\xff"  # a byte that no text in UTF-8 has
 HEAD_WORDS = 1 << 18
@@ -214,7 +216,7 @@ def _pack_counts(grams: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordB
         steps = np.diff(_rest(some, bits), prepend=np.uint64(0))
         rows[0].append(int(_segment(some[:1], bits)[0]))
         rows[1].append(press(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()))
-        rows[2].append(press(seen.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()))
+        rows[2].append(press(seen.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()))
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()),
                                        pa.array(rows[2], pa.binary())], ["segment", "grams", "counts"])
 
@@ -252,7 +254,7 @@ def _word_counts(bits: int):
             if batch.num_rows:
                 grams = word_grams(np.fromiter(map(xxhash.xxh64_intdigest, batch.column(0).to_pylist()), np.uint64, batch.num_rows))
                 order = np.argsort(grams)
-                yield _pack_counts(grams[order], np.minimum(batch.column(1).to_numpy(), 0xFFFFFFFF)[order], bits)
+                yield _pack_counts(grams[order], batch.column(1).to_numpy()[order], bits)
 
     return run
 
@@ -267,7 +269,7 @@ def build_segments(packed: DataFrame, base: float, bits_per_entry: float) -> Dat
     def build(group: pa.Table) -> pa.Table:
         rows = group.to_pydict()
         every = np.concatenate([np.cumsum(_planes(g, 8, "<u8")) for g in rows["grams"]])
-        counts = np.concatenate([_planes(c, 4, "<u4") for c in rows["counts"]]).astype(np.int64)
+        counts = np.concatenate([_planes(c, 8, "<u8") for c in rows["counts"]]).astype(np.int64)
         order = np.argsort(every)
         every, counts = every[order], counts[order]
         starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
@@ -284,25 +286,83 @@ def build_segments(packed: DataFrame, base: float, bits_per_entry: float) -> Dat
     return packed.groupBy("segment").applyInArrow(build, "segment int, bits long, data binary")
 
 
-def load_filter(segments: DataFrame, first: int, last: int, bits: int, base: float) -> LogBloom:
-    """Segments first .. last on the driver, to be broadcast; their bytes have been bounded by the caller."""
-    sizes, offsets = np.zeros(last - first + 1, np.uint64), np.zeros(last - first + 1, np.int64)
-    some = segments.where(F.col("segment").between(first, last))
-    data = np.zeros(max(1, some.agg(F.sum(F.length("data"))).first()[0] or 0), np.uint8)
-    at = 0
-    for row in some.toLocalIterator():
-        sizes[row.segment - first], offsets[row.segment - first] = row.bits, at
-        data[at:at + len(row.data)] = np.frombuffer(row.data, np.uint8)
-        at += len(row.data)
-    return LogBloom(bits, first, sizes, offsets, data, base)
+class SharedFilter:
+    """A run of segments sent to all executors as plain bytes, which their Python workers map instead of holding a copy each."""
+
+    def __init__(self, segments: DataFrame, first: int, last: int, bits: int, base: float):
+        some = segments.where(F.col("segment").between(first, last))
+        sizes, offsets = np.zeros(last - first + 1, "<u8"), np.zeros(last - first + 1, "<i8")
+        octets = some.agg(F.sum(F.length("data"))).first()[0] or 0
+        head = len(sizes) * 16
+        data, at = bytearray(head + max(1, octets)), 0  # bounded by the caller
+        for row in some.toLocalIterator():
+            sizes[row.segment - first], offsets[row.segment - first] = row.bits, at
+            data[head + at:head + at + len(row.data)] = row.data
+            at += len(row.data)
+        data[:head] = sizes.tobytes() + offsets.tobytes()
+        self.first, self.bits, self.base, self.length, self.key = first, bits, base, len(sizes), uuid.uuid4().hex
+        self.sent = segments.sparkSession.sparkContext.broadcast(bytes(data))
+
+    def made(self, kind: str) -> LogBloom:
+        """The filter; the last one of its kind is kept by a process."""
+
+        def make():
+            data, n = mapped_bytes(self.sent), self.length
+            return LogBloom(self.bits, self.first, data[:8 * n].view("<u8"), data[8 * n:16 * n].view("<i8"), data[16 * n:], self.base)
+
+        return per_process(kind, self.key, make)
+
+
+def mapped_bytes(sent) -> np.ndarray:
+    """Bytes of a broadcast, mapped from the file that Spark keeps for the Python workers of an executor.
+
+    That file is a pickle of one bytes object: two bytes of protocol, the
+    opcode, the length and the bytes. If there is no such file, as on the driver
+    or with encryption, the value is read the usual way.
+    """
+    path = getattr(sent, "_path", None)
+    try:
+        size = os.path.getsize(path)
+        with open(path, "rb") as file:
+            head = file.read(16)
+        width = {0x42: 4, 0x8E: 8}[head[2]]  # fixed values: opcodes of bytes with a length of 4 and of 8 bytes
+        length = int.from_bytes(head[3:3 + width], "little")
+        if head[0] == 0x80 and 3 + width + length < size <= 3 + width + length + 16:
+            return np.memmap(path, np.uint8, "r", 3 + width, (length,))
+    except (TypeError, OSError, KeyError, IndexError):
+        pass
+    return np.frombuffer(sent.value, np.uint8)
+
+
+class FrequentWords:
+    """Counts of the most frequent words, found by their sorted hashes and verified by their bytes."""
+
+    def __init__(self, table: pa.Table):
+        words = table["word"].combine_chunks()
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), np.uint64, len(words))
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.words = hashes[order], words.take(pa.array(order))
+        self.counts = table["n"].to_numpy()[order]
+
+    def look_up(self, words: list[bytes], hashes: np.ndarray) -> np.ndarray:
+        """Count of each word, 0 for those that are not frequent."""
+        out = np.zeros(len(words))
+        at = np.searchsorted(self.hashes, hashes)
+        near = np.append(self.hashes, np.uint64(0))[at] == hashes
+        for i in np.flatnonzero(near & (at < len(self.hashes))).tolist():
+            place = int(at[i])
+            while place < len(self.hashes) and self.hashes[place] == hashes[i]:
+                if self.words[place].as_py() == words[i]:
+                    out[i] = self.counts[place]
+                place += 1
+        return out
 
 
 def _runs_of_segments(segments: DataFrame, count: int, max_bytes: int) -> list[tuple[int, int]]:
     """Runs of neighbouring segments with at most `max_bytes` together."""
-    sizes = {r.segment: r.size for r in segments.select("segment", F.length("data").alias("size")).collect()}
+    sizes = segments.select("segment", F.length("data").alias("size")).toArrow().sort_by("segment")
     runs, first, total = [], 0, 0
-    for segment in range(count):
-        size = sizes.get(segment, 0)
+    for segment, size in zip(sizes["segment"].to_pylist(), sizes["size"].to_pylist()):
         if total + size > max_bytes and segment > first:
             runs.append((first, segment - 1))
             first, total = segment, 0
@@ -330,7 +390,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     head = SharedTable(most_frequent(words, head_words))
 
     def segment_bits(grams: int) -> int:
-        return min(24, max(0, math.ceil(math.log2(max(1, grams) / segment_grams))))
+        return min(30, max(0, math.ceil(math.log2(max(1, grams) / segment_grams))))
 
     word_bits, pair_bits = segment_bits(distinct), segment_bits(total)
     word_segments = materialize(build_segments(words.mapInArrow(_word_counts(word_bits), _PACKED), base, bits_per_entry), "word_filter")
@@ -342,13 +402,13 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     if len(runs) > 1 or len(word_runs) > 1:  # several passes must see the same row numbers
         numbered = materialize(numbered, "rows")
     if len(word_runs) == 1:
-        word_filter = spark.sparkContext.broadcast(load_filter(word_segments, *word_runs[0], word_bits, base))
+        word_filter = SharedFilter(word_segments, *word_runs[0], word_bits, base)
     else:
         word_filter, numbered = None, _with_word_levels(numbered, word_segments, word_runs, word_bits, base)
     rest = "array<struct<word:binary,times:long>>"
     parts = []
     for number, (first, last) in enumerate(runs):
-        pair_filter = spark.sparkContext.broadcast(load_filter(pair_segments, first, last, pair_bits, base))
+        pair_filter = SharedFilter(pair_segments, first, last, pair_bits, base)
         parts.append(numbered.mapInArrow(
             _scored(pair_filter, word_filter, head if number == 0 else None, total, distinct, texts, mass, base),
             f"row long, doc_id long, n_tokens long, known long, base double, score double, rest {rest}"))
@@ -380,7 +440,7 @@ def _word_levels(word_filter):
     """Rows to the levels of their tokens, a byte each; 0 for words whose segment is in another part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_filter.value
+        words = word_filter.made("words")
 
         def describe(new, hashes):
             grams = word_grams(hashes)
@@ -403,9 +463,9 @@ def _with_word_levels(numbered: DataFrame, segments: DataFrame, runs: list[tuple
     """Rows with `levels`, one array of bytes for each part of the filter of single words."""
     spark, every = numbered.sparkSession, None
     for first, last in runs:
-        word_filter = spark.sparkContext.broadcast(load_filter(segments, first, last, bits, base))
+        word_filter = SharedFilter(segments, first, last, bits, base)
         part = materialize(numbered.select("row", "text").mapInArrow(_word_levels(word_filter), "row long, levels binary"), "word_levels")
-        word_filter.unpersist()
+        word_filter.sent.unpersist()
         every = part if every is None else every.unionByName(part)
     levels = every.groupBy("row").agg(F.collect_list("levels").alias("levels"))
     return materialize(numbered.join(levels, "row").select("row", "doc_id", "text", "levels"), "levelled")
@@ -421,12 +481,12 @@ def _scored(pair_filter, word_filter, head, total: int, distinct: int, texts: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scale = total + 0.1 * (distinct + 1)
-        frequent = head.made("counts", lambda t: dict(zip(t["word"].to_pylist(), t["n"].to_pylist()))) if head is not None else {}
-        pairs, words = pair_filter.value, word_filter.value if word_filter is not None else None
+        frequent = head.made("counts", FrequentWords) if head is not None else None
+        pairs, words = pair_filter.made("pairs"), word_filter.made("words") if word_filter is not None else None
 
         def describe(new, hashes):
             """Count in the filter, exact base score (0 for rare words), whether the word is frequent."""
-            exact = np.array([frequent.get(w, 0) for w in new], float)
+            exact = frequent.look_up(new, hashes) if frequent is not None else np.zeros(len(new))
             counts = words.counts(word_grams(hashes)) if words is not None else np.zeros(len(new))
             return np.stack([counts, np.where(exact > 0, np.log10((exact + 0.1) / scale), 0.0), exact > 0])
 

@@ -15,6 +15,7 @@ empty table gives an empty result; other columns are never looked at.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from tidemark.llm.common import pick
 from tidemark.llm.labelled import BUCKET_BITS, MAX_ROWS, SIZE, Linear, feature_training, keep_texts, score_texts
 
 _WORDS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-_CHARACTERS = 1 << 20
+_BLOCK_WORDS = 1 << 18
 
 
 def _form(word: str) -> str:
@@ -41,7 +42,7 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
 
 
 def word_grams(texts: list[str]) -> Iterator[Iterator[np.ndarray]]:
-    """Buckets of all word n-grams, a million characters at a time."""
+    """Buckets of all word n-grams, a block of words at a time; the blocks make no difference to the set."""
     known: dict[str, int] = {}
     forms: dict[str, int] = {}
 
@@ -56,21 +57,20 @@ def word_grams(texts: list[str]) -> Iterator[Iterator[np.ndarray]]:
                 np.fromiter(map(forms.__getitem__, words), np.uint64, len(words)))
 
     def parts(text: str) -> Iterator[np.ndarray]:
-        last = np.empty(0, np.uint64), np.empty(0, np.uint64)
-        for first in range(0, len(text), _CHARACTERS):
-            words = _WORDS.findall(text[first:first + _CHARACTERS])
-            if not words:
-                continue
+        # a block begins with the last three words before it; the first of them only tells whether the second repeats it
+        last, factor = (np.empty(0, np.uint64), np.empty(0, np.uint64)), np.uint64(0x9E3779B97F4A7C15)
+        found = (match[0] for match in _WORDS.finditer(text))
+        while words := list(itertools.islice(found, _BLOCK_WORDS)):
+            known_before = 1 if len(last[0]) == 3 else 0
             own, form = (np.concatenate(both) for both in zip(last, numbers(words)))
-            factor = np.uint64(0x9E3779B97F4A7C15)
+            last = own[-3:], form[-3:]
             repeats = np.concatenate([[False], own[1:] == own[:-1]])
-            form = np.where(repeats, form * np.uint64(31) + np.uint64(7), form)
-            same = np.where(repeats, np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA5A5A5A5A5A5A5A5))
+            form = np.where(repeats, form * np.uint64(31) + np.uint64(7), form)[known_before:]
+            same = np.where(repeats, np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA5A5A5A5A5A5A5A5))[known_before:]
             yield _bucket(own)
             yield _bucket(own[:-1] * factor + own[1:])
             yield _bucket((form[:-2] * factor + form[1:-1]) * factor + form[2:])
             yield _bucket((same[:-2] * factor + same[1:-1]) * factor + same[2:])
-            last = own[-2:], form[-2:]
 
     return map(parts, texts)
 

@@ -4,9 +4,14 @@ Method: a 64-bit fingerprint takes the majority of every bit over a text's word
 shingles. Bits that vary together are grouped into the same partition; each
 partition gets its own threshold, one of them being passed by any two
 fingerprints within the distance. Dynamic programming picks the thresholds with
-the least estimated number of candidates, from counts of all fingerprints.
-Fingerprints are probed with all values within the threshold, candidates are
-verified, and links are joined into components.
+the least estimated number of probes and candidates, and the number of
+partitions is that with the least cost: few rows take narrow partitions and few
+probes, many rows wide ones and thresholds above zero, so candidates per
+fingerprint do not follow the number of fingerprints. Costs come from the pairs
+of a bounded sample and from the shares of single bits over all rows; they
+choose the layout, every layout finds the same links. Fingerprints are probed
+with all values within the threshold, candidates are verified, and links are
+joined into components.
 
 Equal fingerprints are one node, so copies form no pairs. Every bucket is first
 linked to its smallest and largest fingerprint; after that only fingerprints of
@@ -24,6 +29,7 @@ where rows are dropped, carried along.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +42,9 @@ from tidemark.llm.common import join_groups, materialize, pick
 from tidemark.llm.graph import components
 
 BITS = 64
+SAMPLE = 4096  # fingerprints whose pairs tell costs
+MAX_PARTITIONS = 8
+MAX_PROBES = 1 << 10
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -74,8 +83,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "doc_id long, print long" + (", row long" if row_col else ""))
 
 
-def bit_correlations(nodes: DataFrame) -> np.ndarray:
-    """64 x 64 correlations of the bits over all fingerprints; what reaches the driver is 64 x 64 sums."""
+def bit_correlations(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """64 x 64 correlations of the bits over all fingerprints, the share of ones of each bit, and the rows; what reaches the driver is 64 x 64 sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.zeros((BITS, BITS), np.float64)
@@ -96,7 +105,7 @@ def bit_correlations(nodes: DataFrame) -> np.ndarray:
     n = max(nodes.count(), 1)
     share = np.diag(sums) / n
     spread = np.sqrt(np.maximum(share * (1 - share), 1e-12))
-    return (sums / n - np.outer(share, share)) / np.outer(spread, spread)
+    return (sums / n - np.outer(share, share)) / np.outer(spread, spread), share, n
 
 
 def group_bits(correlations: np.ndarray, partitions: int) -> list[list[int]]:
@@ -121,41 +130,62 @@ def masks_within(width: int, distance: int) -> list[int]:
     return [sum(1 << b for b in chosen) for k in range(distance + 1) for chosen in itertools.combinations(range(width), k)]
 
 
-def allocate(counts: list[np.ndarray], distance: int) -> list[int]:
-    """A threshold for each partition, -1 for none, adding up to distance - partitions + 1.
+def pair_shares(sample: np.ndarray, shares: np.ndarray, bits: list[int], distance: int) -> list[float]:
+    """Estimated share of all pairs that differ in at most t of the bits, for t = 0 .. distance.
 
-    `counts` are the fingerprints by value of each partition. The cost of a
-    threshold is its estimated candidates, from the counts of all value pairs
-    within it, and the probes it takes.
+    The sample's pairs show what goes together; what is too rare for them comes
+    from the single bits, as if they were independent.
+    """
+    alike = np.array([1.0])
+    for bit in bits:
+        differ = 2 * shares[bit] * (1 - shares[bit])
+        alike = np.append(alike * (1 - differ), 0) + np.append(0, alike * differ)
+    independent = np.cumsum(alike[:distance + 1])
+    seen = np.zeros(distance + 1)
+    if len(sample) > 1:
+        own = sum(((sample >> np.uint64(bit)) & np.uint64(1)) << np.uint64(i) for i, bit in enumerate(bits))
+        for first in range(0, len(own), 512):
+            apart = np.bitwise_count(own[first:first + 512, None] ^ own[None, :])
+            seen += [(apart <= t).sum() for t in range(distance + 1)]
+        seen = (seen - len(own)) / (len(own) * (len(own) - 1.0))
+    return np.maximum(independent, seen).tolist()
+
+
+def allocate(costs: list[list[float]], distance: int) -> tuple[float, list[int]]:
+    """Least cost and a threshold for each partition, -1 for none, adding up to distance - partitions + 1.
+
+    `costs` are those of the thresholds 0 .. distance of each partition.
     """
-    costs: list[dict[int, float]] = [{-1: 0.0} for _ in counts]
-    state = [(np.arange(len(c)), len(c).bit_length() - 1, [0.0, 0]) for c in counts]
-
-    def price(i: int, t: int) -> float:
-        at, width, (total, seen) = state[i]
-        masks = masks_within(width, t)
-        total += sum(float((counts[i] * counts[i][at ^ mask]).sum()) for mask in masks[seen:])
-        state[i][2][:] = total, len(masks)
-        costs[i][t] = total + float(counts[i].sum()) * len(masks)
-        return costs[i][t]
-
-    # Equal thresholds bound the least cost; no threshold that alone costs more is looked into.
-    equal = -(-(distance + 1) // len(counts)) - 1
-    bound = sum(max(price(i, t) for t in range(equal + 1)) for i in range(len(counts)))
-    for i in range(len(counts)):
-        t = equal + 1
-        while t <= distance and price(i, t) <= bound:
-            t += 1
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-    for cost in costs:  # state: sum of (threshold + 1) so far
+    for own in costs:  # state: sum of (threshold + 1) so far
         step: dict[int, tuple[float, list[int]]] = {}
         for spent, (price, chosen) in best.items():
-            for t, more in cost.items():
+            for t, more in enumerate([0.0, *own], -1):
                 key = spent + t + 1
                 if key <= distance + 1 and (key not in step or price + more < step[key][0]):
                     step[key] = (price + more, [*chosen, t])
         best = step
-    return best[distance + 1][1]
+    return best[distance + 1]
+
+
+def choose_layout(correlations: np.ndarray, shares: np.ndarray, rows: int, sample: np.ndarray, distance: int,
+                  partitions: int | None = None) -> tuple[list[list[int]], list[int], float]:
+    """Groups of bits, their thresholds, and the estimated probes and candidates of a fingerprint."""
+    best = None
+    for number in range(2, MAX_PARTITIONS + 1) if partitions is None else [partitions]:
+        groups = group_bits(correlations, number)
+        costs = []
+        for bits in groups:
+            probes = [sum(math.comb(len(bits), k) for k in range(t + 1)) for t in range(distance + 1)]
+            found = pair_shares(sample, shares, bits, distance)
+            # a threshold of too many probes is none to write down as values
+            costs.append([p + rows * f if p <= MAX_PROBES else math.inf for p, f in zip(probes, found)])
+        cost, thresholds = allocate(costs, distance)
+        if best is None or cost < best[2]:
+            best = groups, thresholds, cost
+    if not math.isfinite(best[2]):
+        raise ValueError(f"no layout of {partitions} partitions has thresholds of at most {MAX_PROBES} probes")
+    return best
 
 
 def _value(bits: list[int]) -> Column:
@@ -164,7 +194,7 @@ def _value(bits: list[int]) -> Column:
     total = parts[0]
     for part in parts[1:]:
         total = total.bitwiseOR(part)
-    return total.cast("int")
+    return total
 
 
 def _near(a: str, b: str, distance: int) -> Column:
@@ -178,26 +208,23 @@ def _parts(groups: list[list[int]], masks: list[list[int]] | None = None) -> Col
         return F.array(*own)
 
     def lookups(i):
-        return F.transform(F.array(*map(F.lit, masks[i])), lambda m: F.struct(
+        return F.transform(F.array(*(F.lit(m).cast("long") for m in masks[i])), lambda m: F.struct(
             F.lit(i).alias("part"), own[i]["value"].bitwiseXOR(m).alias("value")))
 
     return F.concat(*(lookups(i) for i in range(len(own)) if masks[i]))
 
 
-def near_links(nodes: DataFrame, distance: int = 4, partitions: int = 4) -> DataFrame:
-    """(node, root) of all fingerprints `print` within the distance of another one; root names the component."""
-    if not 4 <= partitions <= 16:
-        raise ValueError("partitions from 4 to 16: their values are counted in tables of 65536 entries at most")
-    groups = group_bits(bit_correlations(nodes), partitions)
+def near_links(nodes: DataFrame, distance: int = 4, partitions: int | None = None) -> DataFrame:
+    """(node, root) of all fingerprints `print` within the distance of another one; root names the component.
+
+    `partitions` fixes their number, which is otherwise chosen by cost.
+    """
+    order = F.xxhash64("print")
+    sample = nodes.select("print").orderBy(order).limit(SAMPLE).toArrow()["print"].to_numpy().view(np.uint64)
+    groups, thresholds, _ = choose_layout(*bit_correlations(nodes), sample, distance, partitions)
     index = materialize(nodes.select("print", F.explode(_parts(groups)).alias("x")).select("print", "x.part", "x.value"), "index")
     ends = materialize(index.groupBy("part", "value").agg(
         F.min("print").alias("low"), F.max("print").alias("high"), F.count(F.lit(1)).alias("n")), "buckets")
-    counts = [np.zeros(1 << len(bits)) for bits in groups]
-    seen = ends.select("part", "value", "n").toArrow()  # at most partitions * 65536 rows
-    parts, values, sizes = (seen[c].to_numpy() for c in ("part", "value", "n"))
-    for i, count in enumerate(counts):
-        count[values[parts == i]] = sizes[parts == i]
-    thresholds = allocate(counts, distance)
     masks = [masks_within(len(bits), t) if t >= 0 else [] for bits, t in zip(groups, thresholds)]
 
     hubs = index.join(ends.where("n > 1"), ["part", "value"]).select(
@@ -228,7 +255,7 @@ def near_links(nodes: DataFrame, distance: int = 4, partitions: int = 4) -> Data
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
-                    distance: int = 4, partitions: int = 4) -> DataFrame:
+                    distance: int = 4, partitions: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id): 16 hex digits, and the smallest id reachable over links of `distance` bits."""
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "prints")
     nodes = materialize(rows.groupBy("print").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("members")), "nodes")
@@ -243,7 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
-                         distance: int = 4, partitions: int = 4) -> DataFrame:
+                         distance: int = 4, partitions: int | None = None) -> DataFrame:
     """One row of each component, with all columns: the one with the smallest id, a null id after all others, then the first row."""
     lower = [c.lower() for c in docs.columns]
     id_at, text_at = (docs.columns.index(c) if c in docs.columns else lower.index(c.lower()) for c in (id_col, text_col))
