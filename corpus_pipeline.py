@@ -3,6 +3,13 @@
 Each stage works on all rows its predecessor kept. `run` writes every stage's
 result to the shared folder and reads it again, so a lost executor costs one
 stage at most.
+
+Defined results: a null text counts as empty in every stage. The quality stage
+scores rows one by one, so repeated rows stay or go together; the two dedup
+stages keep one row of each group, a null id after all others; the mixing stage
+repeats rows under their own id, and names rows without an id by their text; the
+encoding stage returns one row for each row it gets. Columns beside those of
+documents are carried along to the last stage. An empty table stays empty.
 """
 
 from __future__ import annotations
