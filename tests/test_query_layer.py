@@ -189,6 +189,15 @@ def test_interval_candidates_do_not_follow_the_span(spark):
     assert found[1] == 10_000 and found[0] < 1.3 * found[1]
 
 
+def test_few_ranges_do_not_cost_a_level():
+    """A row per point and level against blocks per range; no range goes far below its own level."""
+    assert j._levels_to_use({}, 100) == {}
+    assert j._levels_to_use({42: 40_000, 44: 20_000}, 10**9) == {42: 42, 44: 42}
+    assert j._levels_to_use({42: 40_000, 44: 20_000}, 10) == {42: 42, 44: 44}
+    few = j._levels_to_use({n: 1 for n in range(0, 62, 2)}, 10**12)
+    assert all(0 <= n - low <= j.MAX_GAP for n, low in few.items()) and len(set(few.values())) == 5
+
+
 def test_conversion_of_a_busy_user_goes_by_chunks(spark, monkeypatch):
     events = spark.range(40_000).selectExpr("1 as u", "case when id % 100 = 7 then 'buy' else 'view' end as kind", "timestamp_seconds(id div 4) as ts")
     seen, plain = [], ordered.in_chunks

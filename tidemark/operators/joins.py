@@ -108,7 +108,8 @@ def key_lookup(df: DataFrame, dictionary: DataFrame, on: Mapping[str, str], defa
 
 
 DEPTH = 3  # blocks are an eighth of a range or smaller
-STEP = 2  # lengths of blocks are powers of 4, which halves the levels that points look up
+STEP = 2  # lengths of blocks are powers of 4
+MAX_GAP = 12  # a range takes blocks at most 2^12 times shorter than its own
 
 
 def _instant(value: Column, kind: str) -> Column:
@@ -116,41 +117,59 @@ def _instant(value: Column, kind: str) -> Column:
     return value.cast("bigint") if kind in ("tinyint", "smallint", "int", "bigint") else F.unix_micros(value.cast("timestamp"))
 
 
-def _cover(first: Column, last: Column) -> Column:
-    """Aligned blocks (level, block) of 2^level points that cover [first, last], as an array of 17 at most.
+def _own_level(length: Column) -> Column:
+    """The level whose blocks, of 2^level points, are between an eighth and a 32nd of a range; short ranges have level 0."""
+    return F.greatest((F.floor((F.length(F.bin(F.greatest(length, F.lit(0)))) - DEPTH) / STEP) * STEP).cast("int"), F.lit(0))
 
-    A range chooses the length of its blocks by its own, so what they reach
-    beyond its ends is little, and blocks double as ranges do.
+
+def _levels_to_use(ranges: Mapping[int, int], points: int) -> dict[int, int]:
+    """The level that ranges of each own level take: the same one or a lower one, with the fewest rows in all.
+
+    Every level in use costs a row per point, a range on a lower level than
+    its own costs more blocks.
     """
-    bits = F.length(F.bin(F.greatest(last - first, F.lit(0))))
-    level = F.greatest((F.floor((bits - DEPTH) / STEP) * STEP).cast("int"), F.lit(0))
-    block = lambda x: F.call_function("shiftright", x, level)
-    return F.transform(F.sequence(block(first), F.greatest(block(last), block(first))), lambda b: F.struct(level.alias("_level"), b.alias("_block")))
+    own = sorted(ranges)
+    best: list[tuple[int, list[int]]] = [(0, [])]  # by number of levels served: rows, levels in use
+    for served in range(1, len(own) + 1):
+        tries = []
+        for first in range(served):
+            low = own[first]
+            if own[served - 1] - low <= MAX_GAP:
+                blocks = sum(ranges[n] << (n - low + DEPTH) for n in own[first:served])
+                tries.append((best[first][0] + points + blocks, [*best[first][1], low]))
+        best.append(min(tries))
+    used = best[-1][1]
+    return {n: max(u for u in used if u <= n) for n in own}
 
 
 def interval_candidates(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str,
                         keys: Mapping[str, str] | None = None) -> DataFrame:
     """Points beside the ranges whose blocks they lie in (columns `_r_*`), with `_inside` where they lie in the range.
 
-    A range is stored under the few aligned blocks that cover it, a point looks
-    up one block for every level some range uses, 32 at most. So minutes and
-    decades go together, no key holds more than a level's ranges over one block,
-    and about four of five candidates match. Open and far ends are cut to the
-    time of the points.
+    A range is stored under the aligned blocks that cover it, whose length
+    follows its own, and a point looks up one block for every level in use, 32
+    at most. So minutes and decades go together, no key holds more than a
+    level's ranges over one block, and four of five candidates or more match.
+    Counts of points and of ranges by level say which levels to use: a level
+    with few ranges is served by the blocks of a lower one. Open and far ends
+    are cut to the time of the points.
     """
-    kinds = dict(points.dtypes)
-    seen = points.agg(F.struct(F.min(_instant(F.col(at), kinds[at])).alias("first"), F.max(_instant(F.col(at), kinds[at])).alias("last"))).scalar()
-    ends = dict(ranges.dtypes)
-    side = ranges.withColumn("_seen", seen)
-    begin = F.greatest(_instant(F.col(start), ends[start]), F.col("_seen.first"))
-    until = F.least(F.coalesce(_instant(F.col(end), ends[end]), F.col("_seen.last")), F.col("_seen.last"))
-    side = (side.withColumn("_at", F.explode(F.when(begin <= until, _cover(begin, until))))
-            .select("_at._level", "_at._block", *[F.col(c).alias(f"_r_{c}") for c in ranges.columns]))
-    side = materialize(side, "blocks")  # read twice: for the levels in use and for the join
-    levels = side.agg(F.collect_set("_level")).scalar()
-    probes = F.transform(F.col("_levels"), lambda n: F.struct(n.alias("_level"), F.call_function("shiftright", F.col("_instant"), n).alias("_block")))
-    pts = (points.withColumns({"_levels": levels, "_instant": _instant(F.col(at), kinds[at])}).withColumn("_probe", F.explode(probes))
-           .select(*points.columns, "_probe._level", "_probe._block"))
+    kinds, ends = dict(points.dtypes), dict(ranges.dtypes)
+    place = _instant(F.col(at), kinds[at])
+    seen = points.agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(place).alias("n")).first()
+    first, last = F.lit(seen["first"]).cast("bigint"), F.lit(seen["last"]).cast("bigint")
+    begin = F.greatest(_instant(F.col(start), ends[start]), first)
+    until = F.least(_instant(F.col(end), ends[end]), last)
+    side = (ranges.withColumns({"_begin": begin, "_until": until}).filter(F.col("_begin") <= F.col("_until"))
+            .withColumn("_own", _own_level(F.col("_until") - F.col("_begin"))))
+    used = _levels_to_use({r["_own"]: r["count"] for r in side.groupBy("_own").count().collect()}, seen["n"])  # 32 rows at most
+    level = F.coalesce(*[F.when(F.col("_own") == own, F.lit(low)) for own, low in used.items()], F.lit(0))
+    block = lambda x, n: F.call_function("shiftright", x, n)
+    side = (side.withColumn("_level", level)
+            .withColumn("_block", F.explode(F.sequence(block(F.col("_begin"), F.col("_level")), block(F.col("_until"), F.col("_level")))))
+            .select("_level", "_block", *[F.col(c).alias(f"_r_{c}") for c in ranges.columns]))
+    probes = F.array(*[F.struct(F.lit(n).alias("_level"), block(place, F.lit(n)).alias("_block")) for n in sorted(set(used.values()) or {0})])
+    pts = points.withColumn("_probe", F.explode(probes)).select(*points.columns, "_probe._level", "_probe._block")
     cond = (pts["_level"] == side["_level"]) & (pts["_block"] == side["_block"])
     for mine, theirs in (keys or {}).items():
         cond = cond & (F.col(mine) == F.col(f"_r_{theirs}"))
