@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -165,6 +166,20 @@ def test_edits(varied, chunk_chars):
     assert sorted((*r[:5], round(r[5], 9), round(r[6], 9)) for r in got) == sorted(plain_edits(varied.collect()))
 
 
+def test_edits_of_busy_ids(spark):
+    """A third of the rows have one id, a third none: they are cut by text hash, in the order of one chunk."""
+    big = (1 << 60) + 1
+    docs = spark.range(900).selectExpr(f"CASE WHEN id % 3 = 0 THEN {big}L WHEN id % 3 = 2 THEN {big - 450_000}L + id * 1000 END AS doc_id",
+                                       "concat('text number ', id * 7919 % 1000, ' ', id) AS text")
+    rows = docs.selectExpr("doc_id", "text", "xxhash64(text) AS mark")
+    chunked = winnow._chunked(rows, 400).collect()
+    order = sorted(chunked, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.mark))
+    assert [r.chunk for r in order] == sorted(r.chunk for r in chunked)
+    sizes = Counter(r.chunk for r in chunked)
+    assert len(sizes) > 30 and max(sizes.values()) < 70
+    assert sorted(map(str, winnow.edit_fingerprints(docs, chunk_chars=400).collect())) == sorted(map(str, winnow.edit_fingerprints(docs).collect()))
+
+
 def test_edits_of_messy_rows(messy, empty, spark):
     for chunk_chars in (10, 1 << 22):
         got = winnow.edit_fingerprints(messy, chunk_chars=chunk_chars).collect()

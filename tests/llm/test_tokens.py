@@ -67,6 +67,19 @@ def test_bpe(messy, varied, words, head):
         assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_rows_repeated_often_are_encoded_once(spark, words):
+    """A third of the rows are equal, another third equal without an id: their result comes in pieces, as often as they do."""
+    texts = {0: "Alpha beta rareword!", None: "another one, 42", 1: "single"}
+    docs = spark.range(900).selectExpr("CASE WHEN id % 3 = 0 THEN 0L WHEN id % 3 = 2 THEN 1L END AS doc_id",
+                                       "CASE id % 3 WHEN 0 THEN 'Alpha beta rareword!' WHEN 1 THEN 'another one, 42' ELSE concat('single', id) END AS text")
+    got = bpe.bpe_round_trip(docs, WORDS, head_words=1, repeats=7).collect()
+    assert len(got) == 900 and {r.doc_id for r in got} == {0, 1, None}
+    for doc_id in (0, None):
+        ids = words.encode(texts[doc_id], add_special_tokens=False).ids
+        assert [r.ids for r in got if r.doc_id == doc_id] == [" ".join(map(str, ids))] * 300
+    assert len({r.decoded for r in got if r.doc_id == 1}) == 300
+
+
 def test_round_trip_texts(varied, words):
     for r in bpe.bpe_round_trip(varied, WORDS, head_words=5).collect():
         assert r.decoded == words.decode([int(i) for i in r.ids.split()], skip_special_tokens=False)

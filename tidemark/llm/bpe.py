@@ -28,10 +28,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BATCH_BYTES, SharedTable, materialize, most_frequent, per_process, pick, vocabulary
+from tidemark.llm.common import BATCH_BYTES, HOT_GROUPS, SharedTable, materialize, most_frequent, per_process, pick, vocabulary
 
 HEAD_WORDS = 1 << 18
 SAMPLE_DOCS = 20_000
+REPEATS = 10_000
+MAX_PIECES = 1 << 14
 HOLE = 0
 
 # Texts made only of these characters are cut just as the tokenizer's pattern
@@ -269,11 +271,12 @@ def _filled(head: SharedTable, file: str, with_text: bool):
                 out = [pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in column], pa.string()) for column in out]
             return pa.array(totals), *out
 
-        current, fill, waiting = None, {}, ([], [], [])
+        current, fill, waiting = None, {}, ([], [], [], [])
 
         def flush():
-            docs, numbers, fillings = waiting
-            done = pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), *joined(numbers, fillings)], ["doc_id", "n_tokens", "ids", "decoded"])
+            docs, keys, numbers, fillings = waiting
+            done = pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), *joined(numbers, fillings)],
+                                              ["doc_id", "key", "n_tokens", "ids", "decoded"])
             for kept in waiting:
                 kept.clear()
             return done
@@ -284,7 +287,7 @@ def _filled(head: SharedTable, file: str, with_text: bool):
                 if (doc_id, key) != current:
                     current, fill = (doc_id, key), {}
                 if places is None:
-                    for kept, value in zip(waiting, (doc_id, numbers, [fill[i] for i in range(len(fill))])):
+                    for kept, value in zip(waiting, (doc_id, key, numbers, [fill[i] for i in range(len(fill))])):
                         kept.append(value)
                     size += len(numbers)
                     if size >= BATCH_BYTES // 8:
@@ -300,38 +303,58 @@ def _filled(head: SharedTable, file: str, with_text: bool):
     return run
 
 
-def _encoded(docs: DataFrame, file: str, id_col: str, text_col: str, head_words: int, sample_docs: int, with_text: bool) -> DataFrame:
+def _encoded(docs: DataFrame, file: str, id_col: str, text_col: str, head_words: int, sample_docs: int, with_text: bool,
+             repeats: int) -> DataFrame:
     check_tokenizer(file)
     rows = pick(docs, doc_id=id_col, text=text_col).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    share = sample_docs / max(1, rows.count())
+    total = rows.count()
+    share = sample_docs / max(1, total)
     sample = rows.where(F.rand(42) < share) if share < 1 else rows
     words = materialize(vocabulary(sample, lambda text: WordTokenizer.of(file).split(text)), "words")
     head = SharedTable(word_ids(most_frequent(words, head_words), file), [("n", "descending"), ("word", "ascending")])
 
-    # Both branches name a document by its id and text hash: rows equal in both
-    # have equal results, so repeated rows may share their fillings.
-    numbered = rows.mapInArrow(_numbered(head, file), "doc_id long, key long, numbers binary")
-    holes = rows.mapInArrow(_holes(head, file), "doc_id long, key long, word string, places array<int>")
-    fillings = rare_word_ids(holes, file).select("doc_id", "key", F.lit(None).cast("binary").alias("numbers"), "places", "ids")
-    both = fillings.unionByName(numbered.select(
-        "doc_id", "key", "numbers", F.lit(None).cast("array<int>").alias("places"), F.lit(None).cast("binary").alias("ids")))
-    return (both.repartition("doc_id", "key").sortWithinPartitions("doc_id", "key", F.col("places").isNull())
-            .mapInArrow(_filled(head, file, with_text), "doc_id long, n_tokens long, ids string, decoded string"))
+    def encode(some: DataFrame) -> DataFrame:
+        # Both branches name a document by its id and text hash: rows equal in
+        # both have equal results, so repeated rows may share their fillings.
+        numbered = some.mapInArrow(_numbered(head, file), "doc_id long, key long, numbers binary")
+        holes = some.mapInArrow(_holes(head, file), "doc_id long, key long, word string, places array<int>")
+        fillings = rare_word_ids(holes, file).select("doc_id", "key", F.lit(None).cast("binary").alias("numbers"), "places", "ids")
+        both = fillings.unionByName(numbered.select(
+            "doc_id", "key", "numbers", F.lit(None).cast("array<int>").alias("places"), F.lit(None).cast("binary").alias("ids")))
+        return (both.repartition("doc_id", "key").sortWithinPartitions("doc_id", "key", F.col("places").isNull())
+                .mapInArrow(_filled(head, file, with_text), "doc_id long, key long, n_tokens long, ids string, decoded string"))
+
+    # Rows equal in id and text meet in one task. Those repeated more often than
+    # a task's share are encoded once and their results repeated by pieces;
+    # there are fewer than HOT_GROUPS such groups.
+    often = max(repeats, total // HOT_GROUPS)
+    hot = materialize(rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > often)
+                      .withColumnsRenamed({"doc_id": "hot_id", "key": "hot_key"}), "repeated")
+    pieces = hot.agg(F.sum(F.ceil(F.col("n") / repeats))).first()[0]
+    if not pieces:
+        return encode(rows).drop("key")
+    hot, same = F.broadcast(hot), F.col("doc_id").eqNullSafe(F.col("hot_id")) & (F.col("key") == F.col("hot_key"))
+    once = encode(rows.join(hot, same, "left_semi").groupBy("doc_id", "key").agg(F.first("text").alias("text")))
+    piece = F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / repeats) - 1))
+    share = F.least(F.lit(repeats), F.col("n") - F.col("piece") * repeats).cast("int")
+    repeated = (once.join(hot, same).select(*once.columns, "n", piece.alias("piece")).repartition(min(pieces, MAX_PIECES), "doc_id", "key", "piece")
+                .withColumn("copy", F.explode(F.array_repeat(F.lit(0), share))).select(*once.columns))
+    return encode(rows.join(hot, same, "left_anti")).unionByName(repeated).drop("key")
 
 
 def bpe_round_trip(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text",
-                   head_words: int = HEAD_WORDS, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+                   head_words: int = HEAD_WORDS, sample_docs: int = SAMPLE_DOCS, repeats: int = REPEATS) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded): decimal ids joined by a space, and the text they decode to.
 
     Ids are those of the tokenizers library without added special tokens;
     special strings inside a text become their own ids, as is its default.
     """
-    return _encoded(docs, file, id_col, text_col, head_words, sample_docs, True)
+    return _encoded(docs, file, id_col, text_col, head_words, sample_docs, True, repeats)
 
 
 def bpe_digests(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text",
-                head_words: int = HEAD_WORDS, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+                head_words: int = HEAD_WORDS, sample_docs: int = SAMPLE_DOCS, repeats: int = REPEATS) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): the round trip with both strings as sha256 in hex."""
-    return (_encoded(docs, file, id_col, text_col, head_words, sample_docs, False)
+    return (_encoded(docs, file, id_col, text_col, head_words, sample_docs, False, repeats)
             .withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"}))

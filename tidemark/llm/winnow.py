@@ -21,6 +21,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -177,35 +178,62 @@ def _compared(k: int, w: int):
     return run
 
 
+def _chunked(rows: DataFrame, chunk_chars: int) -> DataFrame:
+    """Rows (doc_id, text, mark) with their chunk, ascending by id, null first, then mark.
+
+    Ids are cut at quantiles. An id that fills several parts, as null may, is
+    cut by its marks as well, which are hashes and so lie evenly; only rows
+    equal in id and text always share a chunk.
+    """
+    seen = rows.agg(F.sum(F.char_length("text")).alias("chars"), F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids")).first()
+    parts = max(1, min(MAX_CHUNKS, -(-(seen.chars or 0) // chunk_chars), seen.n))
+    missing_parts = max(1, parts * (seen.n - seen.ids) // max(1, seen.n))
+    parts = min(parts, seen.ids)
+    cuts: dict[int, int] = {}  # ids, and how many chunks their own rows take
+    if parts > 1:
+        found = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
+        cuts = dict.fromkeys(found, 1)
+        # Quantiles are doubles. Ids beside a repeated one are counted; fewer than `parts` hold more than a part.
+        repeated = [float(v) for v, times in Counter(found).items() if times > 1]
+        if repeated:
+            busy = rows.where(F.col("doc_id").cast("double").isin(repeated)).groupBy("doc_id").count().where(F.col("count") > seen.ids / parts)
+            cuts |= {r["doc_id"]: r["count"] * parts // seen.ids for r in busy.collect()}
+    if not cuts and missing_parts == 1:
+        return rows.withColumn("chunk", F.lit(0))
+    values, times = np.array(sorted(cuts), np.int64), np.array([cuts[v] for v in sorted(cuts)], np.int64)
+    # Up to a value's own rows one chunk, its rows over as many chunks as it fills parts; the last chunk has no end.
+    first = np.concatenate([[0], np.cumsum(times)]) + missing_parts - 1
+
+    @F.pandas_udf("int")
+    def chunk_of(missing: pd.Series, ids: pd.Series, marks: pd.Series) -> pd.Series:
+        missing, known = missing.to_numpy(bool), ids.to_numpy(np.int64)
+        high = (marks.to_numpy(np.int64) >> 32) + (1 << 31)
+        at = np.searchsorted(values, known, side="left")
+        own = np.zeros(len(known), np.int64)
+        inside = at < len(values)
+        own[inside] = np.where(values[at[inside]] == known[inside], times[at[inside]], 0)
+        return pd.Series(np.where(missing, high * missing_parts >> 32, first[at] + (high * own >> 32)))
+
+    # a column with nulls would reach pandas as floats, which fold large ids
+    return rows.withColumn("chunk", chunk_of(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "mark"))
+
+
 def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = W,
                       chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Fingerprints of each text, of its edited text and their likeness to each other and to the next document's.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the
     first as many (or all) of the next document; the last document is followed
-    by the first. Rows are cut by id into chunks of about `chunk_chars`
-    characters, at most MAX_CHUNKS of them. Each chunk also gets the first row
-    of the next one as a guest, so whole texts move once and a task reads its
-    chunk as a sorted stream, whatever its length.
+    by the first. Rows are cut by id, busy ids by text hash too, into chunks of
+    about `chunk_chars` characters, MAX_CHUNKS or so at most. Each chunk also
+    gets the first row of the next one as a guest, so whole texts move once and
+    a task reads its chunk as a sorted stream, whatever its length.
     """
     rows = pick(docs, doc_id=id_col, text=text_col).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     order = ["doc_id", "mark"]
     rows = rows.withColumn("mark", F.xxhash64("text"))
-    seen = rows.agg(F.sum(F.char_length("text")).alias("chars"), F.count("doc_id").alias("n")).first()
-    parts = max(1, min(MAX_CHUNKS, -(-(seen.chars or 0) // chunk_chars), seen.n))
-    cuts = []
-    if parts > 1:
-        wanted = [i / parts for i in range(1, parts)]
-        cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", wanted, 10 * parts)).first()[0]))
-
-    @F.pandas_udf("int")
-    def chunk_of(ids):
-        missing = ids.isna()
-        found = np.searchsorted(np.array(cuts, np.int64), ids.fillna(0).to_numpy(np.int64), side="left")
-        return pd.Series(np.where(missing, 0, found))
-
-    chunked = rows.withColumn("chunk", chunk_of("doc_id") if cuts else F.lit(0))
+    chunked = _chunked(rows, chunk_chars)
     # Only ids and text hashes decide which rows are first in their chunk: one row per chunk.
     firsts = materialize(chunked.groupBy("chunk").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("has_id"), *order)).alias("first")),
                          "chunks").collect()
