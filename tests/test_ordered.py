@@ -1,5 +1,7 @@
 """Ordered operators give the rows of a plain window, also when a hot group is split."""
 
+from decimal import Decimal
+
 import pytest
 from helpers import rows
 from pyspark.sql import Window
@@ -75,6 +77,21 @@ def test_discrete_percentile(spark):
     assert rows(got) == [(2.0, 3.0, 1.0)]
 
 
+@pytest.mark.parametrize("hot_rows", [2, 10**6])
+def test_quantiles_tell_wide_numbers_apart(spark, hot_rows):
+    # beyond 2^53 neighbouring integers, and decimals of that many digits, are the same double
+    wide = 2**53
+    df = spark.createDataFrame([(wide + i, Decimal(wide + i) / 100) for i in (0, 1, 1, 2, 3)] + [(None, None)], "v bigint, d decimal(20,2)")
+    for column, unit in (("v", 1), ("d", Decimal("0.01"))):
+        got = o.exact_percentiles(df, [], column, {"a": 0.0, "b": 0.5, "c": 0.8, "d": 1.0}, discrete=True, hot_rows=hot_rows).first()
+        assert list(got) == [(wide + i) * unit for i in (0, 1, 2, 3)]
+        assert o.count_values(df, [], column).count() == 4
+    smooth = o.exact_percentiles(df, [], "v", {"a": 0.5}, hot_rows=hot_rows)
+    assert smooth.dtypes == [("a", "double")] and smooth.first().a == float(wide + 1)
+    text = df.selectExpr("cast(v % 7 as string) as s")
+    assert o.exact_percentiles(text, [], "s", {"a": 1.0}, discrete=True).dtypes == [("a", "double")]
+
+
 def test_strings_and_chunks_stay_in_order(spark):
     df = spark.range(300).selectExpr("concat('common-prefix-', lpad(id, 4, '0')) as s", "id as v", "if(id % 3 = 0, 'hot', concat('k', id % 40)) as k")
     w = Window.partitionBy("k").orderBy(F.desc("s"))

@@ -19,6 +19,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize
 
@@ -203,8 +204,9 @@ def framed(df: DataFrame, partition: Sequence[str], order: Order,
 
 
 def count_values(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """Distinct non-null values `_v` per group with their number of rows `_n`."""
-    return (df.filter(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("_v"))
+    """Distinct non-null values `_v` per group with their number of rows `_n`; numbers keep their type, others become double."""
+    number = isinstance(df.select(value).schema[0].dataType, T.NumericType)
+    return (df.filter(F.col(value).isNotNull()).groupBy(*groups, (F.col(value) if number else F.col(value).cast("double")).alias("_v"))
             .agg(F.count(F.lit(1)).alias("_n")))
 
 
@@ -213,7 +215,9 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, wanted:
     """Exact quantiles per group: {out: probability}.
 
     Values are counted before the sort, and the running count of a hot group is
-    chunked, so neither a frequent value nor a large group sits in one task.
+    chunked, so neither a frequent value nor a large group sits in one task. They
+    are told apart and ordered in their own type, so neighbours beyond 2^53 stay
+    two. A discrete quantile is one of the values, a continuous one a double.
     """
     short = not has_hot_group(df, groups, hot_rows)  # rows bound distinct values from above
     counted = count_values(df, groups, value)
@@ -240,7 +244,7 @@ def percentiles_of_counts(counted: DataFrame, groups: Sequence[str], wanted: dic
             aggs.append(at(F.greatest(F.ceil(F.lit(p) * F.col("_total")) - 1, F.lit(0))).alias(name))
             continue
         spot = F.lit(p) * (F.col("_total") - 1)
-        low, high = at(F.floor(spot)), at(F.ceil(spot))
+        low, high = at(F.floor(spot)).cast("double"), at(F.ceil(spot)).cast("double")
         part = F.max(spot - F.floor(spot))
         aggs.append((low + (high - low) * part).alias(name))
     return placed.groupBy(*groups).agg(*aggs)
