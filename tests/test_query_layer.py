@@ -181,6 +181,36 @@ def test_intervals_of_minutes_and_decades(mixed_ranges, keys):
     assert len(want) <= tried <= 1.25 * len(want) + 300
 
 
+@pytest.mark.parametrize("keys", [None, {"k": "k2"}])
+@pytest.mark.parametrize("hot_rows", [j.HOT_ROWS, 1500])
+def test_totals_of_ranges_equal_their_pairs(spark, mixed_ranges, keys, hot_rows):
+    """Count, first and last point of a range, with null keys, places and starts, repeated points and ranges, in one piece and in chunks."""
+    points, ranges = mixed_ranges
+    points = points.unionByName(points.limit(500)).unionByName(points.limit(3).selectExpr("id", "cast(null as int) as k", "at", "s"))
+    points = points.unionByName(points.limit(3).selectExpr("id", "k", "cast(null as timestamp) as at", "cast(null as bigint) as s"))
+    ranges = ranges.unionByName(ranges.limit(40)).unionByName(ranges.limit(3).selectExpr("r", "cast(null as int) as k2", "a", "z", "ai", "zi"))
+    ranges = ranges.unionByName(ranges.limit(3).selectExpr("r", "k2", "cast(null as timestamp) as a", "z", "cast(null as bigint) as ai", "zi"))
+    wanted = {"n": "count", "low": "min", "high": "max"}
+    at, a, z = ("at", "a", "z") if keys else ("s", "ai", "zi")
+    numbered = ranges.select("*", F.hash("r", "k2").alias("copy"))
+    pairs = j.interval_join(points, numbered, at, a, z, keys).groupBy("r", "copy").agg(F.count("*").alias("n"), F.min(at).alias("low"), F.max(at).alias("high"))
+    held = j._range_totals(points, numbered, at, a, z, keys or {}, wanted, hot_rows)
+    assert dict(held.dtypes)["low"] == dict(points.dtypes)[at] and len(held.columns) == len(numbered.columns) + 3 - len(keys or {})
+    got = held.groupBy("r", "copy").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    assert rows(got, "r", "copy", "n", "low", "high") == rows(pairs, "r", "copy", "n", "low", "high")
+
+
+def test_totals_of_ranges_make_no_pairs(spark):
+    """Fifty thousand points in as many ranges: two billion pairs."""
+    points = spark.range(50_000).selectExpr("id as at")
+    ranges = spark.range(50_000).selectExpr("id as r", "0 as a", "id + 25000 as z")
+    held = j.interval_join(points, ranges, "at", "a", "z", per_range={"n": "count", "low": "min"})
+    assert held.agg(F.sum("n"), F.max("low"), F.count("*")).first() == (sum(min(i + 25_001, 50_000) for i in range(50_000)), 0, 50_000)
+    for wrong in ({"how": "left", "per_range": {"n": "count"}}, {"per_range": {"n": "median"}}):
+        with pytest.raises(ValueError):
+            j.interval_join(points, ranges, "at", "a", "z", **wrong)
+
+
 def test_interval_candidates_do_not_follow_the_span(spark):
     """A thousand short ranges over ten years: a point meets few ranges besides its own."""
     points = spark.range(100_000).selectExpr("id", "timestamp_seconds(1000000000 + id * 3153) as at")

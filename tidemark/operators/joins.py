@@ -177,14 +177,56 @@ def interval_candidates(points: DataFrame, ranges: DataFrame, at: str, start: st
     return (pts.join(side, cond, "inner").select(*[pts[c] for c in points.columns], *[F.col(f"_r_{c}") for c in ranges.columns], inside.alias("_inside")))
 
 
+def _range_totals(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str, keys: Mapping[str, str],
+                  wanted: Mapping[str, str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Ranges that hold points, once each, beside totals of their points.
+
+    Pairs grow with the product of points and ranges, this with their sum:
+    every place where a point lies or a range begins or ends goes into one
+    order, once, with its number of points. The running count up to a range's
+    end less the one before its start is the range's count, its first point is
+    the next one from its start, its last point the latest one at its end.
+    """
+    groups = [f"_k{i}" for i in range(len(keys))]
+    spots = lambda df, on, place, n: df.select(
+        *[F.col(k).alias(g) for k, g in zip(on, groups)], F.col(place).alias("_place"), F.lit(n).cast("bigint").alias("_n"))
+    begun = ranges.filter(F.col(start).isNotNull())
+    marks = (spots(points.filter(F.col(at).isNotNull()), keys, at, 1).unionByName(spots(begun, keys.values(), start, 0))
+             .unionByName(spots(begun, keys.values(), end, 0)))
+    places = marks.groupBy(*groups, "_place").agg(F.sum("_n").alias("_n"))
+    places = materialize(places.withColumns({"_open": F.col("_place").isNull(), "_point": F.when(F.col("_n") > 0, F.col("_place"))}), "places")
+    # an open end is the one null place of its group, behind all others
+    passed = running(places, groups, ["_open", "_place"], {"_seen": ("sum", "_n"), "_last": ("max", "_point")}, hot_rows)
+    if "min" in wanted.values():
+        passed = running(materialize(passed, "passed"), groups, ["-_open", "-_place"], {"_next": ("min", "_point")}, hot_rows)
+    passed = materialize(passed, "passed")
+    on = lambda side: reduce(lambda a, b: a & b, [F.col(f"r.`{k}`") == F.col(f"{side}.{g}") for k, g in zip(keys.values(), groups)], F.lit(True))
+    held = (begun.alias("r").join(passed.alias("b"), on("b") & (F.col(f"r.`{start}`") == F.col("b._place")))
+            .join(passed.alias("e"), on("e") & F.col(f"r.`{end}`").eqNullSafe(F.col("e._place"))))
+    count = F.col("e._seen") - F.col("b._seen") + F.col("b._n")
+    total = {"count": lambda: count, "min": lambda: F.col("b._next"), "max": lambda: F.col("e._last")}
+    kinds = {"count": "bigint", "min": dict(points.dtypes)[at], "max": dict(points.dtypes)[at]}
+    hidden = set(keys.values())
+    return held.filter(count > 0).select(*[F.col(f"r.`{c}`") for c in ranges.columns if c not in hidden],
+                                         *[total[fn]().cast(kinds[fn]).alias(name) for name, fn in wanted.items()])
+
+
 def interval_join(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str,
-                  keys: Mapping[str, str] | None = None, how: str = "inner") -> DataFrame:
+                  keys: Mapping[str, str] | None = None, how: str = "inner",
+                  per_range: Mapping[str, str] | None = None) -> DataFrame:
     """Points inside [start, end] of a range, optionally also equal on keys; a null end is open.
 
-    Times, dates or integers. With `how` left, points in no range stay.
+    Times, dates or integers. With `how` left, points in no range stay. Where
+    only totals of a range's points are wanted, `per_range` names them, {out:
+    "count" of the points, "min" or "max" of `at`}: every range that holds
+    points comes once beside them, and no pair is made.
     """
     if how not in ("inner", "left"):
         raise ValueError("interval_join supports inner and left")
+    if per_range:
+        if how != "inner" or not {"count", "min", "max"}.issuperset(per_range.values()):
+            raise ValueError("per_range supports count, min and max of an inner join")
+        return _range_totals(points, ranges, at, start, end, keys or {}, per_range)
     if how == "left":
         points = materialize(points.withColumn("_row", F.monotonically_increasing_id()), "points")
     hits = interval_candidates(points, ranges, at, start, end, keys).filter("_inside")

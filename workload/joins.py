@@ -262,8 +262,8 @@ def _mixed_ranges(t):
     select id, count(*) as ordered, min(o_orderdate::timestamp) as first_order from orders join r on o_orderdate::timestamp >= a and (z is null or o_orderdate::timestamp <= z) group by 1""")
 def interval_join_mixed(t):
     points = t.orders.select(F.col("o_orderdate").cast("timestamp_ntz").alias("at"))
-    return (j.interval_join(points, _mixed_ranges(t), "at", "a", "z").groupBy("id")
-            .agg(F.count("*").alias("ordered"), F.min("at").alias("first_order")))
+    held = j.interval_join(points, _mixed_ranges(t), "at", "a", "z", per_range={"ordered": "count", "first_order": "min"})
+    return held.groupBy("id").agg(F.sum("ordered").alias("ordered"), F.min("first_order").alias("first_order"))
 
 
 @query("interval_join_mixed_keyed", [67, 71], _MIXED + """
