@@ -219,6 +219,19 @@ def test_interval_candidates_do_not_follow_the_span(spark):
     assert found[1] == 10_000 and found[0] < 1.3 * found[1]
 
 
+def test_many_blocks_are_not_broadcast(spark):
+    """The planner takes ranges with their blocks for as small as the ranges; thousands of them still go without a shuffle of the points."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    points = spark.range(300_000).selectExpr("id", "id % 30000 as k", "id % 1000 as at")
+    ranges = lambda n: spark.range(n).selectExpr("id as k", "id % 7 as a", "id % 7 + 500 as z", "id as r")
+    many, few = (j.interval_candidates(points, ranges(n), "at", "a", "z", {"k": "k"}) for n in (30_000, 100))
+    assert "BroadcastHashJoin" in plan(few) and "Broadcast" not in plan(many)
+    best = j.range_lookup(points, ranges(30_000), "at", "a", "z", {"k": "k"}, ["id"])
+    assert "Broadcast" not in plan(best)
+    want = F.expr("case when at between k % 7 and k % 7 + 500 then k end")
+    assert best.agg(F.count("*"), F.count_if(~F.col("r").eqNullSafe(want))).first() == (300_000, 0)
+
+
 def test_few_ranges_do_not_cost_a_level():
     """A row per point and level against blocks per range; no range goes far below its own level."""
     assert j._levels_to_use({}, 100) == {}

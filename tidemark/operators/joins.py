@@ -110,6 +110,7 @@ def key_lookup(df: DataFrame, dictionary: DataFrame, on: Mapping[str, str], defa
 DEPTH = 3  # blocks are an eighth of a range or smaller
 STEP = 2  # lengths of blocks are powers of 4
 MAX_GAP = 12  # a range takes blocks at most 2^12 times shorter than its own
+MOST_BROADCAST = 200_000  # blocks that the planner may broadcast
 
 
 def _instant(value: Column, kind: str) -> Column:
@@ -152,7 +153,8 @@ def interval_candidates(points: DataFrame, ranges: DataFrame, at: str, start: st
     level's ranges over one block, and four of five candidates or more match.
     Counts of points and of ranges by level say which levels to use: a level
     with few ranges is served by the blocks of a lower one. Open and far ends
-    are cut to the time of the points.
+    are cut to the time of the points. The planner takes blocks for as small as
+    the file of their ranges, so unless few, they are merged, never broadcast.
     """
     kinds, ends = dict(points.dtypes), dict(ranges.dtypes)
     place = _instant(F.col(at), kinds[at])
@@ -162,12 +164,16 @@ def interval_candidates(points: DataFrame, ranges: DataFrame, at: str, start: st
     until = F.least(_instant(F.col(end), ends[end]), last)
     side = (ranges.withColumns({"_begin": begin, "_until": until}).filter(F.col("_begin") <= F.col("_until"))
             .withColumn("_own", _own_level(F.col("_until") - F.col("_begin"))))
-    used = _levels_to_use({r["_own"]: r["count"] for r in side.groupBy("_own").count().collect()}, seen["n"])  # 32 rows at most
+    counts = {r["_own"]: r["count"] for r in side.groupBy("_own").count().collect()}  # 32 rows at most
+    used = _levels_to_use(counts, seen["n"])
+    blocks = sum(n << (own - used[own] + DEPTH + STEP) for own, n in counts.items())  # at most
     level = F.coalesce(*[F.when(F.col("_own") == own, F.lit(low)) for own, low in used.items()], F.lit(0))
     block = lambda x, n: F.call_function("shiftright", x, n)
     side = (side.withColumn("_level", level)
             .withColumn("_block", F.explode(F.sequence(block(F.col("_begin"), F.col("_level")), block(F.col("_until"), F.col("_level")))))
             .select("_level", "_block", *[F.col(c).alias(f"_r_{c}") for c in ranges.columns]))
+    if blocks > MOST_BROADCAST:
+        side = side.hint("merge")
     probes = F.array(*[F.struct(F.lit(n).alias("_level"), block(place, F.lit(n)).alias("_block")) for n in sorted(set(used.values()) or {0})])
     pts = points.withColumn("_probe", F.explode(probes)).select(*points.columns, "_probe._level", "_probe._block")
     cond = (pts["_level"] == side["_level"]) & (pts["_block"] == side["_block"])
