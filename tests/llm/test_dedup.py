@@ -6,10 +6,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, graph, simhash
+from tidemark.llm import common, exact_dedup, graph, simhash
 
 
 def bare(text):
@@ -125,6 +127,56 @@ def test_links_of_clustered_prints(spark, partitions):
     assert groups(got) == groups(want)
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def noted(monkeypatch, module):
+    """The plan of each step that the module stores, by name."""
+    plans, store = {}, module.materialize
+
+    def noting(df, label):
+        plans.setdefault(label, []).append(plan(df))
+        return store(df, label)
+
+    monkeypatch.setattr(module, "materialize", noting)
+    return plans
+
+
+def test_many_probes_are_not_broadcast(spark, monkeypatch):
+    """The planner takes prints with their values and probes for as small as the prints; few go as it likes."""
+    plans = noted(monkeypatch, simhash)
+    prints = np.random.default_rng(2).integers(-2**63, 2**63 - 1, 1000)
+    prints[1::100] = prints[::100] ^ 0b1011
+    nodes = spark.createDataFrame(pa.table({"print": np.unique(prints)}))
+    pairs = np.sort(np.stack([prints[::100], prints[1::100]]), axis=0)
+    for most in (200_000, 2000):
+        monkeypatch.setattr(common, "MOST_BROADCAST", most, raising=False)
+        plans.clear()
+        found = {(r.node, r.root) for r in simhash.near_links(nodes, 4, 4).collect()}
+        assert found == {(high, low) for low, high in pairs.T.tolist()}
+        assert ("Broadcast" in "".join(plans["hub_links"] + plans["bridges"])) == (most > 2000)
+
+
+def test_many_links_are_not_broadcast(spark, monkeypatch):
+    plans = noted(monkeypatch, graph)
+    links = lambda n: spark.range(n).selectExpr("id * 2 as a", "id * 2 + 1 as b")
+    few, many = (graph.components(links(n)) for n in (100, 120_000))
+    assert (many.count(), many.where("root <> node - 1").count(), few.count()) == (120_000, 0, 100)
+    joins = [p for p in plans["links"] if "Join" in p]
+    assert "Broadcast" in joins[0] and "Broadcast" not in joins[-1]
+
+
+def test_many_rows_of_small_groups_are_merged(spark):
+    def joined(n):
+        rows = spark.range(n).selectExpr("id % (id div 2 + 1) as k", "id as r")
+        entries = rows.groupBy("k").agg(F.max("r").alias("last"))
+        return common.join_groups(rows, entries, ["k"], rows.groupBy("k").agg(F.count("*").alias("n")), n)
+
+    assert "SortMergeJoin" not in plan(joined(1000)) and "SortMergeJoin" in plan(joined(300_000))
+    assert joined(300_000).agg(F.count("*"), F.count_if(F.col("last") < F.col("r"))).first() == (300_000, 0)
+
+
 def test_allocation_covers_the_distance():
     pick = np.random.default_rng(1)
     for parts in (2, 3, 4, 5, 7):

@@ -19,6 +19,7 @@ from tidemark.session import prepare as prepare_session
 BATCH_BYTES = 4 << 20
 HOT_GROUPS = 1000
 CHUNK_ROWS = 1 << 17
+MOST_BROADCAST = 200_000  # rows that the planner may broadcast
 
 # The white space of the text contracts: space and U+0009 to U+000D.
 WHITE_SPACE = "[\\x20\\x09-\\x0D]+"
@@ -121,17 +122,27 @@ def most_frequent(words: DataFrame, size: int) -> DataFrame:
     return words.where(step >= least) if least is not None else words.limit(0)
 
 
+def merged(side: DataFrame, rows: int) -> DataFrame:
+    """A side of a join that is merged, never broadcast, unless both sides have few rows, `rows` at most.
+
+    The planner takes an exploded table for as small as its file, and a file of
+    few distinct values for as small as it is packed.
+    """
+    return side.hint("merge") if rows > MOST_BROADCAST else side
+
+
 def join_groups(rows: DataFrame, entries: DataFrame, keys: list[str], sizes: DataFrame, total: int) -> DataFrame:
     """Inner join of rows with one entry per key, where a few keys may hold most rows.
 
     `sizes` has the keys and their rows `n`, `total` is the sum. Keys with over
     a thousandth of the rows are fewer than a thousand: their entries are
-    broadcast, so their rows stay where they are. All others meet by a shuffle.
+    broadcast, so their rows stay where they are. All others meet by a shuffle,
+    of many rows in any case.
     """
     hot = sizes.where(F.col("n") > total / HOT_GROUPS).select(*keys)
     hot_entries = F.broadcast(entries.join(F.broadcast(hot), keys))
     cold = entries.join(F.broadcast(hot), keys, "left_anti")
-    return rows.join(hot_entries, keys).unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(cold, keys))
+    return rows.join(hot_entries, keys).unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(merged(cold, total), keys))
 
 
 def placed(df: DataFrame, group: Sequence[str], order: Sequence[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -177,5 +188,5 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield current, pa.Table.from_batches(held)
 
 
-__all__ = ["BATCH_BYTES", "HOT_GROUPS", "SharedTable", "WHITE_SPACE", "crc_remainder", "grouped", "join_groups", "materialize", "most_frequent", "per_process",
+__all__ = ["BATCH_BYTES", "HOT_GROUPS", "SharedTable", "WHITE_SPACE", "crc_remainder", "grouped", "join_groups", "materialize", "merged", "most_frequent", "per_process",
            "pick", "placed", "prepare", "vocabulary"]

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import join_groups, materialize, pick
+from tidemark.llm.common import join_groups, materialize, merged, pick
 from tidemark.llm.graph import components
 
 BITS = 64
@@ -217,22 +217,25 @@ def _parts(groups: list[list[int]], masks: list[list[int]] | None = None) -> Col
 def near_links(nodes: DataFrame, distance: int = 4, partitions: int | None = None) -> DataFrame:
     """(node, root) of all fingerprints `print` within the distance of another one; root names the component.
 
-    `partitions` fixes their number, which is otherwise chosen by cost.
+    `partitions` fixes their number, which is otherwise chosen by cost. Tables
+    exploded into values or probes are merged, not broadcast, by their real rows.
     """
     order = F.xxhash64("print")
     sample = nodes.select("print").orderBy(order).limit(SAMPLE).toArrow()["print"].to_numpy().view(np.uint64)
-    groups, thresholds, _ = choose_layout(*bit_correlations(nodes), sample, distance, partitions)
+    correlations, shares, rows = bit_correlations(nodes)
+    groups, thresholds, _ = choose_layout(correlations, shares, rows, sample, distance, partitions)
     index = materialize(nodes.select("print", F.explode(_parts(groups)).alias("x")).select("print", "x.part", "x.value"), "index")
     ends = materialize(index.groupBy("part", "value").agg(
         F.min("print").alias("low"), F.max("print").alias("high"), F.count(F.lit(1)).alias("n")), "buckets")
     masks = [masks_within(len(bits), t) if t >= 0 else [] for bits, t in zip(groups, thresholds)]
+    values, lookups = rows * len(groups), rows * sum(map(len, masks))
 
-    hubs = index.join(ends.where("n > 1"), ["part", "value"]).select(
+    hubs = index.join(merged(ends.where("n > 1"), values), ["part", "value"]).select(
         F.col("print").alias("a"), F.explode(F.array("low", "high")).alias("b"))
     hub_links = hubs.where((F.col("a") != F.col("b")) & _near("a", "b", distance)).distinct()
     first = components(materialize(hub_links, "hub_links"))
 
-    named = nodes.join(first, F.col("print") == F.col("node"), "left").select(
+    named = nodes.join(merged(first, rows), F.col("print") == F.col("node"), "left").select(
         "print", F.coalesce("root", "print").alias("label"))
     named = materialize(named, "named")
     indexed = materialize(named.select("print", "label", F.explode(_parts(groups)).alias("x"))
@@ -240,14 +243,14 @@ def near_links(nodes: DataFrame, distance: int = 4, partitions: int | None = Non
     # The largest component of every bucket that has several.
     sizes = indexed.groupBy("part", "value", "label").agg(F.count(F.lit(1)).alias("n"))
     main = materialize(sizes.groupBy("part", "value").agg(F.max(F.struct("n", "label"))["label"].alias("main")), "main")
-    held = indexed.join(main, ["part", "value"]).select(
+    held = indexed.join(merged(main, values), ["part", "value"]).select(
         "part", "value", (F.col("label") == F.col("main")).alias("in_main"), F.col("print").alias("b"), F.col("label").alias("label_b"))
     probes = (named.select("print", "label", F.explode(_parts(groups, masks)).alias("x"))
-              .select("print", "label", "x.part", "x.value").join(main, ["part", "value"])
+              .select("print", "label", "x.part", "x.value").join(merged(main, values + lookups), ["part", "value"])
               .select("part", "value", F.explode(F.when(F.col("label") == F.col("main"), F.array(F.lit(False)))
                                                  .otherwise(F.array(F.lit(True), F.lit(False)))).alias("in_main"),
                       F.col("print").alias("a"), F.col("label").alias("label_a")))
-    found = probes.join(held, ["part", "value", "in_main"]).where(
+    found = probes.join(merged(held, values + lookups), ["part", "value", "in_main"]).where(
         (F.col("label_a") != F.col("label_b")) & _near("a", "b", distance))
     bridges = materialize(found.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), "bridges")
     # Components of components: bridges join labels, first links join prints to labels.
@@ -259,7 +262,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fingerprint, component_id): 16 hex digits, and the smallest id reachable over links of `distance` bits."""
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "prints")
     nodes = materialize(rows.groupBy("print").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("members")), "nodes")
-    roots = nodes.join(near_links(nodes, distance, partitions), F.col("print") == F.col("node"), "left").select(
+    roots = nodes.join(merged(near_links(nodes, distance, partitions), nodes.count()), F.col("print") == F.col("node"), "left").select(
         "print", "first_id", "members", F.coalesce("root", "print").alias("root"))
     roots = materialize(roots, "roots")
     ids = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
