@@ -158,6 +158,14 @@ def test_many_probes_are_not_broadcast(spark, monkeypatch):
         assert ("Broadcast" in "".join(plans["hub_links"] + plans["bridges"])) == (most > 2000)
 
 
+def test_many_components_are_not_broadcast_to_prints(varied, monkeypatch):
+    monkeypatch.setattr(common, "MOST_BROADCAST", 10, raising=False)
+    kept = simhash.drop_near_duplicates(varied, partitions=4)
+    assert "SortMergeJoin" in plan(kept)
+    prints = {plain_fingerprint(r.text) for r in varied.collect()}
+    assert kept.count() == len(set(plain_components(prints, 4).values()))
+
+
 def test_many_links_are_not_broadcast(spark, monkeypatch):
     plans = noted(monkeypatch, graph)
     links = lambda n: spark.range(n).selectExpr("id * 2 as a", "id * 2 + 1 as b")
